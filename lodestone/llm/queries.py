@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, encoding, rank_fusion, splitting
+from lodestone.llm import conversations, encoding, ocr_repair, rank_fusion, splitting
 from lodestone.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.borda_ranking(table(spark, sf_dir, "retrieved_chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr_repair.scan_repairs(table(spark, sf_dir, "phase1_chunks"))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr_repair.repair_scanned(table(spark, sf_dir, "phase1_chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversation_faults(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
 
@@ -44,6 +52,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_ranking": p1_ranking,
+        "p2_found": p2_found,
+        "p2_text": p2_text,
         "p3_found": p3_found,
         "p3_conversations": p3_conversations,
         "p6_found": p6_found,
