@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, encoding, ocr_repair, rank_fusion, splitting
+from lodestone.llm import conversations, encoding, markup, ocr_repair, rank_fusion, splitting
 from lodestone.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_elements(table(spark, sf_dir, "phase1_chunks"))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.plain_blocks(table(spark, sf_dir, "phase1_chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_boundaries(table(spark, sf_dir, "phase1_chunks"))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Query]:
         "p2_text": p2_text,
         "p3_found": p3_found,
         "p3_conversations": p3_conversations,
+        "p4_found": p4_found,
+        "p4_text": p4_text,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
