@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, encoding, markup, ocr_repair, rank_fusion, splitting
+from lodestone.llm import conversations, encoding, langid, markup, ocr_repair, rank_fusion, splitting
 from lodestone.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.relabelled(table(spark, sf_dir, "documents"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_segments(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -69,4 +77,6 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
+        "p9_found": p9_found,
+        "p9_segments": p9_segments,
     }
