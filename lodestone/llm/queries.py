@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, encoding, langid, markup, ocr_repair, rank_fusion, splitting
+from lodestone.llm import conversations, encoding, langid, markup, ocr_repair, pair_defects, rank_fusion, splitting
 from lodestone.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.plain_blocks(table(spark, sf_dir, "phase1_chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.defects(table(spark, sf_dir, "messages"), table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_boundaries(table(spark, sf_dir, "phase1_chunks"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "p3_conversations": p3_conversations,
         "p4_found": p4_found,
         "p4_text": p4_text,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
