@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, encoding, langid, markup, ocr_repair, pair_defects, rank_fusion, splitting
+from lodestone.llm import conversations, encoding, langid, leakage, markup, ocr_repair, pair_defects, rank_fusion, splitting
 from lodestone.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.relabelled(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,8 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_passages": p8_passages,
         "p9_found": p9_found,
         "p9_segments": p9_segments,
     }
