@@ -22,7 +22,7 @@ from lodestone.scale import spread
 
 #: Words in a row that make a case, the share of them that may be misspelt (one in so many), the words of an insertion at most, and the
 #: length of a seed. Of 20 words in a row with two misspelt and one interruption, at least five in a row are intact.
-RUN, ONE_IN, INSERTED, SEED = 20, 10, 8, 5
+RUN, ONE_IN, INSERTED, SEED = 20, 10, 6, 5
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _BASES = np.array([pow(0x9E3779B97F4A7C15, SEED - 1 - k, 1 << 64) for k in range(SEED)], dtype=np.uint64)
 
