@@ -6,33 +6,66 @@ Nothing here puts a whole group into one task: order inside a group comes from a
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the cluster's shared checkpoint folder.
+    """Write ``df`` once as a table in the shared folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one is made.
+    Columnar and compressed, it takes a fraction of the space of a checkpoint; a lost executor takes nothing of it along. The
+    tables are removed at the end of the program, or by :func:`release_tables`.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release_tables() -> None:
+    """Remove the tables that :func:`cut_lineage` wrote; no result that reads one may be used afterwards."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_SHUFFLES = re.compile(r"\b(?:Join|Aggregate|Sort|Window|Distinct|Deduplicate|Repartition\w*|RebalancePartitions|Union|Intersect|Except)\b")
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread a narrow scan over the cluster before work that is bound by CPU.
+    """Spread rows over the cluster before work that is bound by CPU, for which sizes in bytes say little.
 
-    A small table may come as one or two splits and would then keep one or two cores busy. A table with at least
-    ``factor`` splits per core is left alone: no shuffle of whole texts at scale.
+    A scan with at least ``factor`` splits per core is left alone: no shuffle of whole texts at scale; a smaller one is divided. Behind a
+    shuffle, whose partitions may have been joined by size, the rows go to the session's number of shuffle partitions, or ``factor``
+    per core if that is more. Nothing is run to find out.
     """
-    wanted = factor * df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    wanted = factor * spark.sparkContext.defaultParallelism
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df.repartition(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
