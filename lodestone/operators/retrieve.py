@@ -43,7 +43,8 @@ def lexical_scores(questions: DataFrame, post: DataFrame, lengths: DataFrame, te
     mean = lengths.agg(F.avg("dl").alias("avgdl"))
     hits = asked.join(terms, "term").join(post, "term").join(lengths, key).join(F.broadcast(mean))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", key).agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
+    # rounded, so that ranks do not hang on the order of additions
+    scored = hits.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * F.col("idf") * tf), 9).alias("score"))
     return scored.filter(F.col("score") > 0)
 
 
@@ -73,7 +74,8 @@ def nearest(
     schema = f"qid {types['qid']}, {key} {types['key']}, score double, wanted boolean"
     found = None
     for part in parts:
-        shared = vectors.sparkSession.sparkContext.broadcast((([q for q, _, _ in part]), np.vstack([v for _, v, _ in part]), [c for _, _, c in part]))
+        names = [q for q, _, _ in part]
+        shared = vectors.sparkSession.sparkContext.broadcast((names, np.vstack([v for _, v, _ in part]), [c for _, _, c in part]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, matrix, kinds = shared.value
@@ -111,7 +113,6 @@ def nearest(
     if category:
         w = Window.partitionBy("qid")
         enough = F.least(F.count_if(F.col("wanted")).over(w), F.lit(top)) >= CATEGORY_LEAST
-        found = found.filter(F.col("unit_rank") <= top) if "unit_rank" in found.columns else found
         found = found.withColumn("_enough", enough).filter(F.col("wanted") == F.col("_enough")).drop("_enough")
     return ranked(found.drop("wanted"), key=key, top=top)
 
