@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import conversations, encoding, langid, leakage, markup, ocr_repair, pair_defects, rank_fusion, splitting
 from lodestone.scale import table
@@ -33,7 +34,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.rebuild_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    rows = conversations.rebuild_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
