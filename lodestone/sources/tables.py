@@ -11,7 +11,7 @@ from lodestone.schemas import CHUNKS, LAYOUT_ITEMS
 
 def read_manuals(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, raw)``: each Markdown file as one row, named by its file. A missing path raises."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select(F.url_decode(name).alias("doc_id"), newlines(F.col("value")).alias("raw"))
 
