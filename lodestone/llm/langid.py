@@ -44,7 +44,7 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, base))
 
 
-_SENTENCE = regex.compile(r"(?<=[.!?۔؟…][\"'”’»)]?)\s+|(?<=[。！？]['”’」』）]?)\s*|[\r\n\x0b\x0c\x85  ]+")
+_SENTENCE = regex.compile(r"(?<=[.!?۔؟…][\"'”’»)]?)\s+|(?<=[。！？]['”’」』）]?)\s*|[\r\n\x0b\x0c\x85\u2028\u2029]+")
 #: A Han character each; or letters with marks and inner apostrophes, not part of a code with digits.
 _TOKEN = regex.compile(r"\p{Han}|(?<![\p{N}\p{L}_])(?<!\p{N}[-.])(?<!\p{Lu}-)[\p{L}\p{M}&&[^\p{Han}]]+(?:['’][\p{L}\p{M}&&[^\p{Han}]]+)*(?![-_.]?\p{N})", regex.V1)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.line_model import line_model, markup_form, number_form
 from lodestone.scale import cut_lineage, spread
 
-_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _HYPHENS = "-‐‑\xad¬"
 _BLOCK_MARKUP = re.compile(r"</?[A-Za-z]\w*[^<>]*>$|\\(?:begin|end)\{|```|~~~|\{\||\|[-}]")
 _EDGE = ".,;:?()[]{}\"'“”‘’«»–—…*_`<>/\\=~^"

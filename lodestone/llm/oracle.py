@@ -31,9 +31,9 @@ _TURNS = rf"""named AS (SELECT DISTINCT id, conversation_id, text, created_at, l
  reasons AS (SELECT ids.conversation_id, CASE WHEN facts.conversation_id IS NULL THEN 'empty'
  WHEN ids.conversation_id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL) OR unclear OR starts_wrong THEN 'broken' WHEN missing THEN 'missing_reply' END AS reason FROM ids LEFT JOIN facts USING (conversation_id))"""
 
-_EOL = r"(?:\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}])"
+_EOL = r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 _BIG = rf"""big AS (SELECT DISTINCT chunk_id, text FROM phase1_chunks WHERE length(text) > 4000),
- para AS (SELECT chunk_id, regexp_replace(p, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS p FROM (SELECT chunk_id, unnest(regexp_split_to_array(text, '{_EOL}(?:[ \t]*{_EOL})+')) AS p FROM big)),
+ para AS (SELECT chunk_id, regexp_replace(p, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS p FROM (SELECT chunk_id, unnest(regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '{_EOL}(?:[ \t]*{_EOL})+')) AS p FROM big)),
  sent AS (SELECT chunk_id, unnest(string_split(regexp_replace(p, '([.!?۔])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM para),
  word AS (SELECT chunk_id, unnest(regexp_split_to_array(s, '[\s\p{{Z}}]+')) AS w FROM sent)"""
 

@@ -21,7 +21,7 @@ from lodestone.scale import spread
 BOUNDARIES = ("paragraph", "sentence", "word", "none")
 PARAGRAPH, SENTENCE, WORD, NONE = 3, 2, 1, 0
 
-_EOL = "(?:\r\n|[\n\r\x0b\x0c\x85  ])"
+_EOL = "(?>\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 _BLANK_LINES = re.compile(f"{_EOL}(?:[ \t]*{_EOL})+")
 _SENTENCE_END = re.compile(r"(?<=[.!?۔])\s+")
 _SPACE = re.compile(r"\s+")
