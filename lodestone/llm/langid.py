@@ -243,7 +243,7 @@ SEGMENTS = "doc_id bigint, segment_no bigint, language string, confidence double
 
 
 def language_segments(documents: DataFrame, per_language: int = 400) -> DataFrame:
-    """The segments of every document, with its given label's language as ``labelled``. Texts without words have none."""
+    """The segments of every document, with its given label's language as ``labelled``. Texts without words and rows without id have none."""
     model = LanguageModel.fit(training_sample(documents, per_language))
     shared = documents.sparkSession.sparkContext.broadcast((model.words, model.grams))
     cache: dict[int, LanguageModel] = {}
@@ -259,7 +259,7 @@ def language_segments(documents: DataFrame, per_language: int = 400) -> DataFram
                 rows += [(doc_id, n, lang, c, a, b, len(found), labelled) for n, (lang, c, a, b) in enumerate(found, 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "segment_no", "language", "confidence", "start", "end", "segments", "labelled"])
 
-    rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("labelled"))
+    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", label_language(F.col("lang")).alias("labelled"))
     return spread(rows).mapInPandas(run, SEGMENTS + ", labelled string")
 
 

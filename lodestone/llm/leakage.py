@@ -218,7 +218,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = 20_000) ->
     """``(doc_id, item_id, covered, words, first_word, end_word)`` of every item in every document that it leaked into.
 
     The held-out items are the query set: they are held in blocks of at most ``block`` items, each of which is broadcast and passed over
-    all documents. Null and empty texts on either side give nothing; repeated rows count once.
+    all documents. Null and empty texts and rows without id on either side give nothing; repeated rows
+    count once.
     """
     rows = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     found = None
@@ -235,7 +236,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = 20_000) ->
                 out = [(i, *leak) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks_of(text, cache[0])]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "words", "first_word", "end_word"])
 
-        return spread(documents.select("doc_id", "text")).mapInPandas(run, LEAKS)
+        return spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(run, LEAKS)
 
     def add(part: list[tuple[int, list[str]]]) -> None:
         nonlocal found

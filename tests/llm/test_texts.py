@@ -111,7 +111,7 @@ def language_docs(spark, more):
 
 
 def test_relabelled(spark):
-    more = [(1, EN, "de"), (2, DE, None), (3, f"{EN} {DE}\n{ZH}", "en"), (4, EN, "EN_us"), (5, DE, "German"), (6, None, "en"), (7, "12 -- ?", None), (8, "", "xx"), (9, f"{EN} „Glas“ {EN}", "eng")]
+    more = [(1, EN, "de"), (2, DE, None), (3, f"{EN} {DE}\n{ZH}", "en"), (4, EN, "EN_us"), (5, DE, "German"), (6, None, "en"), (7, "12 -- ?", None), (8, "", "xx"), (9, f"{EN} „Glas“ {EN}", "eng"), (None, DE, "en"), (2, DE, None)]
     got = sorted(tuple(r) for r in langid.relabelled(language_docs(spark, more)).collect())
     assert got == [(1, 1, "en"), (2, 1, "de"), (3, 1, "en"), (3, 2, "de"), (3, 3, "zh")]
 
@@ -162,7 +162,7 @@ def test_misspelt():
 
 def test_leakage_operator_in_blocks(spark):
     text = " ".join(f"word{chr(97 + i)}x" for i in range(25))
-    docs = spark.createDataFrame([(1, f"so {text} end"), (1, f"so {text} end"), (2, None), (3, "none of it")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {text} end"), (1, f"so {text} end"), (2, None), (3, "none of it"), (None, text)], "doc_id long, text string")
     items = spark.createDataFrame([(7, text), (7, text), (8, None), (9, ""), (10, "other words than those")], "item_id long, text string")
     for block in (1, 100):
         assert [(r["doc_id"], r["item_id"], r["covered"]) for r in leakage.leaked_items(docs, items, block=block).collect()] == [(1, 7, 25)]
