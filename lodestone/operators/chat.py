@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
+from lodestone.scale import running_totals
 
 #: Fixed values.
 DEFAULT_TITLE, TITLE_CHARS = "New conversation", 32
@@ -31,16 +32,26 @@ def mapped_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def listed(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """``(id, title, created_at, updated_at, messages)`` with the messages of each as structs in order; a conversation without any has none.
+def message_places(messages: DataFrame) -> DataFrame:
+    """Distinct messages of conversations with ``seq`` from 1 by time, then id, for conversations of any length."""
+    rows = messages.dropDuplicates(["id"]).filter(F.col("conversation_id").isNotNull())
+    placed = running_totals(rows, ["conversation_id"], [F.col("created_at").asc_nulls_first(), F.col("id").asc()], {"_before": F.lit(1)})
+    return placed.withColumn("seq", F.col("_before") + 1).drop("_before")
 
-    The nested list is what this interface returns, one conversation a value; analyses read the flat tables.
+
+def listed(conversations: DataFrame, messages: DataFrame, page_size: int = 200) -> DataFrame:
+    """``(id, title, created_at, updated_at, page, messages)``: each conversation in pages of at most ``page_size`` nested messages.
+
+    A conversation without messages has one page without any. No value holds more than a page, whatever a conversation's length.
     """
-    m = mapped_messages(messages.dropDuplicates(["id"]))
-    nested = F.sort_array(F.collect_list(F.struct("created_at", "id", "role", "text", "is_empty")))
-    by = m.filter(F.col("conversation_id").isNotNull()).groupBy("conversation_id").agg(nested.alias("messages"))
+    placed = message_places(messages).withColumn("page", F.floor((F.col("seq") - 1) / page_size).cast("int") + 1)
+    places = placed.select("id", "seq", "page")
+    m = mapped_messages(placed).join(places, "id")
+    nested = F.sort_array(F.collect_list(F.struct("seq", "id", "role", "text", "is_empty", "created_at")))
+    by = m.groupBy("conversation_id", "page").agg(nested.alias("messages"))
     joined = latest_conversations(conversations).join(by, F.col("id") == F.col("conversation_id"), "left").drop("conversation_id")
-    return joined.withColumn("messages", F.coalesce("messages", F.array().cast(by.schema["messages"].dataType)))
+    empty = F.array().cast(by.schema["messages"].dataType)
+    return joined.withColumns({"messages": F.coalesce("messages", empty), "page": F.coalesce("page", F.lit(1))})
 
 
 def valid_id(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokenize
 from lodestone.operators.index import rerank_text
+from lodestone.scale import running_totals
 
 #: Fixed values.
 RRF_K, FUSED_TOP, FINAL_TOP, CONTEXT_CHARS = 60, 10, 5, 1500
@@ -21,8 +22,8 @@ def ranked_lists(hits: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFra
     source = F.lower(F.trim("source"))
     rows = hits.select("qid", source.alias("source"), "chunk_id", "score").filter(F.col("source").isin(*sources) & score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
     best = rows.groupBy("qid", "source", "chunk_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("qid", "source").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return best.withColumn("rank", F.row_number().over(w))
+    placed = running_totals(best, ["qid", "source"], [F.col("score").desc(), F.col("chunk_id").asc()], {"_before": F.lit(1)})
+    return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_before")
 
 
 def rrf(lists: DataFrame, k: int = RRF_K, top: int | None = FUSED_TOP, sources: tuple[str, ...] = SOURCES) -> DataFrame:

@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokenize
 from lodestone.operators.index import B, K1
+from lodestone.scale import running_totals
 
 #: Fixed values.
 VECTOR_TOP, LEXICAL_TOP, CATEGORY_LEAST = 20, 20, 3
 
 
 def ranked(rows: DataFrame, score: str = "score", key: str = "chunk_id", top: int | None = None) -> DataFrame:
-    """Add ``rank`` by question: higher scores first, then by key. A bounded rank is pushed into the sort as a group limit."""
-    w = Window.partitionBy("qid").orderBy(F.col(score).desc(), F.col(key).asc())
-    out = rows.withColumn("rank", F.row_number().over(w))
-    return out if top is None else out.filter(F.col("rank") <= top)
+    """Add ``rank`` by question: higher scores first, then by key.
+
+    A bounded rank is pushed into the sort as a group limit, before the rows are moved; an unbounded one takes a question's hits over as
+    many tasks as they need.
+    """
+    order = [F.col(score).desc(), F.col(key).asc()]
+    if top is None:
+        placed = running_totals(rows, ["qid"], order, {"_before": F.lit(1)})
+        return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_before")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= top)
 
 
 def exact_hits(keys: DataFrame, index: DataFrame, mode: str = "strict") -> DataFrame:
@@ -81,22 +88,30 @@ def nearest(
             ids, matrix, kinds = shared.value
             best: list[list] = [[] for _ in ids]
             same: list[list] = [[] for _ in ids]
+            floor, same_floor = np.full(len(ids), -1.0), np.full(len(ids), -1.0)
+
+            def take(held: list[list], least: np.ndarray, j: int, col: np.ndarray, names: list, rows: np.ndarray, mine: bool) -> None:
+                held[j] = sorted(held[j] + [(-col[i], names[i], mine) for i in rows])[:top]
+                if len(held[j]) == top:
+                    least[j] = -held[j][-1][0]
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names = batch.column(0).to_pylist()
-                units = np.array(batch.column(1).to_pylist())
-                groups = batch.column(2).to_pylist() if category else None
-                scores = np.maximum(0.0, 1 - (1 - units @ matrix.T) / 2)
-                for j in range(len(ids)):
-                    col = scores[:, j]
-                    pick = np.argsort(-col, kind="stable")[: 4 * top]
-                    edge = col[pick[min(top, len(pick)) - 1]]
-                    pick = np.nonzero(col >= edge)[0]
-                    best[j] = sorted(best[j] + [(-col[i], names[i], False) for i in pick])[:top]
-                    if groups is not None and kinds[j] not in (None, "", "general"):
-                        mine = [i for i in range(len(names)) if groups[i] == kinds[j]]
-                        same[j] = sorted(same[j] + [(-col[i], names[i], True) for i in mine])[:top]
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    names = piece.column(0).to_pylist()
+                    units = np.array(piece.column(1).to_pylist())
+                    scores = np.maximum(0.0, 1 - (1 - units @ matrix.T) / 2)
+                    # only queries that this piece can better are looked at
+                    for j in np.nonzero((scores >= floor).any(axis=0))[0]:
+                        col = scores[:, j]
+                        edge = np.partition(col, -top)[-top] if len(col) > top else -1.0
+                        take(best, floor, j, col, names, np.nonzero(col >= max(edge, floor[j]))[0], False)
+                    if category:
+                        groups = np.array([g or "" for g in piece.column(2).to_pylist()])
+                        for j in np.nonzero((scores >= same_floor).any(axis=0))[0]:
+                            if kinds[j] not in (None, "", "general"):
+                                col = scores[:, j]
+                                take(same, same_floor, j, col, names, np.nonzero((groups == kinds[j]) & (col >= same_floor[j]))[0], True)
             rows = [(q, n, -s, w) for q, a, b in zip(ids, best, same, strict=True) for s, n, w in a + b]
             if rows:
                 q, n, s, w = zip(*rows, strict=True)

@@ -199,7 +199,8 @@ def oracle_sql() -> dict[str, str]:
         "rerank_text": f"WITH {CHUNKS} SELECT chunk_id, {RERANK} AS rerank_text FROM chunks",
         "exact_index_build": f"WITH {EXACT} SELECT kind, key, chunk_id FROM exact",
         "exact_index_stats": f"WITH {EXACT} SELECT kind, count(DISTINCT key) AS keys, count(*) AS entries FROM exact GROUP BY kind",
-        "exact_index_export": f"WITH {EXACT} SELECT kind, key, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids FROM exact GROUP BY ALL",
+        "exact_index_export": f"""WITH {EXACT}, p AS (SELECT *, (row_number() OVER (PARTITION BY kind, key ORDER BY chunk_id) - 1) // 10000 + 1 AS part FROM exact)
+ SELECT kind, key, part::INT AS part, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids FROM p GROUP BY ALL""",
         "exact_match_lookup": _exact("strict"),
         "exact_match_normalized": _exact("normalized"),
         "vector_topk": f"WITH {VECTORS} SELECT qid, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pairs QUALIFY rank <= 20",
@@ -280,8 +281,9 @@ def oracle_sql() -> dict[str, str]:
  roman AS is_roman_urdu, CASE WHEN sound THEN 'E1' ELSE '' END AS codes, CASE WHEN sound THEN 'AB-2' ELSE '' END AS models, CASE WHEN sound THEN coalesce(intent, 'general') ELSE 'general' END AS intent,
  CASE WHEN sound THEN nullif(product_category, '') END AS product_category, round(CASE WHEN sound THEN coalesce(confidence, 0.8) ELSE 1.0 END, 6) AS confidence FROM q""",
         "latest_conversations": f"WITH {LATEST} SELECT id, title, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_at FROM latest",
-        "conversation_list": f"""WITH {LATEST}, {MSGS}, m AS (SELECT conversation_id, count(*) AS n, string_agg(id, ',' ORDER BY created_at NULLS FIRST, id) AS ids FROM msgs WHERE conversation_id IS NOT NULL GROUP BY ALL)
- SELECT id, title, coalesce(n, 0)::INT AS messages, coalesce(ids, '') AS message_ids FROM latest LEFT JOIN m ON id = conversation_id""",
+        "conversation_list": f"""WITH {LATEST}, {MSGS}, pl AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY created_at NULLS FIRST, id) - 1) // 200 + 1 AS page FROM msgs WHERE conversation_id IS NOT NULL),
+ m AS (SELECT conversation_id, page, count(*) AS n, string_agg(id, ',' ORDER BY created_at NULLS FIRST, id) AS ids FROM pl GROUP BY ALL)
+ SELECT latest.id, title, coalesce(page, 1)::INT AS page, coalesce(n, 0)::INT AS messages, coalesce(ids, '') AS message_ids FROM latest LEFT JOIN m ON latest.id = conversation_id""",
         "conversation_titles": """WITH u AS (SELECT * FROM messages WHERE lower(trim(role)) = 'user' AND text IS NOT NULL AND conversation_id IS NOT NULL)
  SELECT conversation_id, substr(text, 1, 32) AS title FROM u QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at NULLS LAST, id, text) = 1""",
         "message_mapping": f"""WITH {MSGS} SELECT id, role, text, coalesce(len(sources), 0)::INT AS sources, coalesce(is_empty, false) AS is_empty, false AS is_error,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chat, extract, fuse, index, layout, parse, retrieve, understand
+from lodestone.operators import chat, extract, fuse, index, layout, parse, retrieve, understand, vector_index
 from lodestone.plans import pipeline
 from lodestone.scale import table
 from lodestone.sources.tables import exact_map
@@ -132,7 +132,7 @@ def exact_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def exact_index_export(spark: SparkSession, d: str) -> DataFrame:
-    return exact_map(index.exact_index(chunks(spark, d))).select("kind", "key", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    return exact_map(index.exact_index(chunks(spark, d))).select("kind", "key", "part", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query
@@ -168,6 +168,16 @@ def vector_topk_category_fallback(spark: SparkSession, d: str) -> DataFrame:
     return _vector_search(spark, d, True)
 
 
+@query
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries by the inverted file: 16 cells, 8 of them probed."""
+    vectors = index.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    centres = vector_index.fit_centres(vectors, 16)
+    asked = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "unit")
+    found = vector_index.search(asked, vector_index.build(vectors, centres), centres, probes=8)
+    return found.select("qid", "vec_id", rounded("score").alias("score"), "rank")
+
+
 # --- fusion ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -428,11 +438,7 @@ def roman_urdu_flag(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_router(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("qid", understand_route(F.col("text")).alias("topic"))
-
-
-def understand_route(c: Column) -> Column:
-    return chat.route(c)
+    return questions(spark, d).select("qid", chat.route(F.col("text")).alias("topic"))
 
 
 @query
@@ -466,7 +472,7 @@ def latest_conversations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def conversation_list(spark: SparkSession, d: str) -> DataFrame:
     rows = chat.listed(table(spark, d, "conversations"), table(spark, d, "messages"))
-    return rows.select("id", "title", F.size("messages").alias("messages"), F.array_join(F.transform("messages", lambda m: m["id"]), ",").alias("message_ids"))
+    return rows.select("id", "title", "page", F.size("messages").alias("messages"), F.array_join(F.transform("messages", lambda m: m["id"]), ",").alias("message_ids"))
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import newlines
+from lodestone.scale import running_totals
 from lodestone.schemas import CHUNKS, LAYOUT_ITEMS
 
 
@@ -56,9 +57,11 @@ def write_documents(rendered: DataFrame, path: str) -> None:
     rendered.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
-def exact_map(index: DataFrame) -> DataFrame:
-    """The exact index as ``(kind, key, chunk_ids)`` for export; ids in order."""
-    return index.groupBy("kind", "key").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+def exact_map(index: DataFrame, part_size: int = 10_000) -> DataFrame:
+    """The exact index as ``(kind, key, part, chunk_ids)`` for export: ids in order, at most ``part_size`` in a value."""
+    placed = running_totals(index, ["kind", "key"], [F.col("chunk_id").asc()], {"_before": F.lit(1)})
+    parts = placed.withColumn("part", F.floor(F.col("_before") / part_size).cast("int") + 1)
+    return parts.groupBy("kind", "key", "part").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
 
 
 def healthy(spark: SparkSession) -> DataFrame:

@@ -66,6 +66,8 @@ def test_titles_and_list(spark):
     conv = spark.sql("SELECT * FROM VALUES ('c','old',TIMESTAMP'2025-01-01 00:00:00',TIMESTAMP'2025-01-01 00:00:00'), ('c','new',TIMESTAMP'2025-01-01 00:00:00',TIMESTAMP'2025-01-02 00:00:00'), ('e','t',NULL,NULL) t(id,title,created_at,updated_at)")
     rows = {r["id"]: r for r in chat.listed(conv, msgs).collect()}
     assert rows["c"]["title"] == "new" and [m["id"] for m in rows["c"]["messages"]] == ["m1", "m2"] and rows["e"]["messages"] == []
+    paged = chat.listed(conv, msgs, page_size=1).filter("id = 'c'").orderBy("page").collect()
+    assert [(r["page"], [m["id"] for m in r["messages"]]) for r in paged] == [(1, ["m1"]), (2, ["m2"])]
     left, kept = chat.deleted(conv, msgs, conv.filter("id = 'c'"))
     assert {r["id"] for r in left.collect()} == {"e"} and kept.count() == 0
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import fuse, index, retrieve
+from lodestone.operators import fuse, index, retrieve, vector_index
 
 
 def lists(spark, by):
@@ -95,3 +95,20 @@ def test_no_python_in_lexical_plan(spark):
     q = spark.createDataFrame([("q", "a")], "qid string, text string")
     plan = retrieve.lexical_scores(q, post, lengths, index.term_stats(post, lengths))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_inverted_file_recall(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in middles[i % 20] + 0.5 * rng.normal(size=16)]) for i in range(2000)]
+    unit = index.unit_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    centres = vector_index.fit_centres(unit, 16, sample=1000)
+    table = vector_index.build(unit, centres)
+    assert table.count() == 2000
+    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "unit")
+    exact = {(r["qid"], r["vec_id"]) for r in retrieve.nearest(asked, unit, top=10).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, probes=5, top=10, block=7).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    everything = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, probes=16, top=10).collect()}
+    assert everything == exact
+    assert vector_index.search(asked.filter("false"), table, centres, 2).count() == 0
