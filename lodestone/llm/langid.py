@@ -40,8 +40,9 @@ def label_language(label: Column) -> Column:
     name = F.regexp_replace(name, r"[\s_./()-]+", "-")
     roots = {s: lang for lang, names in SPELLINGS.items() for s in names}
     known = F.create_map(*[F.lit(x) for pair in roots.items() for x in pair])
-    base = F.regexp_extract(name, r"^(\p{L}+)-(?:[a-z]{2,4}|\d{3})(?:-[a-z0-9]+)*$", 1)
-    return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, base))
+    base = F.regexp_extract(name, r"^(\p{L}+)-", 1)
+    latin = F.rlike(name, F.lit("^(ur|urd|urdu)-.*(lat|rom)|^(roman|latin|romani[sz]ed|latini[sz]ed)-(ur|urd|urdu)"))
+    return F.when(latin, "ur-Latn").otherwise(F.coalesce(F.try_element_at(known, name), F.try_element_at(known, base)))
 
 
 _SENTENCE = regex.compile(r"(?<=[.!?۔؟…][\"'”’»)]?)\s+|(?<=[。！？]['”’」』）]?)\s*|[\r\n\x0b\x0c\x85\u2028\u2029]+")

@@ -9,8 +9,8 @@ def _names(names: tuple[str, ...]) -> str:
     return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 
 
-_RANKED = """rows AS (SELECT qid, lower(trim(source)) AS source, chunk_id, CASE WHEN isfinite(score) THEN score END AS score, retrieved_at FROM retrieved_chunks
- WHERE qid IS NOT NULL AND chunk_id IS NOT NULL AND trim(source) <> ''),
+_RANKED = r"""rows AS (SELECT qid, lower(regexp_replace(source, '[^\p{L}\p{N}]+', '', 'g')) AS source, chunk_id, CASE WHEN isfinite(score) THEN score END AS score, retrieved_at FROM retrieved_chunks
+ WHERE qid IS NOT NULL AND chunk_id IS NOT NULL AND regexp_matches(source, '[\p{L}\p{N}]')),
  last AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY qid, source, chunk_id ORDER BY retrieved_at DESC NULLS LAST, score DESC NULLS LAST) = 1),
  hits AS (SELECT qid, source, chunk_id, score, rank() OVER w + (count(*) OVER (PARTITION BY qid, source, score) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY qid, source) AS k
  FROM last WHERE score IS NOT NULL WINDOW w AS (PARTITION BY qid, source ORDER BY score DESC)),

@@ -16,12 +16,12 @@ from lodestone.scale import running_totals
 def valid_hits(hits: DataFrame) -> DataFrame:
     """``(qid, source, chunk_id, score)``: the latest row of each key, if its score is a finite number.
 
-    Sources are compared without outer whitespace and case. Rows without question, source or chunk are no hits. Of rows
+    Sources are compared by their letters and digits, whatever the case. Rows without question, source or chunk are no hits. Of rows
     with the same time the one with the highest finite score counts; a row without a time is older than any other.
     """
     score = F.col("score").cast("double")
     finite = F.when(~F.isnan(score) & (F.abs(score) < F.lit(float("inf"))), score)
-    source = F.lower(F.regexp_replace(F.col("source"), r"(?U)^\s+|\s+$", ""))
+    source = F.lower(F.regexp_replace(F.col("source"), r"[^\p{L}\p{N}]+", ""))
     rows = hits.select("qid", source.alias("source"), "chunk_id", finite.alias("score"), "retrieved_at")
     rows = rows.filter(F.col("qid").isNotNull() & F.col("chunk_id").isNotNull() & (F.col("source") != ""))
     latest = rows.groupBy("qid", "source", "chunk_id").agg(F.max(F.struct("retrieved_at", "score")).alias("last"))

@@ -125,7 +125,7 @@ def test_segments_have_confidence_and_places(spark):
 def test_labels(spark):
     from pyspark.sql import functions as F
 
-    given = {"en-GB": "en", " urdu ": "ur", "Roman Urdu": "ur-Latn", "ur_Latn": "ur-Latn", "ur-PK": "ur", "zh-Hans": "zh", "und": None, "n/a": None, "": None, None: None, "es-MX": "es", "xx": None}
+    given = {"en-GB": "en", " urdu ": "ur", "Roman Urdu": "ur-Latn", "ur_Latn": "ur-Latn", "ur-PK": "ur", "zh-Hans": "zh", "und": None, "n/a": None, "": None, None: None, "es-MX": "es", "xx": None, "English (US)": "en", "Urdu (Roman script)": "ur-Latn", "chinese simplified": "zh", "no-label": None}
     df = spark.createDataFrame([(k,) for k in given], "l string")
     assert {r["l"]: r["v"] for r in df.select("l", langid.label_language(F.col("l")).alias("v")).collect()} == given
 
