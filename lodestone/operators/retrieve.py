@@ -44,14 +44,16 @@ def exact_hits(keys: DataFrame, index: DataFrame, mode: str = "strict") -> DataF
 def lexical_scores(questions: DataFrame, post: DataFrame, lengths: DataFrame, terms: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
     """``(qid, key, score)`` by the usual lexical score; a term asked twice counts twice; only positive scores stay.
 
-    Question terms are counted first; the join with the postings is by term. The mean length is one row.
+    Question terms are counted first. A posting's weight does not depend on the question and is computed before the join by term, whose
+    rows are then as narrow as can be and are summed where a document's postings stand.
     """
     asked = questions.select("qid", F.explode(tokenize(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     mean = lengths.agg(F.avg("dl").alias("avgdl"))
-    hits = asked.join(terms, "term").join(post, "term").join(lengths, key).join(F.broadcast(mean))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weights = post.join(terms, "term").join(lengths, key).join(F.broadcast(mean)).select("term", key, (F.col("idf") * tf).alias("weight"))
+    hits = weights.join(asked, "term")
     # rounded, so that ranks do not hang on the order of additions
-    scored = hits.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * F.col("idf") * tf), 9).alias("score"))
+    scored = hits.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score"))
     return scored.filter(F.col("score") > 0)
 
 

@@ -170,11 +170,11 @@ def vector_topk_category_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The same queries by the inverted file: 16 cells, 8 of them probed."""
+    """The same queries by the inverted file: 16 cells, 12 of them probed."""
     vectors = index.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
     centres = vector_index.fit_centres(vectors, 16)
     asked = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "unit")
-    found = vector_index.search(asked, vector_index.build(vectors, centres), centres, probes=8)
+    found = vector_index.search(asked, vector_index.build(vectors, centres), centres, probes=12)
     return found.select("qid", "vec_id", rounded("score").alias("score"), "rank")
 
 
