@@ -76,24 +76,21 @@ _COURTESY = regex.compile(
     |tut\ mir\ leid.*|es\ tut\ mir\ leid.*|leider|bitte\ wenden.*|désolée?.*|je\ suis\ désolée?.*|malheureusement|veuillez\ contacter.*|lo\ siento.*|lamentablemente|por\ favor\ contacte.*|üzgünüm.*|maalesef.*)\W*$""",
     regex.I | regex.X | regex.V1,
 )
-#: Whoever declines says no, names a bound, or speaks of themselves: words without which no statement above holds (fixed values).
-_CUES = frozenset(
-    "i we me us my our can't cannot won't don't isn't couldn't wouldn't didn't not no nothing none never only unable beyond outside sorry unfortunately regrettably apologies decline refuse exceeds"
-    " nahi nahin nahe mumkin qasir mazrat maazrat maafi"
-    " nicht kein keine keinen keiner leider ne pas impossible désolé désolée malheureusement n'ai n'est m'est no siento lamentablemente imposible değil yok üzgünüm maalesef".split()
+#: Pieces of text of which every match of ``_DECLINES`` holds one at least, whatever its alternative; a test spells all of them out.
+_CUES = tuple(
+    "not|n't|nothing| no |unable|afraid|decline|refuse|rather no|prefer no|outside|beyond|exceed|me from|us from|me no|us no|no answer|no response|no reply|no advice|no help|no information|no guidance"
+    "|no statement|only auth|only qualified|only certified|only trained| falls| lies|madad na|nahi|qasir|mazrat|نہیں|قاصر|جواب دینا|لا |لن أتمكن|ليس |غير قادر|لست قادرا|يتعذر علي|أعتذر عن|无|不|没|拒绝|超出"
+    "|nicht|kein|je ne |nous ne |pas en mesure|impossible|no pued|no podemos|no me |no estoy|no soy|no tengo|no dispongo|no es |no nos |yardimci olam|yanitlayam|cevaplayam|cevap verem|yanit verem|bilgi verem"
+    "|yardim edem|mümkün değil|bilgim yok|elimden gelm".split("|")
 )
-_CUE_PARTS = (
-    "n't", "amam", "emem", "amıyor", "emiyor", "amayız", "emeyiz", "نہیں", "قاصر", "معذرت", "لا ", "لن ", "ليس", "لست", "غير", "يتعذر", "أعتذر", "عذر", "آسف",
-    "无", "不", "没", "非", "拒绝", "抱歉", "遗憾", "超出",
-)
 
 
-def may_decline(sentence: str) -> bool:
-    low = sentence.lower().replace("’", "'")
-    return any(part in low for part in _CUE_PARTS) or not _CUES.isdisjoint(_SPLIT.split(low))
+def may_decline(text: str) -> bool:
+    """Whether any statement may hold; it saves the search for one and decides nothing else. Case, i and apostrophes are as free as there."""
+    low = text.replace("’", "'").replace("İ", "i").replace("ı", "i").casefold()
+    return any(cue in low for cue in _CUES)
 
 
-_SPLIT = regex.compile(r"[\s.,;:!?¿¡()\"“”«»]+")
 _NUMBERED = regex.compile(r"\d")
 _WORDS = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
 
@@ -265,9 +262,8 @@ def _read_pairs(rows: DataFrame, model: LanguageModel) -> DataFrame:
                 if nothing:
                     out.append((i, None, "empty", False, False, None, 0, None))
                     continue
-                cue = may_decline(a)
-                declines, holds = judge(a) if cue else (False, True)
-                sure, tail, said, prompt = None, None, None, 0
+                declines, holds = judge(a) if may_decline(a) else (False, True)
+                sure, tail = None, None
                 if len(a) <= 2 * len(q) + 60 and is_copy(q, a):
                     sure = "copy"
                 elif not declines or holds:
@@ -282,10 +278,8 @@ def _read_pairs(rows: DataFrame, model: LanguageModel) -> DataFrame:
                         sure = "truncated"
                     elif end == "open":
                         tail = tail_of(a)
-                if cue:
-                    said = opening(q, a)
-                    prompt = xxhash.xxh64_intdigest(" ".join(masked_words(q))) >> 1
-                out.append((i, a, sure, declines, holds, said, prompt, tail))
+                prompt = xxhash.xxh64_intdigest(" ".join(masked_words(q))) >> 1
+                out.append((i, a, sure, declines, holds, opening(q, a), prompt, tail))
             yield pd.DataFrame(out, columns=["id", "answer", "sure", "declines", "holds", "opening", "prompt", "tail"])
 
     return rows.mapInPandas(run, PAIRS)
@@ -294,7 +288,7 @@ def _read_pairs(rows: DataFrame, model: LanguageModel) -> DataFrame:
 def refusal_templates(openings: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``(opening, refuses)`` for each distinct opening, by groups of verified MinHash neighbours.
 
-    ``openings`` has a row for each answer with a word that a refusal needs: opening, prompt, declines, holds. Equal openings are counted first, so copies weigh nothing. In
+    ``openings`` has a row for each answer: opening, prompt, declines, holds. Equal openings are counted first, so copies weigh nothing. In
     a band's bucket every opening is compared with the bucket's least one only, never all pairs; what the verification refuses
     stays by itself there and may join in another band. A group refuses if it stands for at least two unrelated prompts and most of its
     answers decline and hold nothing else; an opening that joined no such group refuses if all its own answers do.

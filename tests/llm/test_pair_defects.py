@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from lodestone.llm import pair_defects as P
@@ -63,3 +64,45 @@ def test_bands_meet():
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], M)
     assert P.defects(empty, documents(spark)).count() == 0
+
+
+def spelled(parsed):
+    """All strings of a parsed pattern, with anything between two parts left out or one word; what must not follow is left out."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            each = [chr(arg)]
+        elif kind == "IN":
+            each = [chr(c) for _, c in arg]
+        elif kind == "BRANCH":
+            each = [x for branch in arg[1] for x in spelled(branch)]
+        elif kind == "SUBPATTERN":
+            each = spelled(arg[3])
+        elif kind == "MAX_REPEAT":
+            each = ["", " word "] if arg[1] > 1 else ["", *spelled(arg[2])]
+        else:
+            assert kind in ("AT", "ASSERT_NOT"), kind
+            continue
+        out = [x + y for x in out for y in each]
+    return out
+
+
+def test_each_statement_passes_the_gate():
+    branches = re._parser.parse(P._DECLINES.pattern, re.I | re.X)
+    every = spelled(branches)
+    assert len(every) > 1000
+    assert not [x for x in every if not all(P.may_decline(y) for y in (x, x.upper(), x.replace("'", "’"), x.replace("i", "ı")))]
+
+
+def test_refusals_without_a_listed_word(spark):
+    q = "Is the glass of the pump clean and the lamp bright?"
+    said = ["I'm afraid this is a matter for the service partner.", "Answering this would exceed the scope of the hotline.", "The scope of the hotline is a matter for the partner."]
+    assert found(spark, [(q, a) for a in said]) == ["refusal", "refusal", None]
+
+
+def test_openings_without_a_cue_are_clustered(spark):
+    before = "Dealers in your town hold all papers about every machine ever sold by us since they opened and so explain each of them over coffee while such talk here by mail for years has been found to"
+    listed, other = f"{before} exceed the scope.", f"{before} leave the scope."
+    assert not P.may_decline(other) and len(before.split()) == 37
+    assert found(spark, [("Why is it so loud?", listed), ("Where can one buy salt?", listed), ("How old is mine?", other)]) == ["refusal"] * 3
