@@ -1,13 +1,15 @@
 """Defective answers among prompt and response pairs: empty, truncated, refusal, copy, or in another language.
 
-Refusals: the openings of the responses, with what they share with their prompt masked, are grouped by MinHash and verified; a template
+Refusals: the openings of the responses, with what they share with their prompt masked, are grouped by MinHash, verified and connected; a template
 that recurs across unrelated prompts and says that the speaker cannot or will not answer marks all its members. The other defects come
 from checks of copying, language and termination; an open end is judged by how often its last words end a sentence anywhere in the answers.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -285,12 +287,64 @@ def _read_pairs(rows: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInPandas(run, PAIRS)
 
 
+def bucket_links(members: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
+    """``(key, least key)`` of the connected components, of two members or more, of all pairs in a bucket that are similar enough.
+
+    Two such sets share one of the rarest shingles of both (prefix filter), so only members that share one are compared, and only
+    while they are not connected yet: no pair that could link two components is left out.
+    """
+    sets = [shingles(o) for _, o in members]
+    seen = Counter(x for s in sets for x in s)
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    # shingle -> members that hold it in their prefix, by the component that they were in; such a list stays in one component
+    places: dict[int, dict[int, list[int]]] = {}
+    for i, s in enumerate(sets):
+        prefix = sorted(s, key=lambda x: (seen[x], x))[: len(s) - ceil(similarity * len(s) - 1e-9) + 1]
+        for x in prefix:
+            for at, others in places.get(x, {}).items():
+                if find(at) != find(i):
+                    met = next((j for j in others if len(s & sets[j]) >= similarity * len(s | sets[j])), None)
+                    if met is not None:
+                        root[find(i)] = find(met)
+        for x in prefix:
+            places.setdefault(x, {}).setdefault(find(i), []).append(i)
+    least: dict[int, int] = {}
+    for i, (key, _) in enumerate(members):
+        r = find(i)
+        least[r] = min(key, least.get(r, key))
+    return [(key, least[find(i)]) for i, (key, _) in enumerate(members) if key != least[find(i)]]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(a, b)``: each linked key with the least key of its connected component; ``links`` has a > b.
+
+    Rounds of joins (large and small stars), each written once, until each key has one link and that leads to a least key.
+    """
+    while True:
+        links = cut_lineage(links.distinct())
+        several = links.groupBy("a").count().filter("count > 1").select("a")
+        onward = links.select(F.col("b").alias("a")).join(links.select("a").distinct(), "a", "left_semi")
+        if several.unionByName(onward).isEmpty():
+            return links
+        ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = ways.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        links = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
+
+
 def refusal_templates(openings: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``(opening, refuses)`` for each distinct opening, by groups of verified MinHash neighbours.
+    """``(opening, refuses)`` for each distinct opening, by the connected components of all verified MinHash neighbours.
 
-    ``openings`` has a row for each answer: opening, prompt, declines, holds. Equal openings are counted first, so copies weigh nothing. In
-    a band's bucket every opening is compared with the bucket's least one only, never all pairs; what the verification refuses
-    stays by itself there and may join in another band. A group refuses if it stands for at least two unrelated prompts and most of its
+    ``openings`` has a row for each answer: opening, prompt, declines, holds. Equal openings are counted first, so copies weigh nothing. Any two
+    openings of a band's bucket that are similar enough are connected (see :func:`bucket_links`), and so are those that meet in several
+    buckets; a bucket's distinct openings are held by one task. A group refuses if it stands for at least two unrelated prompts and most of its
     answers decline and hold nothing else; an opening that joined no such group refuses if all its own answers do.
     """
     kinds = openings.groupBy("opening", "prompt").agg(
@@ -299,32 +353,37 @@ def refusal_templates(openings: DataFrame, similarity: float = 0.8) -> DataFrame
     distinct = kinds.groupBy("opening").agg(
         F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.min("prompt").alias("one")
     )
+    # a short key for each opening, kept with it: the buckets carry no text
+    distinct = cut_lineage(distinct.withColumn("key", F.monotonically_increasing_id()))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(o, b) for o in pdf["opening"] for b in bands(o)]
-            yield pd.DataFrame(rows, columns=["opening", "bucket"])
-
-    buckets = distinct.select("opening").mapInPandas(hashed, "opening string, bucket long").distinct()
-    heads = buckets.groupBy("bucket").agg(F.min("opening").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = buckets.join(heads, "bucket").select("opening", "head").distinct()
+            rows = [(k, b) for k, o in zip(pdf["key"], pdf["opening"], strict=True) for b in bands(o)]
+            yield pd.DataFrame(rows, columns=["key", "bucket"])
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, members = None, []
         for pdf in batches:
-            keep = []
-            for o, h in zip(pdf["opening"], pdf["head"], strict=True):
-                x, y = shingles(o), shingles(h)
-                keep.append(len(x & y) >= similarity * len(x | y))
-            yield pdf[keep]
-
-    links = met.mapInPandas(verified, "opening string, head string")
-    groups = links.join(distinct, "opening").groupBy("head").agg(
+            out = []
+            for at, k, o in zip(pdf["bucket"], pdf["key"], pdf["opening"], strict=True):
+                if at != bucket:
+                    out += bucket_links(members, similarity)
+                    bucket, members = at, []
+                members.append((k, o))
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(bucket_links(members, similarity), columns=["a", "b"])
+
+    buckets = cut_lineage(spread(distinct.select("key", "opening")).mapInPandas(hashed, "key long, bucket long"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    met = buckets.join(shared, "bucket").join(distinct.select("key", "opening"), "key")
+    links = components(met.repartition("bucket").sortWithinPartitions("bucket", "key").mapInPandas(linked, "a long, b long"))
+    member = distinct.join(links, distinct["key"] == links["a"], "left").withColumn("group", F.coalesce("b", "key"))
+    groups = member.groupBy("group").agg(
         F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.count_distinct("one").alias("ones")
     )
-    refusing = groups.filter((F.greatest("ones", "prompts") >= 2) & (2 * F.col("refusing") > F.col("n"))).select("head")
-    joined = links.join(refusing, "head").select("opening").distinct().withColumn("grouped", F.lit(True))
+    refusing = groups.filter((F.greatest("ones", "prompts") >= 2) & (2 * F.col("refusing") > F.col("n"))).select("group", F.lit(True).alias("grouped"))
     own = (F.col("refusing") == F.col("n")) & (F.col("n") > 0)
-    return distinct.join(joined, "opening", "left").select("opening", F.coalesce("grouped", own).alias("refuses"))
+    return member.join(refusing, "group", "left").select("opening", F.coalesce("grouped", own).alias("refuses"))
 
 
 def _bloom(keys: DataFrame, bits: int = 1 << 22) -> np.ndarray:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -106,3 +107,36 @@ def test_openings_without_a_cue_are_clustered(spark):
     listed, other = f"{before} exceed the scope.", f"{before} leave the scope."
     assert not P.may_decline(other) and len(before.split()) == 37
     assert found(spark, [("Why is it so loud?", listed), ("Where can one buy salt?", listed), ("How old is mine?", other)]) == ["refusal"] * 3
+
+
+def test_templates_without_the_least_opening(spark):
+    """The least opening of a bucket is like no other, and the third one like the second only."""
+    words = [f"w{i}" for i in range(40)]
+    least = " ".join(["9 " * 6 + "_", *words[12:]])
+    second = [*words[:37], "x", "x", "x"]
+    chain = [" ".join(words), " ".join(second), " ".join(["y", "y", "y", *second[3:]])]
+    rows = [(least, 9, False, True), (chain[0], 1, True, False), (chain[1], 2, True, False), (chain[2], 3, False, True)]
+    df = spark.createDataFrame(rows, "opening string, prompt long, declines boolean, holds boolean")
+    assert {r["opening"]: r["refuses"] for r in P.refusal_templates(df).collect()} == {least: False, chain[0]: True, chain[1]: True, chain[2]: True}
+
+
+def test_bucket_links_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefgh") for _ in range(40)] for _ in range(6)]
+    members = []
+    for k in rng.sample(range(1000), 160):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(40)] = rng.choice("xyz")
+        members.append((k, " ".join(w[: rng.randint(30, 40)])))
+    sets = {k: P.shingles(o) for k, o in members}
+    all_pairs = [(max(x, y), min(x, y)) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    group = {k: k for k in sets}
+    for _ in sets:
+        for x, y in all_pairs:
+            group[x] = group[y] = min(group[x], group[y])
+    want = {(k, g) for k, g in group.items() if k != g}
+    assert len({g for _, g in want}) > 3 and set(P.bucket_links(members, 0.8)) == want
+    links = spark.createDataFrame(all_pairs, "a long, b long")
+    assert {tuple(r) for r in P.components(links).collect()} == want
+    assert P.components(links.filter("false")).count() == 0
