@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import fuse, index, retrieve
-from lodestone.operators.understand import is_roman_urdu
+from lodestone.operators.understand import understanding
 
 
 def build_indexes(chunks: DataFrame) -> dict[str, DataFrame]:
@@ -29,10 +29,25 @@ def question_keys(questions: DataFrame, text: str = "text") -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: What a question's table may already tell of it, as fields of a model's reply.
+TOLD = ("translated_query", "language", "is_roman_urdu", "intent", "product_category", "confidence")
+
+
+def understood(questions: DataFrame) -> DataFrame:
+    """``(qid, text)`` with the understanding's fields, out of what the table tells of a question and the codes and models it names."""
+    named = question_keys(questions).groupBy("qid").pivot("kind", ["error_codes", "model_names"]).agg(F.array_sort(F.collect_set("key")))
+    reply = F.to_json(F.struct(*[c for c in TOLD if c in questions.columns], "error_codes", "model_names"))
+    one = questions.join(named, "qid", "left")
+    return one.select("qid", "text", understanding(F.col("text"), reply).alias("u")).select("qid", "text", "u.*").drop("original_query")
+
+
 def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: DataFrame | None = None) -> DataFrame:
-    """``(qid, source, rank, chunk_id, score)`` of the exact, vector and lexical ways as one table of ranked lists."""
-    exact = retrieve.ranked(retrieve.exact_hits(question_keys(questions), parts["exact_index"]))
-    lexical = retrieve.ranked(retrieve.lexical_scores(questions, parts["postings"], parts["doc_len"], parts["terms"]), top=retrieve.LEXICAL_TOP)
+    """``(qid, source, rank, chunk_id, score)`` of the exact, vector and lexical ways as one table of ranked lists, for understood questions."""
+    kinds = ("error_codes", "model_names")
+    keys = [questions.select("qid", F.lit(kind).alias("kind"), F.explode(kind).alias("key")) for kind in kinds]
+    exact = retrieve.ranked(retrieve.exact_hits(keys[0].unionByName(keys[1]), parts["exact_index"]))
+    scores = retrieve.lexical_scores(questions, parts["postings"], parts["doc_len"], parts["terms"], text="translated_query")
+    lexical = retrieve.ranked(scores, top=retrieve.LEXICAL_TOP)
     lists = exact.withColumn("source", F.lit("exact")).unionByName(lexical.withColumn("source", F.lit("bm25")))
     if vector_hits is not None:
         lists = lists.unionByName(vector_hits.select("qid", "chunk_id", "score", "rank").withColumn("source", F.lit("vector")))
@@ -40,15 +55,18 @@ def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: Data
 
 
 def answer_batch(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: DataFrame | None = None, scorer=fuse.overlap_score) -> DataFrame:  # noqa: ANN001
-    """``(qid, language, context, prompt)`` for many questions in one lazy plan: retrieve, fuse, rerank, assemble."""
-    fused = fuse.rrf(hits_of(questions, parts, vector_hits))
-    found = fused.drop("score").join(parts["chunks"], "chunk_id").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    """``(qid, language, context, prompt)`` and the other fields of the understanding for many questions in one lazy plan.
+
+    Understand, retrieve, fuse, rerank, assemble. ``vector_hits`` are the ranked lists ``(qid, chunk_id, score, rank)`` of the vector search, whose
+    embedding model is outside of the plan; without them two ways are fused.
+    """
+    told = understood(questions)
+    fused = fuse.rrf(hits_of(told, parts, vector_hits))
+    found = fused.drop("score").join(parts["chunks"], "chunk_id").join(told.select("qid", F.col("translated_query").alias("question")), "qid")
     final = fuse.rerank(found, scorer)
-    told = questions.select("qid", "text", language_of(F.col("text"), F.col("language")).alias("language"))
-    out = told.join(fuse.context(final), "qid", "left")
     shown = F.coalesce("context", F.lit(""))
-    return out.select("qid", "language", shown.alias("context"), fuse.prompt(F.col("text"), F.col("text"), F.col("language"), shown).alias("prompt"))
-
-
-def language_of(text: Column, given: Column) -> Column:
-    return F.when(is_roman_urdu(text), "Roman Urdu").otherwise(F.coalesce(given, F.lit("Unknown")))
+    asked = fuse.prompt(F.col("text"), F.col("translated_query"), F.col("language"), shown)
+    out = told.join(fuse.context(final), "qid", "left")
+    return out.select(
+        "qid", "language", shown.alias("context"), asked.alias("prompt"), "translated_query", "is_roman_urdu", "error_codes", "model_names", "intent", "product_category", "confidence"
+    )

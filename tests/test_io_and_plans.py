@@ -52,6 +52,28 @@ def test_answer_batch(spark):
     assert got["q1"]["context"].startswith("--- CHUNK [c3]") and got["q2"]["context"] == "" and got["q2"]["language"] == "Unknown"
 
 
+def test_answer_batch_takes_vector_hits_and_the_understanding(spark, tmp_path):
+    meta = "struct<title:string,page_start:int,page_end:int,source_pages:array<int>,product_category:string,section:string,content_type:string,model_names:array<string>,error_codes:array<string>,char_count:int>"
+    rows = [(f"c{i}", f"pump {i} shows E{i}", ("T", 1, 1, [1], "general", "s", "text", [], [f"E{i}"], 9)) for i in range(8)]
+    spark.createDataFrame(rows, f"chunk_id string, text string, metadata {meta}").write.parquet(str(tmp_path / "phase1_chunks.parquet"))
+    q = [("q1", "zzz", "en", "usage"), ("q2", "kya masla E3 hai", "ur", None), ("q3", "zzz", "en", None)]
+    spark.createDataFrame(q, "qid string, text string, language string, intent string").write.parquet(str(tmp_path / "questions.parquet"))
+    hits = [("q1", "Vector", 9, "c5", 0.7), ("q1", "vector", 1, "c6", float("nan")), ("q3", "rerank", 1, "c5", 0.7)]
+    spark.createDataFrame(hits, "qid string, source string, rank int, chunk_id string, score double").write.parquet(str(tmp_path / "retrieved_chunks.parquet"))
+    got = {r["qid"]: r for r in importlib.import_module("__spark_entry__").queries()["answer_batch"](spark, str(tmp_path)).collect()}
+    assert got["q1"]["context_chars"] > 0 and got["q3"]["context_chars"] == 0 and got["q1"]["intent"] == "usage"
+    assert got["q2"]["language"] == "Roman Urdu" and got["q2"]["is_roman_urdu"] and got["q2"]["error_codes"] == ["E3"] and got["q2"]["context_chars"] > 0
+
+
+def test_understood_questions_are_searched_in_translation(spark):
+    q = spark.createDataFrame([("q1", "zzz", "pump shows E3")], "qid string, text string, translated_query string")
+    meta = "struct<title:string,page_start:int,page_end:int,source_pages:array<int>,product_category:string,section:string,content_type:string,model_names:array<string>,error_codes:array<string>,char_count:int>"
+    rows = [(f"c{i}", f"pump {i} shows E{i}", ("T", 1, 1, [1], "general", "s", "text", [], [], 9)) for i in range(4)] + [("d", "tap", ("T", 1, 1, [1], "general", "s", "text", [], [], 9))] * 4
+    parts = pipeline.build_indexes(spark.createDataFrame(rows, f"chunk_id string, text string, metadata {meta}"))
+    r = pipeline.answer_batch(q, parts).first()
+    assert r["context"].startswith("--- CHUNK [c3]") and "zzz" in r["prompt"] and "pump shows E3" in r["prompt"]
+
+
 def test_running_totals_match_a_loop_whatever_the_partitions(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.randint(0, 3)) for i in range(300)]
