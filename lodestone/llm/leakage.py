@@ -60,6 +60,19 @@ def misspelt(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+def short_slip(a: str, b: str) -> bool:
+    """Whether a word of one or two letters is one edit away, a swap included; some letter stays, and digits have no slips.
+
+    So little says nothing by itself: it counts only between neighbours that match exactly.
+    """
+    if a == b or min(len(a), len(b)) > 2 or abs(len(a) - len(b)) > 1 or any(c.isdigit() for c in a + b):
+        return False
+    if len(a) == len(b):
+        return len(a) == 2 and (a[0] == b[0] or a[1] == b[1] or a == b[::-1])
+    a, b = sorted((a, b), key=len)
+    return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
 def _numbers(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
 
@@ -128,6 +141,12 @@ def _grow(doc: list[str], item: list[str], d: int, i: int, step: int, insertion:
             out.append(0)
             d, i = d + step, i + step
             continue
+        p, q = d - step, i - step
+        beside = 0 <= e < len(doc) and 0 <= n < len(item) and doc[e] == item[n] and 0 <= p < len(doc) and 0 <= q < len(item) and doc[p] == item[q]
+        if beside and short_slip(item[i], doc[d]):
+            out.append(0)
+            d, i = d + step, i + step
+            continue
         jump = 0
         if insertion:
             for gap in range(1, INSERTED + 1):

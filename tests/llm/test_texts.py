@@ -160,6 +160,15 @@ def test_misspelt():
     assert leakage.misspelt("condenser", "condeser") and leakage.misspelt("the", "teh") and not leakage.misspelt("e16", "e17") and not leakage.misspelt("drain", "drive")
 
 
+def test_slips_in_words_of_one_or_two_letters():
+    item = [f"w{chr(97 + i)}x" for i in range(24)]
+    for good, bad, want in [("at", "ats", True), ("a", "as", True), ("to", "ot", True), ("in", "it", True), ("a", "b", False), ("at", "of", False), ("e1", "e2", False)]:
+        whole, words = [*item[:12], good, *item[12:]], [*item[:12], bad, *item[12:]]
+        assert bool(leakage.leaks_of(" ".join(words), leakage.ItemIndex([(1, whole)]))) is want, (good, bad)
+        words[13] = "other"
+        assert not leakage.leaks_of(" ".join(words), leakage.ItemIndex([(1, whole)]))
+
+
 def test_leakage_operator_in_blocks(spark):
     text = " ".join(f"word{chr(97 + i)}x" for i in range(25))
     docs = spark.createDataFrame([(1, f"so {text} end"), (1, f"so {text} end"), (2, None), (3, "none of it"), (None, text)], "doc_id long, text string")
