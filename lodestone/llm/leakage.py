@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.scale import spread
 
 #: Words in a row that make a case, the share of them that may be misspelt (one in so many), the words of an insertion at most, and the
-#: length of a seed. Of 20 words in a row with two misspelt and one interruption, at least five in a row are intact.
+#: length of a seed; shorter items have shorter ones (seed_size). Of 20 words in a row with two misspelt and one interruption, at least five in a row are intact.
 RUN, ONE_IN, INSERTED, SEED = 20, 10, 6, 5
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _BASES = np.array([pow(0x9E3779B97F4A7C15, SEED - 1 - k, 1 << 64) for k in range(SEED)], dtype=np.uint64)
@@ -77,44 +77,54 @@ def _numbers(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _seeds(numbers: np.ndarray) -> np.ndarray:
-    """The rolling hash of every run of ``SEED`` words."""
-    n = len(numbers) - SEED + 1
+def seed_size(whole: int) -> int:
+    """The words of a seed for an item of ``whole`` words: a run that is intact whatever slips and insertion a case has, ``SEED`` at most.
+
+    A whole item of fewer than ``RUN`` words has one slip in ``ONE_IN`` words and one insertion, which leave that many runs and one more.
+    """
+    slips = whole // ONE_IN
+    return min(SEED, -(-(whole - slips) // (slips + 2)))
+
+
+def _seeds(numbers: np.ndarray, size: int = SEED) -> np.ndarray:
+    """The rolling hash of every run of ``size`` words."""
+    n = len(numbers) - size + 1
     out = np.zeros(max(n, 0), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(SEED if n > 0 else 0):
-            out += numbers[k : k + n] * _BASES[k]
+        for k in range(size if n > 0 else 0):
+            out += numbers[k : k + n] * _BASES[SEED - size + k]
     return out
 
 
 class ItemIndex:
-    """The seeds of a bounded block of items; items of fewer than ``SEED`` words go by their whole text."""
+    """The seeds of a bounded block of items, by their size; items of fewer than ``SEED`` words go by their whole text as well."""
 
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.words = dict(items)
-        hashes, where = [], []
         self.short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+        held: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, words in items:
             if 0 < len(words) < SEED:
                 self.short[words[0]].append((item, words))
-            for at, h in enumerate(_seeds(_numbers(words))):
-                hashes.append(int(h))
-                where.append((item, at))
-        order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
-        self.hashes = np.array(hashes, dtype=np.uint64)[order]
-        self.where = [where[i] for i in order]
+            if len(words) > 1 and self.words[item] is words:
+                size = seed_size(len(words))
+                held[size] += [(int(h), item, at) for at, h in enumerate(_seeds(_numbers(words), size))]
+        self.seeds = {}
+        for size, rows in held.items():
+            rows.sort(key=lambda r: r[0])
+            self.seeds[size] = np.array([r[0] for r in rows], dtype=np.uint64), [r[1:] for r in rows]
 
     def matches(self, words: list[str], numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """(place in the document, place in the item) of every seed by item."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        seeds = _seeds(numbers)
-        if len(seeds) and len(self.hashes):
-            left = np.searchsorted(self.hashes, seeds, "left")
-            right = np.searchsorted(self.hashes, seeds, "right")
+        for size, (hashes, where) in self.seeds.items():
+            seeds = _seeds(numbers, size)
+            left = np.searchsorted(hashes, seeds, "left")
+            right = np.searchsorted(hashes, seeds, "right")
             for d in np.nonzero(right > left)[0]:
                 for k in range(left[d], right[d]):
-                    item, at = self.where[k]
-                    if self.words[item][at : at + SEED] == words[d : d + SEED]:
+                    item, at = where[k]
+                    if self.words[item][at : at + size] == words[d : d + size]:
                         found[item].append((int(d), at))
         return found
 
@@ -187,12 +197,13 @@ def enough(marks: list[int], whole: int) -> bool:
 def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]]) -> tuple[bool, int, int, int]:
     """(leaked, words of the item covered by its tiles, start and end of the longest tile in the document)."""
     runs: dict[int, list[list[int]]] = defaultdict(list)
+    size = seed_size(len(item))
     for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
         on = runs[d - i]
         if on and on[-1][1] >= d:
-            on[-1][1] = d + SEED
+            on[-1][1] = d + size
         else:
-            on.append([d, d + SEED])
+            on.append([d, d + size])
     matches = sorted(((b - a, a, a - diagonal) for diagonal, spans in runs.items() for a, b in spans), reverse=True)
     marked_doc, marked_item = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
     leaked, best = False, (0, 0, 0)
@@ -217,16 +228,18 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, int, int, in
     if not doc:
         return []
     out = []
+    for at, w in enumerate(doc if index.short else ()):
+        for item, words in index.short.get(w, ()):
+            if doc[at : at + len(words)] == words:
+                out.append((item, len(words), len(words), at, at + len(words)))
+    whole = {row[0] for row in out}
     for item, seeds in index.matches(doc, _numbers(doc)).items():
         words = index.words[item]
+        if item in whole:
+            continue
         leaked, covered, start, end = tiles(doc, words, seeds)
         if leaked:
             out.append((item, covered, len(words), start, end))
-    if index.short:
-        for at, w in enumerate(doc):
-            for item, words in index.short.get(w, ()):
-                if doc[at : at + len(words)] == words:
-                    out.append((item, len(words), len(words), at, at + len(words)))
     return out
 
 

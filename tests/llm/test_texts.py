@@ -169,6 +169,20 @@ def test_slips_in_words_of_one_or_two_letters():
         assert not leakage.leaks_of(" ".join(words), leakage.ItemIndex([(1, whole)]))
 
 
+def test_short_items_with_an_insertion_or_a_slip():
+    for n in range(2, 20):
+        item = [f"word{chr(97 + k)}" for k in range(n)]
+        index = leakage.ItemIndex([(1, item)])
+        for at in range(1, n):
+            for slip in range(n) if n >= leakage.ONE_IN else [None]:
+                words = list(item)
+                if slip is not None and not at - 4 < slip < at + 3:
+                    words[slip] = words[slip].replace("wo", "wwo")
+                doc = ["before", *words[:at], "(see", "page)", *words[at:], "behind"]
+                assert [r[0] for r in leakage.leaks_of(" ".join(doc), index)] == [1], (n, at, slip)
+        assert not leakage.leaks_of(" ".join(["before", *item[:-1], "behind"]), index)
+
+
 def test_leakage_operator_in_blocks(spark):
     text = " ".join(f"word{chr(97 + i)}x" for i in range(25))
     docs = spark.createDataFrame([(1, f"so {text} end"), (1, f"so {text} end"), (2, None), (3, "none of it"), (None, text)], "doc_id long, text string")
