@@ -62,7 +62,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def tokens(sentence: str) -> list[str]:
-    return [t.lower().replace("’", "'") for t in _TOKEN.findall(sentence) if not (len(t) > 1 and t.isascii() and t.isupper())]
+    """The words in lower case; beside words that are not in capitals, those that are count as codes and are left out."""
+    words = _TOKEN.findall(sentence)
+    if not all(t.isupper() for t in words):
+        words = [t for t in words if not (len(t) > 1 and t.isascii() and t.isupper())]
+    return [t.lower().replace("’", "'") for t in words]
 
 
 def _grams(word: str, longest: int) -> Iterator[str]:

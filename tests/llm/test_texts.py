@@ -130,6 +130,12 @@ def test_labels(spark):
     assert {r["l"]: r["v"] for r in df.select("l", langid.label_language(F.col("l")).alias("v")).collect()} == given
 
 
+def test_texts_in_capitals_have_words(spark):
+    assert langid.tokens("Set the LED to OFF") == ["set", "the", "to"] and langid.tokens("NIEMALS DEN DECKEL ÖFFNEN") == ["niemals", "den", "deckel", "öffnen"]
+    rows = langid.language_segments(language_docs(spark, [(1, EN.upper(), "de")])).filter("doc_id = 1").collect()
+    assert len(rows) == 1 and "en" in tuple(rows[0])
+
+
 # --- leakage ---------------------------------------------------------------------------------------------------------------------
 
 
