@@ -63,22 +63,25 @@ def similarity(cosine: Column) -> Column:
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, key: str = "vec_id", top: int = VECTOR_TOP, category: str | None = None, block: int = 2000, longest: int = 4096
+    queries: DataFrame, vectors: DataFrame, key: str = "vec_id", top: int = VECTOR_TOP, category: str | None = None, block: int = 2000, block_bytes: int = 64 << 20
 ) -> DataFrame:
     """``(qid, key, score)`` of the ``top`` nearest unit vectors of each query, exact, by cosine.
 
-    ``queries`` is ``(qid, unit[, category])``. It is held in blocks of at most ``block`` vectors, each of which is broadcast and passed over
+    ``queries`` is ``(qid, unit[, category])``. It is held in blocks of at most ``block`` vectors and ``block_bytes`` bytes, or one vector, each of which is broadcast and passed over
     all vectors as one matrix product a batch; every partition keeps its best ``top`` for each query, which the final rank merges. With
     ``category``, a query takes only vectors of its category if at least three of the ``top`` are left so, else all; null, empty and
     ``general`` take all.
     """
     columns = ["qid", "unit"] + ([category] if category else [])
     parts: list[list] = []
+    held = 0
     for row in queries.select(*columns).orderBy("qid").toLocalIterator():
-        if not parts or len(parts[-1]) == block:
+        unit = np.array(row["unit"])
+        if not parts or len(parts[-1]) == block or held + unit.nbytes > block_bytes:
             parts.append([])
-        if len(row["unit"]) <= longest:
-            parts[-1].append((row["qid"], np.array(row["unit"]), row[category] if category else None))
+            held = 0
+        parts[-1].append((row["qid"], unit, row[category] if category else None))
+        held += unit.nbytes
     types = {"qid": queries.schema["qid"].dataType.simpleString(), "key": vectors.schema[key].dataType.simpleString()}
     schema = f"qid {types['qid']}, {key} {types['key']}, score double, wanted boolean"
     found = None

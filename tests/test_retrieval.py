@@ -112,3 +112,13 @@ def test_inverted_file_recall(spark):
     everything = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, probes=16, top=10).collect()}
     assert everything == exact
     assert vector_index.search(asked.filter("false"), table, centres, 2).count() == 0
+
+
+def test_long_vectors_are_searched_in_blocks_of_bounded_bytes(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4100)]) for i in range(5)]
+    unit = index.unit_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    asked = unit.select(F.col("vec_id").alias("qid"), "unit")
+    for size in (1, 2 * 8 * 4100, 64 << 20):
+        got = retrieve.nearest(asked, unit, top=1, block_bytes=size).collect()
+        assert sorted((r["qid"], r["vec_id"]) for r in got) == [(i, i) for i in range(5)]
