@@ -38,8 +38,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> list[str]:
-    """The series names of the product table, a table of fixed size."""
-    rows = table(spark, d, "product_models").select("series").distinct().orderBy("series").limit(1000).collect()
+    """All series names of the product table."""
+    rows = table(spark, d, "product_models").select("series").distinct().orderBy("series").collect()
     return [r["series"] for r in rows if r["series"]]
 
 

@@ -74,6 +74,12 @@ def test_understood_questions_are_searched_in_translation(spark):
     assert r["context"].startswith("--- CHUNK [c3]") and "zzz" in r["prompt"] and "pump shows E3" in r["prompt"]
 
 
+def test_series_names_beyond_a_thousand_are_read(spark, tmp_path):
+    names = [f"S{i:04d}" for i in range(1010)]
+    spark.createDataFrame([(x,) for x in [*names, None]], "series string").write.parquet(str(tmp_path / "product_models.parquet"))
+    assert importlib.import_module("lodestone.plans.registry").series(spark, str(tmp_path)) == names
+
+
 def test_running_totals_match_a_loop_whatever_the_partitions(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.randint(0, 3)) for i in range(300)]
