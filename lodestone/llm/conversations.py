@@ -55,8 +55,9 @@ def kept_turns(messages: DataFrame) -> DataFrame:
     return rows.filter(~says_nothing(F.col("text")) & ~F.coalesce(F.col("speaker") == "system", F.lit(False)))
 
 
-#: At equal times the user's turn comes first, then by id.
-TURN_ORDER = ("created_at", "assistant_last", "id")
+def turn_order(later: Column) -> list[Column]:
+    """The order of turns: by time, those without one last; at equal times the user's (``later`` is 0) first, then by id."""
+    return [F.col("created_at").asc_nulls_last(), later.asc(), F.col("id").asc()]
 
 
 def _with_order(turns: DataFrame) -> DataFrame:
@@ -115,8 +116,8 @@ def conversation_faults(messages: DataFrame, conversations: DataFrame) -> DataFr
     flags = turns.groupBy("conversation_id").agg(
         F.max(F.col("created_at").isNull() | (F.col("speaker") == "?")).alias("unclear")
     )
-    ordered = _with_order(turns).select("conversation_id", *TURN_ORDER, "speaker")
-    keys = ["conversation_id", *TURN_ORDER]
+    ordered = _with_order(turns).select("conversation_id", "created_at", "assistant_last", "id", "speaker")
+    keys = [F.col("conversation_id"), *turn_order(F.col("assistant_last"))]
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conversation_id", "speaker")
     parts = ordered.mapInPandas(_automaton, FRAGMENT)
     whole = parts.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("part", "first", "last", "missing"))).alias("f"))
@@ -148,7 +149,7 @@ def conversation_faults(messages: DataFrame, conversations: DataFrame) -> DataFr
 def numbered_turns(messages: DataFrame) -> DataFrame:
     """The kept turns with ``turn`` (from 1) and ``asked`` (how many user's turns stand before), for any group size."""
     turns = _with_order(kept_turns(messages))
-    order = [F.col("created_at").asc_nulls_first(), F.col("assistant_last").asc(), F.col("id").asc()]
+    order = turn_order(F.col("assistant_last"))
     totals = {"before": F.lit(1), "asked": F.when(F.col("speaker") == "user", 1).otherwise(0)}
     numbered = running_totals(turns, ["conversation_id"], order, totals)
     return numbered.withColumn("turn", F.col("before") + 1).drop("before", "assistant_last")

@@ -24,7 +24,7 @@ _TURNS = rf"""named AS (SELECT DISTINCT id, conversation_id, text, created_at, l
  lower(regexp_replace(text, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS core FROM named WHERE conversation_id IS NOT NULL),
  turns AS (SELECT * FROM told WHERE coalesce(speaker, '?') <> 'system' AND core <> '' AND core NOT IN ({_names(STAND_INS)})),
  seq AS (SELECT conversation_id, id, text, created_at, speaker, row_number() OVER w AS turn, lead(speaker) OVER w AS following FROM turns
- WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at NULLS FIRST, (coalesce(speaker, '?') <> 'user')::INT, id)),
+ WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at NULLS LAST, (coalesce(speaker, '?') <> 'user')::INT, id)),
  ids AS (SELECT id AS conversation_id FROM conversations WHERE id IS NOT NULL UNION SELECT conversation_id FROM messages WHERE conversation_id IS NOT NULL),
  facts AS (SELECT conversation_id, bool_or(created_at IS NULL OR speaker IS NULL) AS unclear, bool_or(turn = 1 AND coalesce(speaker, '?') <> 'user') AS starts_wrong,
  bool_or(coalesce(speaker, '?') = 'user' AND coalesce(following, '?') <> 'assistant') AS missing FROM seq GROUP BY conversation_id),

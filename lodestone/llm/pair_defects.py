@@ -1,8 +1,9 @@
 """Defective answers among prompt and response pairs: empty, truncated, refusal, copy, or in another language.
 
-Refusals: the openings of the responses, with what they share with their prompt masked, are grouped by MinHash, verified and connected; a template
-that recurs across unrelated prompts and says that the speaker cannot or will not answer marks all its members. The other defects come
-from checks of copying, language and termination; an open end is judged by how often its last words end a sentence anywhere in the answers.
+Refusals: the openings of the responses, with what they share with their prompt masked, are grouped by MinHash, verified and connected. A template
+that recurs across unrelated prompts is a refusal if most of its answers show evidence of one: a word of limit together with a word of
+speaking acts. Such evidence decides nothing for an answer alone, and a template's members follow it whatever they say. The other defects
+come from checks of copying, language and termination; an open end is judged by how often its last words end a sentence anywhere in the answers.
 """
 
 from __future__ import annotations
@@ -15,116 +16,142 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.conversations import distinct_messages, says_nothing, speaker
-from lodestone.llm.langid import LANGUAGES, LanguageModel, sentences, tokens, training_sample
-from lodestone.scale import cut_lineage, running_totals, spread
+from lodestone.llm.conversations import distinct_messages, says_nothing, speaker, turn_order
+from lodestone.llm.langid import LANGUAGES, LanguageModel, training_sample
+from lodestone.scale import cut_lineage, spread
 
 
-def pairs(messages: DataFrame) -> DataFrame:
-    """``(id, question, answer, nothing)`` of each assistant's message that a user's message of its conversation stands before.
+def ordered_turns(messages: DataFrame) -> DataFrame:
+    """``(conversation_id, later, id, text, nothing)`` of the user's and the assistant's messages, sorted within the parts of a range partitioning.
 
-    Several answers in a row share the question before them. A conversation of any size is spread over its rows' range.
+    A conversation of any size is spread over its rows' range; ``later`` is 0 for the user. There are enough parts for work that is bound by CPU.
     """
     rows = distinct_messages(messages).filter(F.col("conversation_id").isNotNull())
     rows = rows.withColumn("speaker", speaker(F.col("role"))).filter(F.col("speaker").isin("user", "assistant"))
-    rows = rows.withColumn("later", (F.col("speaker") != "user").cast("int"))
-    order = [F.col("created_at").asc_nulls_last(), F.col("later").asc(), F.col("id").asc()]
-    narrow = running_totals(rows.select("conversation_id", "created_at", "later", "id"), ["conversation_id"], order, {"asked": 1 - F.col("later")})
-    rows = rows.select("id", "text").join(narrow.select("id", "conversation_id", "later", "asked"), "id")
-    asked = rows.filter("later = 0").select("conversation_id", (F.col("asked") + 1).alias("asked"), F.col("text").alias("question"))
-    given = rows.filter("later = 1").select("conversation_id", "asked", "id", F.col("text").alias("answer"), says_nothing(F.col("text")).alias("nothing"))
-    # divided once by the join's keys, in as many parts as the work on the pairs wants
+    rows = rows.select("conversation_id", "created_at", (F.col("speaker") != "user").cast("int").alias("later"), "id", "text", says_nothing(F.col("text")).alias("nothing"))
     spark = messages.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = ["conversation_id", "asked"]
-    both = given.repartition(n, *keys).join(asked.repartition(n, *keys), keys)
-    return both.select("id", "question", "answer", "nothing")
+    order = turn_order(F.col("later"))
+    keys = [F.col("conversation_id"), *order]
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("conversation_id", "later", "id", "text", "nothing")
 
 
 # --- what an answer says -------------------------------------------------------------------------------------------------------
 
-#: Statements that one cannot or will not answer (fixed patterns, by language).
-_DECLINES = regex.compile(
-    r"""\b(?:i|we)(?:['’]m|['’]re|\ am|\ are)?\ (?:really\ |very\ |so\ )?(?:afraid|unable|not\ (?:able|allowed|permitted|in\ a\ position|authori[sz]ed|comfortable|certain|sure))\b
-    |\b(?:i|we)(?:\ simply|\ really|\ regret\ that\ i)?\ (?:can(?:\ ?not|['’]t)|could\ ?n['’o]t|won['’]t|will\ not|would\ not|wouldn['’]t|must(?:\ not|\ decline|\ refuse)|have\ to\ (?:decline|refuse)|decline|refuse)\ ?(?!\ *(?:stress|emphasi[sz]e|overstate|recommend|thank|wait)\b)
-    |\b(?:i|we)\ (?:do\ not|don['’]t|did\ not|didn['’]t)\ (?:have|know|offer|provide|possess|feel|find|give|answer|discuss|support|see|handle)\b
-    |\b(?:i|we)(?:['’]d|\ would)?\ (?:rather|prefer)\ (?:not|no)\b
-    |\b(?:i|we)\ (?:have|had|found|find|know|see)\ (?:nothing|no\ (?:information|answer|details?|data|knowledge|access|way|means))\b
-    |\b(?:outside|beyond|exceeds?|not\ within|not\ part\ of)\ (?:what\ i|what\ we|of\ what|the\ scope|my|our)\b
-    |\b(?:prevents?|prevent|forbids?|keeps?|stops?|bars?)\ (?:me|us)\ from\b|\bnot\ (?:allow|permit|let)\ (?:me|us)\b
-    |\bnot\ be\ (?:appropriate|possible|right|proper)\ for\ (?:me|us)\b|\bnot\ (?:possible|appropriate)\ for\ (?:me|us)\b
-    |\bno\ (?:answer|response|reply|advice|help|information|guidance|statement)\ (?:can|could|may|is|was)\b|\b(?:can|could)\ ?not\ be\ (?:answered|given|provided|discussed)\b
-    |\b(?:gave|give|gives|offers?|tells?|told|says?|provides?)\ (?:me|us)\ (?:nothing|no)\b|\bnothing\ (?:certain|reliable|definite|useful)\b
-    |\bonly\ (?:authori[sz]ed|qualified|certified|trained)\b.*\b(?:receive|get|may\ (?:see|have|know|receive))\b|\bnot\ (?:authori[sz]ed|allowed|permitted)\ to\ (?:discuss|answer|share|say|give|help|tell|provide|disclose)\b
-    |\bthis\ (?:question|request|topic|matter)\ (?:is\ (?:not|beyond|outside)|falls|can(?:\ ?not|['’]t)|lies)\b|\bunable\ to\ (?:help|answer|assist|comment|provide|respond|comply|share|say)\b
-    |\b(?:must|have\ to|need\ to|going\ to)\ (?:decline|refuse)\b|\bcannot\ (?:help|assist|answer|comment|comply|advise|respond)\b|\b(?:decline|refuse)\ to\ (?:answer|give|comment|help|advise|say)\b
-    |\bmadad\ na(?:hi|hin)?\b|\b(?:jawab|madad|maloomat|mashwara|bata|batana|rehnumai)\b.*\b(?:mumkin\ nahi|nahi(?:n)?\ (?:kar|de|ho|hai|bata|hain)|qasir|mazrat)|\bmumkin\ nahi|\bse\ qasir\b
-    |مدد\ نہیں|جواب\ (?:نہیں|دینا)|ممکن\ نہیں|قاصر|بتا\ نہیں|نہیں\ (?:بتا|دے|کر)\ سک|معلومات\ نہیں
-    |لا\ (?:أستطيع|يمكنني|أقدر|يمكن\ الإجابة|أملك|يسعني|أعرف)|لن\ أتمكن|ليس\ (?:بإمكاني|بوسعي|لدي)|غير\ قادر|لست\ قادرا|يتعذر\ علي|أعتذر\ عن\ (?:عدم|الإجابة)
-    |(?:我|本人)?(?:无法|不能|没有办法|没法|不便|不可以|拒绝)(?:回答|提供|帮助|协助|解答|处理|讨论|给出|为您|答复|评论)|无可奉告|超出(?:了)?我的|没有(?:足够的)?(?:信息|资料)
-    |\b(?:ich|wir)\b.*\b(?:kann|können|darf|dürfen|möchte)\b.*\b(?:nicht|keine?n?)\b|\b(?:kann|können|darf|dürfen)\ (?:ich|wir)\b.*\b(?:nicht|keine?n?)\b|\bnicht\ (?:möglich|in\ der\ lage|beantworten|weiterhelfen|helfen)\b|\bkeine\ (?:antwort|auskunft|angaben|informationen)\b
-    |\bje\ ne\ (?:peux|suis|sais|puis|dispose|pourrai)\b|\bnous\ ne\ (?:pouvons|sommes)\b|\bpas\ en\ mesure\b|\bimpossible\ de\ (?:répondre|vous)|\bil\ m['’]est\ impossible\b
-    |\bno\ (?:puedo|podemos|me\ es\ posible|estoy\ en\ condiciones|soy\ capaz|tengo\ (?:información|datos)|dispongo|es\ posible\ responder|estoy\ autorizad|nos\ es\ posible)
-    |\b(?:yardımcı\ olam|yanıtlayam|cevaplayam|cevap\ verem|yanıt\ verem|bilgi\ verem|yardım\ edem|mümkün\ değil|bilgim\ yok|elimden\ gelm)""",
-    regex.I | regex.X | regex.V1,
+#: Words that deny, limit or decline; Turkish has them as endings too, Han characters stand alone (fixed values).
+_LIMITS = frozenset(
+    "not cannot can't cant couldn't won't wouldn't don't doesn't didn't isn't aren't haven't mustn't shouldn't no none nothing never neither nor unable beyond outside exceed exceeds decline declines"
+    " declined refuse refuses refused prevent prevents forbid forbids prohibited impossible rather refrain insufficient lack lacking afraid"
+    " nicht kein keine keinen keiner keinerlei nichts unmöglich außerhalb ablehnen verweigern"
+    " pas aucun aucune impossible refuse hors rien"
+    " no ningún ninguna nada imposible fuera niego"
+    " değil yok imkansız"
+    " نہیں قاصر ناممکن انکار باہر nahi nahin nahein nai qasir namumkin inkar"
+    " لا لن ليس لست لم غير يتعذر عاجز خارج 无 不 没 拒".split()
+)
+_LIMIT_ENDS = ("amam", "emem", "amayız", "emeyiz", "amıyorum", "emiyorum", "amıyoruz", "emiyoruz", "amadım", "emedim", "amayacağım", "emeyeceğim")
+#: How words of speaking acts, of knowing and of their matter begin (fixed values); Arabic ones hold a root with what stands before it.
+_ACTS = (
+    "answer", "help", "assist", "advis", "advic", "comment", "discuss", "explain", "guid", "inform", "instruct", "provid", "respond", "respons", "reply", "repli", "disclos", "request", "question", "scope", "topic", "matter", "know", "certain", "sure",
+    "antwort", "beantwort", "helf", "weiterhelf", "hilfe", "auskunft", "angaben", "erklär", "frage", "répon", "aid", "renseign", "conseil", "expliqu",
+    "respuesta", "ayud", "aconsej", "explic", "pregunta", "contest", "yardım", "yanıt", "cevap", "bilgi", "soru",
+    "جواب", "مدد", "معلومات", "مشورہ", "بتا", "سوال", "رہنمائی", "jawab", "madad", "maloomat", "mashwara", "bata", "sawal", "rehnumai",
+    "答", "帮", "助", "供", "解", "论",
+)
+_ACT = regex.compile("^(?:" + "|".join(_ACTS) + r")|(?:جاب|جيب|ساعد|معلوم|سؤال|شرح|نصيح)")
+#: Words of the speaker; where verbs tell it, the first person of being able (fixed values).
+_SELF = frozenset(
+    "i i'm i'd i've i'll me my myself we we're we've us our ich wir mir mich uns mein meine unser unsere je j'ai moi me m'est nous mon notre yo mi nos nuestro puedo podemos tengo dispongo estoy soy"
+    " ben biz benim bizim میرے مجھے میرا ہم ہمارے سکتا سکتی سکتے سکوں ممکن mere mujhe mera hum hamare sakta sakti sakte sakoon mumkin أستطيع يمكنني أقدر بإمكاني لدي أنا نحن 我".split()
 )
+#: Words that open a condition: such a sentence tells what to do in a case (fixed values).
+_IF = frozenset("if when unless wenn falls sobald si quand lorsque cuando eğer agar jab اگر جب إذا عندما إن 如 若 当".split())
+
+
+def evidence(words: list[str]) -> int:
+    """How much of a refusal the words of a sentence show: 0 none, 1 a limit with an act, 2 of the speaker as well."""
+    speaks = any(w.endswith(_LIMIT_ENDS) for w in words)
+    if (_LIMITS.isdisjoint(words) and not speaks) or words[0] in _IF or not any(_ACT.search(w) for w in words):
+        return 0
+    return 2 if speaks or not _SELF.isdisjoint(words) else 1
+
+
 #: Courtesies and referrals that help nobody by themselves (fixed patterns).
 _COURTESY = regex.compile(
     r"""^\W*(?:(?:i['’]m\ |i\ am\ |we['’]re\ |so\ |very\ )*sorry\b[^:;]*|sorry\ to\ hear.*|hello.*|hi\b.*|dear\b.*|thanks?\b.*|apolog(?:ies|y|ise|ize)\b[^:;]*|unfortunately|regrettably|please\ (?:contact|call|ask|refer|consult|reach|get\ in\ touch|visit|turn)\b.*
-    |is\ there\ anything.*|(?:a|any|only\ a)\ (?:qualified|certified|trained)\ (?:person|technician|staff)\b.*|let\ me\ know.*|feel\ free.*|good\ (?:day|morning|evening).*|as\ an?\ (?:assistant|ai)\b.*|maazrat.*|ma['’]?zrat.*|bara[ye]\ .*rabta.*|معذرت.*|عذر[اً]+.*|آسف.*|抱歉.*|对不起.*|很遗憾.*
+    |is\ there\ anything.*|.*\b(?:qualified|certified|trained|authori[sz]ed)\ (?:person|people|technicians?|staff|personnel|partners?)\b.*|let\ me\ know.*|feel\ free.*|good\ (?:day|morning|evening).*|as\ an?\ (?:assistant|ai)\b.*|maazrat.*|ma['’]?zrat.*|bara[ye]\ .*rabta.*|معذرت.*|عذر[اً]+.*|آسف.*|抱歉.*|对不起.*|很遗憾.*
     |tut\ mir\ leid.*|es\ tut\ mir\ leid.*|leider|bitte\ wenden.*|désolée?.*|je\ suis\ désolée?.*|malheureusement|veuillez\ contacter.*|lo\ siento.*|lamentablemente|por\ favor\ contacte.*|üzgünüm.*|maalesef.*)\W*$""",
     regex.I | regex.X | regex.V1,
 )
-#: Pieces of text of which every match of ``_DECLINES`` holds one at least, whatever its alternative; a test spells all of them out.
-_CUES = tuple(
-    "not|n't|nothing| no |unable|afraid|decline|refuse|rather no|prefer no|outside|beyond|exceed|me from|us from|me no|us no|no answer|no response|no reply|no advice|no help|no information|no guidance"
-    "|no statement|only auth|only qualified|only certified|only trained| falls| lies|madad na|nahi|qasir|mazrat|نہیں|قاصر|جواب دینا|لا |لن أتمكن|ليس |غير قادر|لست قادرا|يتعذر علي|أعتذر عن|无|不|没|拒绝|超出"
-    "|nicht|kein|je ne |nous ne |pas en mesure|impossible|no pued|no podemos|no me |no estoy|no soy|no tengo|no dispongo|no es |no nos |yardimci olam|yanitlayam|cevaplayam|cevap verem|yanit verem|bilgi verem"
-    "|yardim edem|mümkün değil|bilgim yok|elimden gelm".split("|")
-)
-
-
-def may_decline(text: str) -> bool:
-    """Whether any statement may hold; it saves the search for one and decides nothing else. Case, i and apostrophes are as free as there."""
-    low = text.replace("’", "'").replace("İ", "i").replace("ı", "i").casefold()
-    return any(cue in low for cue in _CUES)
-
-
 _NUMBERED = regex.compile(r"\d")
-_WORDS = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
+_WORD = r"\p{Han}|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
+_WORDS = regex.compile(_WORD)
+#: Words, and what ends a sentence: its mark, or an ellipsis or a line end, behind which it is open.
+_PIECES = regex.compile(rf"{_WORD}|[.!?۔؟…][\"'”’»)]?(?=\s|$)|[。！？]|[\r\n\x0b\x0c\x85\u2028\u2029]")
+_STOPS, _OPENS = frozenset(".!?۔؟。！？"), frozenset("…\r\n\x0b\x0c\x85\u2028\u2029")
 
 
 def words_of(text: str) -> list[str]:
     """Words, numbers and Han characters in lower case."""
-    return [w.lower().replace("’", "'") for w in _WORDS.findall(text)]
+    return _WORDS.findall(text.lower().replace("’", "'"))
 
 
-def judge(text: str) -> tuple[bool, bool]:
-    """(a sentence declines, another sentence holds something else) for an answer."""
-    declines = holds = False
-    for a, b in sentences(text):
-        s = text[a:b].strip()
-        if not any(c.isalnum() for c in s):
-            continue
-        m = _DECLINES.search(s) if may_decline(s) else None
-        if m and not regex.search(r"[:;]\s*\p{L}", s[m.start() :]):
-            declines = True
-        elif not _COURTESY.match(s):
-            holds = True
-    return declines, holds
+def sentences_of(text: str) -> list[tuple[list[str], bool]]:
+    """(words in lower case, whether a mark ends it) of each sentence that has words."""
+    out: list[tuple[list[str], bool]] = []
+    words: list[str] = []
+    for x in _PIECES.findall(text.lower().replace("’", "'")):
+        if x[0] in _STOPS or x[0] in _OPENS:
+            if words:
+                out.append((words, x[0] in _STOPS))
+                words = []
+        else:
+            words.append(x)
+    if words:
+        out.append((words, False))
+    return out
 
 
-def opening(question: str, answer: str, longest: int = 40) -> str:
-    """The first words of an answer; codes and numbers, and the words that it shares with its prompt, are masked.
+def masked(words: list[str]) -> list[str]:
+    return [w if w.isalpha() or not _NUMBERED.search(w) else "9" for w in words]
+
+
+def opening(question: list[str], words: list[str], longest: int = 40) -> str:
+    """The first words of a statement; codes and numbers, and the words that it shares with its prompt, are masked.
 
     Function words stay, whatever the prompt holds: words of up to three letters are never masked.
     """
-    shared = {w for w in words_of(question) if len(w) > 3 or _NUMBERED.search(w)}
-    masked = ["9" if _NUMBERED.search(w) else "_" if w in shared else w for w in words_of(answer)[:longest]]
-    return " ".join(w for i, w in enumerate(masked) if i == 0 or w != "_" or masked[i - 1] != "_")
+    shared = {w for w in question if len(w) > 3}
+    out: list[str] = []
+    for w, m in zip(words[:longest], masked(words[:longest]), strict=True):
+        if m != "9" and w in shared:
+            m = "_"
+        if m != "_" or not out or out[-1] != "_":
+            out.append(m)
+    return " ".join(out)
+
+
+def statement(text: str, sentences: list[tuple[list[str], bool]]) -> tuple[list[str], int, bool]:
+    """(words of the statement that opens an answer, the evidence in it, whether the answer holds something else).
+
+    The statement is the first sentence that is no courtesy, or the first one of all; a colon or semicolon behind it leads to something else.
+    """
+    first, shown, holds = None, 0, False
+    for words, _ in sentences:
+        e = evidence(words)
+        if e == 0 and _COURTESY.match(" ".join(words)):
+            continue
+        if first is None:
+            first, shown = words, e
+        elif e == 0:
+            holds = True
+            break
+    if first is None:
+        first = sentences[0][0] if sentences else []
+    return first, shown, holds or bool(shown and _LEADS.search(text))
 
 
 def shingles(text: str, size: int = 5) -> set[int]:
@@ -132,16 +159,20 @@ def shingles(text: str, size: int = 5) -> set[int]:
     return {xxhash.xxh64_intdigest(" ".join(w[i : i + size])) for i in range(max(1, len(w) - size + 1))}
 
 
-_A = np.array([(2 * xxhash.xxh64_intdigest(f"a{i}") + 1) & (2**64 - 1) for i in range(64)], dtype=np.uint64)
-_B = np.array([xxhash.xxh64_intdigest(f"b{i}") for i in range(64)], dtype=np.uint64)
+#: A mark behind which an answer goes on with something else.
+_LEADS = regex.compile(r"[:;：；]\s*\p{L}")
+
+BANDS, ROWS = 12, 3
+_A = np.array([(2 * xxhash.xxh64_intdigest(f"a{i}") + 1) & (2**64 - 1) for i in range(BANDS * ROWS)], dtype=np.uint64)
+_B = np.array([xxhash.xxh64_intdigest(f"b{i}") for i in range(BANDS * ROWS)], dtype=np.uint64)
 
 
-def bands(text: str, rows: int = 4) -> list[int]:
-    """64 MinHash values in 16 bands: openings of similarity 0.8 share a band with probability 0.9998."""
+def bands(text: str) -> list[int]:
+    """36 MinHash values in 12 bands of 3: openings of similarity 0.8 share a band with probability 0.9997."""
     s = np.fromiter(shingles(text), dtype=np.uint64)
     with np.errstate(over="ignore"):
         low = (s[:, None] * _A[None, :] + _B[None, :]).min(axis=0)
-    return [xxhash.xxh64_intdigest(low[i : i + rows].tobytes(), seed=i) >> 1 for i in range(0, 64, rows)]
+    return [xxhash.xxh64_intdigest(low[i : i + ROWS].tobytes(), seed=i) >> 1 for i in range(0, BANDS * ROWS, ROWS)]
 
 
 # --- how an answer ends --------------------------------------------------------------------------------------------------------
@@ -161,20 +192,21 @@ _LINKS = frozenset(
 ) - {"is", "no", "not", "hai", "under", "over", "before", "after", "below", "above", "sonra", "par", "no"}
 _ENDED = regex.compile(r"[.!?。！？۔؟][\"'”’»)\]」』）*_]*$")
 _OPEN = regex.compile(r"(?:[,،、;؛:：(\[{“‘–—-]|\p{Dash}|…|\.\.\.|\((?:\p{L}+\s*){1,3}|\b(?:e\.g|i\.e|z\.\ ?b|p\.\ ?ej|approx|ca|incl|esp|no|nr|fig|cf)\.)[\"'”’*_]*$", regex.I)
-_DANGLING = regex.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•])\s*$")
+_DANGLING = regex.compile(r"^\s*(?:\d{1,3}[.)]|[-*•])\s*$")
 _CJK_END = regex.compile(r"\p{Han}$")
 
 
 def ending(text: str) -> str:
     """``done``, ``cut`` for an end that no sentence or list has, or ``open`` where the words must decide."""
     s = text.strip()
-    if _DANGLING.search("\n" + s) and "\n" in s:
+    last = s.rsplit("\n", 1)[-1]
+    end = last[-200:]  # the patterns of an end look no further back
+    if last is not s and _DANGLING.search(end):
         return "cut"
-    if _OPEN.search(s) and any(c.isalnum() for c in s):
+    if _OPEN.search(end) and any(c.isalnum() for c in s):
         return "cut"
-    if _ENDED.search(s):
+    if _ENDED.search(end):
         return "cut" if s.count("(") > s.count(")") else "done"
-    last = s.rsplit("\n", 1)[-1]
     w = words_of(last)
     if not w:
         return "done"
@@ -192,20 +224,73 @@ ENDS, PLACES = 0.02, 20
 LONGER = 3
 
 
-def masked_words(sentence: str) -> list[str]:
-    return ["9" if _NUMBERED.search(w) else w for w in words_of(sentence)]
-
-
 def gram(w: list[str], seed: int) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(w), seed=seed) >> 1
 
 
 def tail_of(answer: str) -> list[int]:
     """Hashes of the last two words, of the last one, and of the last one as the beginning of a longer word."""
-    w = masked_words(answer.strip().rsplit("\n", 1)[-1])
+    w = masked(words_of(answer.strip().rsplit("\n", 1)[-1]))
     return [gram(w[-2:], 2) if len(w) > 1 else -1, gram(w[-1:], 1), gram(w[-1:], 0)]
 
 
+class GramCounts:
+    """Places of words, word pairs and beginnings of words, and how many of them end a sentence, with its mark or without."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.seen: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, sentences: list[tuple[list[str], bool]]) -> None:
+        known, seen = self.words, self.seen
+        for words, stop in sentences:
+            seen += [known.setdefault(w, len(known)) for w in masked(words)]
+            seen.append(-2 if stop else -1)
+
+    def pack(self) -> None:
+        """Count what was added since the last call: codes of a word, or of a pair, with (places, stops, open ends)."""
+        a = np.array([*self.seen, -1, -1], dtype=np.int64)
+        self.seen = []
+        if len(a) == 2:
+            return
+        one, two = a[:-2] >= 0, (a[:-2] >= 0) & (a[1:-1] >= 0)
+        codes = np.concatenate([a[:-2][one], (a[:-2][two] + 1 << 32) | a[1:-1][two]])
+        ends = np.concatenate([a[1:-1][one], a[2:][two]])
+        self._count(codes, np.stack([np.ones(len(ends), dtype=np.int64), ends == -2, ends == -1], axis=1).astype(np.int64))
+
+    def _count(self, codes: np.ndarray, rows: np.ndarray) -> None:
+        codes, at = np.unique(codes, return_inverse=True)
+        out = np.zeros((len(codes), 3), dtype=np.int64)
+        np.add.at(out, at, rows)
+        self.parts.append((codes, out))
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        """``(gram, places, stops, open ends)`` of all that was added, which is forgotten then."""
+        self.pack()
+        if not self.parts:
+            return []
+        codes, rows = np.concatenate([c for c, _ in self.parts]), np.concatenate([r for _, r in self.parts])
+        self.parts = []
+        self._count(codes, rows)
+        codes, rows = self.parts.pop()
+        names = list(self.words)
+        out, begins = [], Counter()
+        for code, (n, stops, opens) in zip(codes.tolist(), rows.tolist(), strict=True):
+            if code >> 32:
+                out.append((gram([names[(code >> 32) - 1], names[code & 0xFFFFFFFF]], 2), n, stops, opens))
+                continue
+            w = names[code]
+            out.append((gram([w], 1), n, stops, opens))
+            for k in range(1, len(w)):
+                begins[w[:k]] += n
+        self.words = {}
+        return out + [(gram([w], 0), n, 0, 0) for w, n in begins.items()]
+
+    def held(self) -> int:
+        return sum(len(c) for c, _ in self.parts)
+
+
 # --- the plan ------------------------------------------------------------------------------------------------------------------
 
 _REQUESTS = {
@@ -217,12 +302,24 @@ _REQUESTS = {
 _REQUEST = {k: regex.compile(rf"(?<!\p{{L}})(?:{v})(?!\p{{L}})" if v[0].isascii() else v, regex.I) for k, v in _REQUESTS.items()}
 
 
-_QUOTED = regex.compile(r"[“«\"„][^”»\"“]{1,60}[”»\"“]")
+_QUOTED = regex.compile(r"[“«\"„][^”»\"“]{1,400}[”»\"“]")
+
+
+def language_words(text: str, words: list[str]) -> list[str]:
+    """The words that tell a language: no codes, no numbers, nothing that is quoted."""
+    if _QUOTED.search(text):
+        words = words_of(_QUOTED.sub(" ", text))
+    out = []
+    for w in words:
+        if w.isalpha():
+            out.append(w)
+        elif not _NUMBERED.search(w):
+            out += w.split("-")
+    return out
 
 
-def main_language(model: LanguageModel, text: str, least: int = 3, margin: float = 5.0) -> tuple[str | None, set[str]]:
-    """The language of a text, and all that come within ``margin`` nats of it; none of either for fewer than ``least`` words."""
-    words = tokens(_QUOTED.sub(" ", text))
+def main_language(model: LanguageModel, words: list[str], least: int = 3, margin: float = 5.0) -> tuple[str | None, set[str]]:
+    """The language of a text's words, and all that come within ``margin`` nats of it; none of either for fewer than ``least`` words."""
     if len(words) < least:
         return None, set()
     total = model.scores([words])[0]
@@ -246,45 +343,122 @@ def is_copy(question: str, answer: str) -> bool:
     return same >= 0.9 * len(q) or sum(x == y for x, y in zip(q[::-1], a[::-1], strict=False)) >= 0.9 * len(q)
 
 
-PAIRS = "id string, answer string, sure string, declines boolean, holds boolean, opening string, prompt long, tail array<long>"
+class PairReader:
+    """What can be told of a pair by itself; it counts the words of the answers that it reads."""
+
+    def __init__(self, model: LanguageModel) -> None:
+        self.model, self.counts = model, GramCounts()
+        self.asked: dict[str, tuple] = {}
+
+    def question(self, q: str) -> tuple[str | None, set[str], int, list[str]]:
+        told = self.asked.get(q)
+        if told is None:
+            if len(self.asked) >= 20_000:
+                self.asked.clear()
+            words = words_of(q)
+            told = self.asked[q] = (*main_language(self.model, language_words(q, words)), xxhash.xxh64_intdigest(" ".join(masked(words))) >> 1, words)
+        return told
+
+    def read(self, q: str, a: str, nothing: bool, direct: bool) -> tuple:
+        """``(sure, evidence, holds, opening, prompt, tail)``; a further answer in a row, which no question stands directly before, may have any language."""
+        if nothing:
+            return "empty", 0, False, None, 0, None
+        sentences = sentences_of(a)
+        self.counts.add(sentences)
+        asked, also, prompt, asking = self.question(q)
+        first, shown, holds = statement(a, sentences_of(_QUOTED.sub(" ", a)) if _QUOTED.search(a) else sentences)
+        sure, tail = None, None
+        if len(a) <= 2 * len(q) + 60 and is_copy(q, a):
+            sure = "copy"
+        else:
+            if direct and asked:
+                lang, may = main_language(self.model, language_words(a, [w for words, _ in sentences for w in words]))
+                if lang and not may & also and not _REQUEST[lang].search(q):
+                    sure = "language"
+            if sure is None:
+                end = ending(a)
+                if end == "cut":
+                    sure = "truncated"
+                elif end == "open":
+                    tail = tail_of(a)
+        return sure, shown, holds, opening(asking, first), prompt, tail
+
+
+READ = (
+    "kind string, id string, conversation_id string, part int, text string, flag boolean, sure string, evidence int, holds boolean, opening string, prompt long, tail array<long>,"
+    " gram long, n long, stops long, opens long"
+)
+#: Whole numbers of 64 bits beside nulls stay as they are in columns of objects only.
+_READ = [c.split()[0] for c in READ.split(", ")]
+#: Counts are handed on when so many are held.
+HELD = 2_000_000
+
 
+def read_pairs(turns: DataFrame, model: LanguageModel) -> DataFrame:
+    """One pass over the sorted turns (:func:`ordered_turns`): a row of kind ``pair`` for each answer whose question is known.
 
-def _read_pairs(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((model.words, model.grams))
-    cache: dict[int, LanguageModel] = {}
+    Several answers in a row share the question before them. Where a conversation comes from the part before, answers whose question stands
+    there are handed on as kind ``orphan``, and each part hands on the last question of its last conversation as kind ``carry``
+    (:func:`adopted` puts both together). The counts of the words are of kind ``gram``. The rows are written once, since the parts' numbers hold in
+    this one pass only.
+    """
+    shared = turns.sparkSession.sparkContext.broadcast((model.words, model.grams))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if 0 not in cache:
-            cache[0] = LanguageModel(*shared.value)
-        asked_in: dict[str, tuple[str | None, set[str]]] = {}
+        from pyspark import TaskContext
+
+        part, reader = TaskContext.get().partitionId(), PairReader(LanguageModel(*shared.value))
+        now = question = None
+        begun, after = False, None  # whether the conversation begins here; whether the row before is the user's, none for the first row of all
         for pdf in batches:
             out = []
-            for i, q, a, nothing in zip(pdf["id"], pdf["question"], pdf["answer"], pdf["nothing"], strict=True):
-                q = q or ""
-                if nothing:
-                    out.append((i, None, "empty", False, False, None, 0, None))
+            for conv, later, i, text, nothing in zip(pdf["conversation_id"], pdf["later"], pdf["id"], pdf["text"], pdf["nothing"], strict=True):
+                if conv != now:
+                    begun = now is not None
+                    now, question, after = conv, None, False if begun else None
+                if later == 0:
+                    question, after = text or "", True
                     continue
-                declines, holds = judge(a) if may_decline(a) else (False, True)
-                sure, tail = None, None
-                if len(a) <= 2 * len(q) + 60 and is_copy(q, a):
-                    sure = "copy"
-                elif not declines or holds:
-                    end = ending(a)
-                    lang, may = main_language(cache[0], a)
-                    asked, also = asked_in.get(q) or main_language(cache[0], q)
-                    if len(asked_in) < 50_000:
-                        asked_in[q] = asked, also
-                    if lang and asked and not may & also and not _REQUEST[lang].search(q):
-                        sure = "language"
-                    elif end == "cut":
-                        sure = "truncated"
-                    elif end == "open":
-                        tail = tail_of(a)
-                prompt = xxhash.xxh64_intdigest(" ".join(masked_words(q))) >> 1
-                out.append((i, a, sure, declines, holds, opening(q, a), prompt, tail))
-            yield pd.DataFrame(out, columns=["id", "answer", "sure", "declines", "holds", "opening", "prompt", "tail"])
-
-    return rows.mapInPandas(run, PAIRS)
+                if question is not None:
+                    out.append(("pair", i, None, part, None, None, *reader.read(question, text, nothing, bool(after)), None, None, None, None))
+                elif not begun:
+                    out.append(("orphan", i, conv, part, text, after is None, "empty" if nothing else None, *[None] * 9))
+                after = False
+            reader.counts.pack()
+            if reader.counts.held() > HELD:
+                out += [("gram", None, None, part, *[None] * 8, *r) for r in reader.counts.rows()]
+            yield pd.DataFrame(out, columns=_READ, dtype=object)
+        out = [("gram", None, None, part, *[None] * 8, *r) for r in reader.counts.rows()]
+        if now is not None:
+            out.append(("carry", None, now, part, question, bool(after), *[None] * 10))
+        yield pd.DataFrame(out, columns=_READ, dtype=object)
+
+    return cut_lineage(turns.mapInPandas(run, READ))
+
+
+def adopted(read: DataFrame, model: LanguageModel) -> DataFrame:
+    """The orphans of :func:`read_pairs` with the last question of the parts before them, read as the other pairs; those without one are no pairs.
+
+    A part has at most one carry and asks once, so a conversation over any number of parts is a short list; nothing is paired within a group.
+    """
+    shared = read.sparkSession.sparkContext.broadcast((model.words, model.grams))
+    orphans = read.filter("kind = 'orphan'")
+    asks = orphans.select("conversation_id", "part").distinct().select("*", F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("flag"), F.lit(1).alias("asks"))
+    carries = read.filter("kind = 'carry'").select("conversation_id", "part", "text", "flag", F.lit(0).alias("asks"))
+    before = Window.partitionBy("conversation_id").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    lists = asks.unionByName(carries).withColumns({"question": F.last("text", ignorenulls=True).over(before), "behind": F.last("flag", ignorenulls=True).over(before)})
+    known = lists.filter((F.col("asks") == 1) & F.col("question").isNotNull()).select("conversation_id", "part", "question", "behind")
+    rows = orphans.join(known, ["conversation_id", "part"]).select("id", "part", "question", "text", (F.col("sure") == "empty").alias("nothing"), (F.col("flag") & F.col("behind")).alias("direct"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = PairReader(LanguageModel(*shared.value))
+        for pdf in batches:
+            names = ["id", "part", "question", "text", "nothing", "direct"]
+            out = [("pair", i, None, part, None, None, *reader.read(q, text, bool(nothing), bool(direct)), *[None] * 4) for i, part, q, text, nothing, direct in zip(*[pdf[c] for c in names], strict=True)]
+            out += [("gram", None, None, None, *[None] * 8, *r) for r in reader.counts.rows()]
+            yield pd.DataFrame(out, columns=_READ, dtype=object)
+
+    return cut_lineage(rows.mapInPandas(run, READ))
 
 
 def bucket_links(members: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
@@ -340,19 +514,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def refusal_templates(openings: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``(opening, refuses)`` for each distinct opening, by the connected components of all verified MinHash neighbours.
+    """``(opening)``: the distinct openings of refusals, by the connected components of all verified MinHash neighbours.
 
-    ``openings`` has a row for each answer: opening, prompt, declines, holds. Equal openings are counted first, so copies weigh nothing. Any two
+    ``openings`` has a row for each answer: opening, prompt, evidence. Equal openings are counted first, so copies weigh nothing. Any two
     openings of a band's bucket that are similar enough are connected (see :func:`bucket_links`), and so are those that meet in several
-    buckets; a bucket's distinct openings are held by one task. A group refuses if it stands for at least two unrelated prompts and most of its
-    answers decline and hold nothing else; an opening that joined no such group refuses if all its own answers do.
+    buckets; a bucket's distinct openings are held by one task. A group that stands for at least two unrelated prompts is a template, which refuses
+    if most of its answers show evidence of any kind. A group of one prompt is none: it refuses only if its answers show full evidence.
     """
-    kinds = openings.groupBy("opening", "prompt").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("declines") & ~F.col("holds")).cast("long")).alias("refusing")
-    )
-    distinct = kinds.groupBy("opening").agg(
-        F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.min("prompt").alias("one")
-    )
+    distinct = openings.groupBy("opening").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence") > 0).alias("some"), F.count_if(F.col("evidence") > 1).alias("full"),
+        F.min("prompt").alias("low"), F.max("prompt").alias("high"),
+    )
     # a short key for each opening, kept with it: the buckets carry no text
     distinct = cut_lineage(distinct.withColumn("key", F.monotonically_increasing_id()))
 
@@ -379,78 +551,17 @@ def refusal_templates(openings: DataFrame, similarity: float = 0.8) -> DataFrame
     links = components(met.repartition("bucket").sortWithinPartitions("bucket", "key").mapInPandas(linked, "a long, b long"))
     member = distinct.join(links, distinct["key"] == links["a"], "left").withColumn("group", F.coalesce("b", "key"))
     groups = member.groupBy("group").agg(
-        F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.count_distinct("one").alias("ones")
+        *[F.sum(c).alias(c) for c in ("n", "some", "full")], F.min("low").alias("low"), F.max("high").alias("high")
     )
-    refusing = groups.filter((F.greatest("ones", "prompts") >= 2) & (2 * F.col("refusing") > F.col("n"))).select("group", F.lit(True).alias("grouped"))
-    own = (F.col("refusing") == F.col("n")) & (F.col("n") > 0)
-    return member.join(refusing, "group", "left").select("opening", F.coalesce("grouped", own).alias("refuses"))
-
-
-def _bloom(keys: DataFrame, bits: int = 1 << 22) -> np.ndarray:
-    """A bit set of fixed size (512 kB) over the hashes; it only thins what the exact join gets."""
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.zeros(bits // 8, dtype=np.uint8)
-        for pdf in batches:
-            k = pdf["gram"].to_numpy(dtype=np.int64) & (bits - 1)
-            np.bitwise_or.at(mine, k >> 3, (1 << (k & 7)).astype(np.uint8))
-        yield pd.DataFrame({"part": [0], "bits": [mine.tobytes()]})
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"bits": [whole.tobytes()]})
-
-    few = keys.coalesce(16).mapInPandas(fill, "part int, bits binary")
-    row = few.groupBy("part").applyInPandas(both, "bits binary").first()
-    return np.frombuffer(row["bits"], dtype=np.uint8) if row else np.zeros(bits // 8, dtype=np.uint8)
+    votes = F.when(F.col("low") != F.col("high"), F.col("some")).otherwise(F.col("full"))
+    return member.join(groups.filter(2 * votes > F.col("n")).select("group"), "group", "left_semi").select("opening")
 
 
-def open_ends(read: DataFrame) -> DataFrame:
+def open_ends(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """``(id)`` of the answers with an open end whose last words do not end sentences elsewhere in the answers."""
-    tails = read.filter(F.col("tail").isNotNull()).select("id", F.posexplode("tail").alias("place", "gram")).filter("gram >= 0")
-    wanted = _bloom(tails.select("gram").distinct())
-    shared = read.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        top = len(bits) * 8 - 1
-        for pdf in batches:
-            rows: dict[int, list[int]] = {}
-            ones: dict[str, tuple[int | None, list[int]]] = {}
-            twos: dict[tuple[str, str], int | None] = {}
-
-            def hit(g: int) -> int | None:
-                return g if bits[(g & top) >> 3] >> (g & 7) & 1 else None
-
-            def add(g: int | None, stop: bool, end: bool, rows: dict[int, list[int]] = rows) -> None:
-                if g is not None:
-                    r = rows.setdefault(g, [0, 0, 0])
-                    r[0] += 1
-                    r[1] += stop
-                    r[2] += end and not stop
-
-            for text in pdf["answer"]:
-                for a, b in sentences(text or ""):
-                    w = masked_words(text[a:b])
-                    stop = bool(_ENDED.search(text[a:b].strip()))
-                    for k, x in enumerate(w, 1):
-                        end = k == len(w)
-                        one = ones.get(x)
-                        if one is None:
-                            begins = (hit(gram([x[:n]], 0)) for n in range(1, len(x)))
-                            one = ones[x] = (hit(gram([x], 1)), [g for g in begins if g is not None])
-                        add(one[0], stop and end, end)
-                        for g in one[1]:
-                            add(g, False, False)
-                        if k > 1:
-                            pair = (w[k - 2], x)
-                            if pair not in twos:
-                                twos[pair] = hit(gram(w[k - 2 : k], 2))
-                            add(twos[pair], stop and end, end)
-            yield pd.DataFrame([(g, *r) for g, r in rows.items()], columns=["gram", "n", "stops", "opens"])
-
-    counted = spread(read.select("answer").filter(F.col("answer").isNotNull())).mapInPandas(count, "gram long, n long, stops long, opens long")
-    stats = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"), F.sum("opens").alias("opens"))
+    tails = pairs.filter(F.col("tail").isNotNull()).select("id", F.posexplode("tail").alias("place", "gram")).filter("gram >= 0")
+    wanted = tails.select("gram").distinct()
+    stats = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"), F.sum("opens").alias("opens"))
     known = tails.join(stats, "gram")
 
     def of(place: int, column: str):  # noqa: ANN202
@@ -473,16 +584,14 @@ def defects(messages: DataFrame, documents: DataFrame, per_language: int = 400)
     ``documents`` serves to fit the language model on a bounded sample (see :func:`lodestone.llm.langid.training_sample`).
     """
     model = LanguageModel.fit(training_sample(documents, per_language))
-    read = cut_lineage(_read_pairs(pairs(messages), model))
-    told = read.filter(F.col("opening").isNotNull() & ~F.coalesce(F.col("sure") == "copy", F.lit(False)))
-    refuses = refusal_templates(told.select("opening", "prompt", "declines", "holds")).filter("refuses").select("opening")
-    refusal = told.join(refuses, "opening", "left_semi").select("id").withColumn("refusal", F.lit(True))
-    cut = open_ends(read).withColumn("cut", F.lit(True))
-    found = read.select("id", "sure").join(refusal, "id", "left").join(cut, "id", "left")
-    defect = (
-        F.when(F.col("sure").isin("empty", "copy"), F.col("sure"))
-        .when(F.col("refusal"), "refusal")
-        .when(F.col("sure").isNotNull(), F.col("sure"))
-        .when(F.col("cut"), "truncated")
-    )
-    return found.select(F.col("id").alias("message_id"), defect.alias("defect")).filter(F.col("defect").isNotNull()).distinct()
+    read = read_pairs(ordered_turns(messages), model)
+    read = read.unionByName(adopted(read, model))
+    pairs, grams = read.filter("kind = 'pair'"), read.filter("kind = 'gram'").select("gram", "n", "stops", "opens")
+    told = pairs.filter(F.col("opening").isNotNull() & ~F.coalesce(F.col("sure") == "copy", F.lit(False)))
+    refuses = refusal_templates(told.select("opening", "prompt", "evidence"))
+    refusal = told.filter(~F.col("holds")).join(refuses, "opening", "left_semi").select("id", F.lit("refusal").alias("defect"))
+    sure = pairs.select("id", F.col("sure").alias("defect")).filter(F.col("defect").isNotNull())
+    cut = open_ends(pairs, grams).select("id", F.lit("truncated").alias("defect"))
+    order = F.array_position(F.array(*[F.lit(x) for x in ("empty", "copy", "refusal", "language", "truncated")]), F.col("defect"))
+    one = sure.unionByName(refusal).unionByName(cut).groupBy(F.col("id").alias("message_id")).agg(F.min(F.struct(order, "defect")).alias("d"))
+    return one.select("message_id", "d.defect")

@@ -1,10 +1,10 @@
 from __future__ import annotations
 
 import random
-import re
 from datetime import datetime, timedelta
 
 from lodestone.llm import pair_defects as P
+from lodestone.llm.langid import LanguageModel
 
 M = "id string, conversation_id string, role string, text string, created_at timestamp"
 EN = ["The lamp is not bright and the glass of the pump was cleaned.", "Please open the side cover and wait for the green light to come on.", "When the pump has run for an hour, close the lower tap and write down the pressure."]
@@ -39,21 +39,76 @@ def test_defects(spark):
     ]
 
 
+def read(spark, rows, parts=None):
+    """(id, sure) of the pairs of message rows, read in ``parts`` partitions of the sorted turns."""
+    model = LanguageModel.fit([(t, "en") for t in EN] * 3 + [(t, "de") for t in DE] * 3)
+    turns = P.ordered_turns(spark.createDataFrame(rows, M))
+    if parts:
+        turns = turns.coalesce(1).rdd.zipWithIndex().map(lambda r: (r[1], tuple(r[0]))).collect()
+        schema = "conversation_id string, later int, id string, text string, nothing boolean"
+        turns = spark.createDataFrame(spark.sparkContext.parallelize([r for _, r in sorted(turns)], parts), schema)
+    first = P.read_pairs(turns, model)
+    return {r["id"]: r["sure"] for r in first.unionByName(P.adopted(first, model)).filter("kind = 'pair'").collect()}
+
+
 def test_pairs_take_the_last_question_and_need_one(spark):
     at = [datetime(2025, 1, 1) + timedelta(seconds=i) for i in range(6)]
-    rows = [("a0", "c", "ai", "x", at[0]), ("q1", "c", "user", "Q1", at[1]), ("a1", "c", "ai", "y", at[2]), ("a2", "c", "ai", "z", at[3]), ("q2", "c", "user", "Q2", at[4]), ("a3", "c", "bot", "w", at[5]), ("a4", None, "ai", "w", at[5])]
-    got = {(r["id"], r["question"]) for r in P.pairs(spark.createDataFrame(rows, M)).collect()}
-    assert got == {("a1", "Q1"), ("a2", "Q1"), ("a3", "Q2")}
+    q = "Is the lamp not bright?"
+    rows = [("a0", "c", "ai", q, at[0]), ("q1", "c", "user", q, at[1]), ("a1", "c", "ai", q, at[2]), ("a2", "c", "ai", q, at[3]), ("q2", "c", "user", EN[1], at[4]), ("a3", "c", "bot", EN[1], at[5]), ("a4", None, "ai", q, at[5])]
+    for parts in (None, 1, 2, 3, 6):
+        assert read(spark, rows, parts) == {"a1": "copy", "a2": "copy", "a3": "copy"}, parts
+
+
+def test_questions_of_earlier_parts(spark):
+    """One question, and answers over many partitions; a conversation that begins with answers has no pair."""
+    at = datetime(2025, 1, 1)
+    rows = [("q", "c", "user", EN[0], at)] + [(f"a{i:02}", "c", "ai", EN[0], at + timedelta(seconds=i + 1)) for i in range(20)]
+    rows += [(f"b{i}", "d", "ai", EN[0], at + timedelta(seconds=i)) for i in range(5)]
+    for parts in (1, 4, 9, 26):
+        assert read(spark, rows, parts) == {f"a{i:02}": "copy" for i in range(20)}, parts
+
+
+def test_only_a_direct_answer_has_the_question_s_language(spark):
+    at = datetime(2025, 1, 1)
+    rows = [("q", "c", "user", EN[2], at), ("a1", "c", "ai", DE[2], at + timedelta(seconds=1)), ("a2", "c", "ai", DE[2], at + timedelta(seconds=2))]
+    for parts in (1, 2, 3):
+        assert read(spark, rows, parts) == {"a1": "language", "a2": None}, parts
 
 
 def test_templates_across_prompts(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-    base = " ".join(words)
-    near = " ".join([*words[:-1], "other"])
-    rows = [(base, 1, True, False), (base, 2, True, False), (near, 3, False, True), ("what ever else is said here today", 4, False, True)]
-    df = spark.createDataFrame(rows, "opening string, prompt long, declines boolean, holds boolean")
-    got = {r["opening"]: r["refuses"] for r in P.refusal_templates(df).collect()}
-    assert got == {base: True, near: True, rows[3][0]: False}
+    base, near, other = " ".join(words), " ".join([*words[:-1], "other"]), "what ever else is said here today"
+    rows = [(base, 1, 1), (base, 2, 1), (near, 3, 0), (other, 4, 0), (other, 5, 0), ("said once only", 6, 1), ("said once fully", 6, 2), ("said twice to one", 7, 1), ("said twice to one", 7, 1)]
+    df = spark.createDataFrame(rows, "opening string, prompt long, evidence int")
+    assert {r["opening"] for r in P.refusal_templates(df).collect()} == {base, near, "said once fully"}
+
+
+def test_evidence():
+    said = {
+        "I'm sorry, but I can't help with that.": 2, "The question cannot be answered.": 1, "If this does not help, call us.": 0, "The belt is not covered.": 0,
+        "Ich kann diese Frage leider nicht beantworten.": 2, "Bu konuda yardımcı olamam.": 2, "我无法回答这个问题": 2, "Main is mein madad nahi kar sakta": 2, "Mera tank kharab hai aur hawa nahi aa rahi": 0,
+    }
+    assert {s: P.evidence(P.words_of(s)) for s in said} == said
+
+
+def test_statement():
+    def of(text):
+        return P.statement(text, P.sentences_of(text))[1:]
+
+    assert of("Hello! I am unable to answer this. Please call your branch.") == (2, False)
+    assert of("I am unable to answer this. Open the lower tap.") == (2, True)
+    assert of("I cannot answer that: open the lower tap") == (2, True)
+    assert of("Sorry to hear that. First open the tap.") == (0, False)
+
+
+def test_gram_counts():
+    c = P.GramCounts()
+    c.add(P.sentences_of("Open the tap. Close the tap now"))
+    c.pack()
+    c.add(P.sentences_of("the tap"))
+    got = {g: tuple(r) for g, *r in c.rows()}
+    assert got[P.gram(["the", "tap"], 2)] == (3, 1, 1) and got[P.gram(["tap"], 1)] == (3, 1, 1) and got[P.gram(["now"], 1)] == (1, 0, 1)
+    assert got[P.gram(["ta"], 0)] == (3, 0, 0) and P.gram(["tap", "close"], 2) not in got and c.rows() == []
 
 
 def test_bands_meet():
@@ -67,46 +122,13 @@ def test_empty_tables(spark):
     assert P.defects(empty, documents(spark)).count() == 0
 
 
-def spelled(parsed):
-    """All strings of a parsed pattern, with anything between two parts left out or one word; what must not follow is left out."""
-    out = [""]
-    for op, arg in parsed:
-        kind = str(op)
-        if kind == "LITERAL":
-            each = [chr(arg)]
-        elif kind == "IN":
-            each = [chr(c) for _, c in arg]
-        elif kind == "BRANCH":
-            each = [x for branch in arg[1] for x in spelled(branch)]
-        elif kind == "SUBPATTERN":
-            each = spelled(arg[3])
-        elif kind == "MAX_REPEAT":
-            each = ["", " word "] if arg[1] > 1 else ["", *spelled(arg[2])]
-        else:
-            assert kind in ("AT", "ASSERT_NOT"), kind
-            continue
-        out = [x + y for x in out for y in each]
-    return out
-
-
-def test_each_statement_passes_the_gate():
-    branches = re._parser.parse(P._DECLINES.pattern, re.I | re.X)
-    every = spelled(branches)
-    assert len(every) > 1000
-    assert not [x for x in every if not all(P.may_decline(y) for y in (x, x.upper(), x.replace("'", "’"), x.replace("i", "ı")))]
-
-
-def test_refusals_without_a_listed_word(spark):
-    q = "Is the glass of the pump clean and the lamp bright?"
-    said = ["I'm afraid this is a matter for the service partner.", "Answering this would exceed the scope of the hotline.", "The scope of the hotline is a matter for the partner."]
-    assert found(spark, [(q, a) for a in said]) == ["refusal", "refusal", None]
-
-
-def test_openings_without_a_cue_are_clustered(spark):
+def test_a_template_s_members_follow_it(spark):
+    """The wording that shows no evidence is a refusal only through the verified group of those that do."""
     before = "Dealers in your town hold all papers about every machine ever sold by us since they opened and so explain each of them over coffee while such talk here by mail for years has been found to"
-    listed, other = f"{before} exceed the scope.", f"{before} leave the scope."
-    assert not P.may_decline(other) and len(before.split()) == 37
+    listed, other = f"{before} exceed the scope.", f"{before} leave the yard."
+    assert P.evidence(P.words_of(other)) == 0 and len(before.split()) == 37
     assert found(spark, [("Why is it so loud?", listed), ("Where can one buy salt?", listed), ("How old is mine?", other)]) == ["refusal"] * 3
+    assert found(spark, [("How old is mine?", other), ("Where can one buy salt?", other)]) == [None] * 2
 
 
 def test_templates_without_the_least_opening(spark):
@@ -115,9 +137,9 @@ def test_templates_without_the_least_opening(spark):
     least = " ".join(["9 " * 6 + "_", *words[12:]])
     second = [*words[:37], "x", "x", "x"]
     chain = [" ".join(words), " ".join(second), " ".join(["y", "y", "y", *second[3:]])]
-    rows = [(least, 9, False, True), (chain[0], 1, True, False), (chain[1], 2, True, False), (chain[2], 3, False, True)]
-    df = spark.createDataFrame(rows, "opening string, prompt long, declines boolean, holds boolean")
-    assert {r["opening"]: r["refuses"] for r in P.refusal_templates(df).collect()} == {least: False, chain[0]: True, chain[1]: True, chain[2]: True}
+    rows = [(least, 9, 0), (chain[0], 1, 1), (chain[1], 2, 1), (chain[2], 3, 0)]
+    df = spark.createDataFrame(rows, "opening string, prompt long, evidence int")
+    assert {r["opening"] for r in P.refusal_templates(df).collect()} == set(chain)
 
 
 def test_bucket_links_are_those_of_all_pairs(spark):
