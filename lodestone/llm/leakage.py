@@ -1,12 +1,15 @@
 """Evaluation items that stand in corpus documents, whole or in part, by greedy string tiling.
 
 Seeds that a document shares with an item (Karp-Rabin hashes of word runs) are grown to maximal matches. The longest unmarked match is
-taken first and laid out as a tile: over single misspelt words and one short insertion, in both directions; what a tile covers is marked.
-An item leaked into a document if a tile covers all of it or enough of its words in a row. A document's items are found in one pass over it.
+taken first and laid out as a tile: over single misspelt words and one short insertion, in both directions; what a tile covers is marked, and
+what a mark leaves of another match waits for its turn by its own length. An item leaked into a document if a tile covers all of it or enough
+of its words in a row; with a threshold of coverage also if all tiles together cover that share of it, in whatever order they stand.
+A document's items are found in one pass over it.
 """
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +25,11 @@ from lodestone.scale import spread
 
 #: Words in a row that make a case, the share of them that may be misspelt (one in so many), the words of an insertion at most, and the
 #: length of a seed; shorter items have shorter ones (seed_size). Of 20 words in a row with two misspelt and one interruption, at least five in a row are intact.
+#: A longer insertion is no short one: what stands on its two sides are two runs.
 RUN, ONE_IN, INSERTED, SEED = 20, 10, 6, 5
+#: Words of a case that a space may divide, beside all slips and the insertion, so that the screen (ItemIndex.candidates) lets it through.
+DIVIDED = 2
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _BASES = np.array([pow(0x9E3779B97F4A7C15, SEED - 1 - k, 1 << 64) for k in range(SEED)], dtype=np.uint64)
 
@@ -31,7 +38,8 @@ def words_of(text: str | None) -> list[str]:
     """The words between whitespace, in lower case and compatible form, without any punctuation; what has no letter or digit is none."""
     if not text:
         return []
-    out = (_NOT_WORD.sub("", w) for w in unicodedata.normalize("NFKC", text).lower().split())
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    out = (w if w.isalnum() else _NOT_WORD.sub("", w) for w in plain.lower().split())
     return [w for w in out if w]
 
 
@@ -73,8 +81,26 @@ def short_slip(a: str, b: str) -> bool:
     return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+class _Numbers(dict):
+    """The hash of each word, kept for the next time; of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word)
+        return n
+
+
+_NUMBER = _Numbers()
+
+
 def _numbers(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    return np.array([_NUMBER[w] for w in words], dtype=np.uint64)
+
+
+def _pairs(numbers: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return numbers[:-1] * _PAIR + numbers[1:]
 
 
 def seed_size(whole: int) -> int:
@@ -103,29 +129,77 @@ class ItemIndex:
         self.words = dict(items)
         self.short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
         held: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.items, needs, pairs, places, of = [], [], [], [], []
+        at_all = 0
         for item, words in items:
             if 0 < len(words) < SEED:
                 self.short[words[0]].append((item, words))
             if len(words) > 1 and self.words[item] is words:
-                size = seed_size(len(words))
-                held[size] += [(int(h), item, at) for at, h in enumerate(_seeds(_numbers(words), size))]
+                size, numbers = seed_size(len(words)), _numbers(words)
+                held[size] += [(int(h), item, at) for at, h in enumerate(_seeds(numbers, size))]
+                n = min(RUN, len(words))
+                of += [len(self.items)] * (len(words) - 1)
+                self.items.append(item)
+                needs.append(n - 2 * (n // ONE_IN) - 2 - 2 * DIVIDED)
+                pairs.append(_pairs(numbers))
+                places.append(np.arange(len(words) - 1) + at_all)
+                at_all += len(words) + RUN
         self.seeds = {}
         for size, rows in held.items():
             rows.sort(key=lambda r: r[0])
             self.seeds[size] = np.array([r[0] for r in rows], dtype=np.uint64), [r[1:] for r in rows]
-
-    def matches(self, words: list[str], numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        # neighbouring words of all items: each pair once, with the places where it stands, items lying apart from one another
+        self.need = np.array(needs, dtype=np.int64)
+        self.size = np.array([len(self.words[item]) for item in self.items], dtype=np.int64)
+        self.always = {item for item, need in zip(self.items, needs, strict=True) if need < 1}  # so short that no pair need be left
+        every = np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.pairs, self.starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(self.starts, len(every))
+        self.places = np.concatenate(places)[order] if places else np.zeros(0, dtype=np.int64)
+        self.item_at = np.full(at_all, -1, dtype=np.int64)
+        if places:
+            self.item_at[np.concatenate(places)] = of
+
+    def candidates(self, numbers: np.ndarray, coverage: float | None = None) -> set[int]:
+        """The items of which some run may stand in a document, by the pairs of neighbouring words that it shares with them.
+
+        A case of ``RUN`` words has one slip in ``ONE_IN``, one insertion and ``DIVIDED`` divided words at most (or one place where two are run
+        together), which cost two pairs, one and two each: of its 19 pairs at least ten stand in the document. Whole short items have fewer in
+        proportion. Nothing else is left out. With ``coverage``, an item also is one if half as many of its pairs as the words to cover stand
+        anywhere in the document.
+        """
+        if len(numbers) < 2 or not len(self.pairs):
+            return self.always
+        own = _pairs(numbers)
+        at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        at = np.unique(at[self.pairs[at] == own])
+        if not len(at):
+            return self.always
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        where = np.sort(self.places[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - n), n)])
+        near = np.searchsorted(where, where + (RUN - 1)) - np.arange(len(where))
+        items = self.item_at[where]
+        if coverage is not None:
+            near = np.where(np.bincount(items, minlength=len(self.items))[items] >= coverage / 2 * self.size[items], RUN, near)
+        return self.always | {self.items[k] for k in np.unique(items[near >= self.need[items]]).tolist()}
+
+    def matches(self, words: list[str], numbers: np.ndarray, coverage: float | None = None) -> dict[int, list[tuple[int, int]]]:
         """(place in the document, place in the item) of every seed by item."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        wanted = self.candidates(numbers, coverage)
+        sizes = {seed_size(len(self.words[item])) for item in wanted}
         for size, (hashes, where) in self.seeds.items():
+            if size not in sizes:
+                continue
             seeds = _seeds(numbers, size)
             left = np.searchsorted(hashes, seeds, "left")
             right = np.searchsorted(hashes, seeds, "right")
-            for d in np.nonzero(right > left)[0]:
-                for k in range(left[d], right[d]):
-                    item, at = where[k]
-                    if self.words[item][at : at + size] == words[d : d + size]:
-                        found[item].append((int(d), at))
+            for d in np.nonzero(right > left)[0].tolist():
+                for item, at in where[left[d] : right[d]]:
+                    if item in wanted and self.words[item][at : at + size] == words[d : d + size]:
+                        found[item].append((d, at))
         return found
 
 
@@ -181,21 +255,37 @@ def enough(marks: list[int], whole: int) -> bool:
     """Whether a tile is a case: all words of the item, or ``RUN`` in a row, of which one in ``ONE_IN`` may be misspelt."""
     if len(marks) >= whole and marks.count(0) <= whole // ONE_IN:
         return True
-    need = min(RUN, len(marks) + 1)
-    if need < RUN:
+    if len(marks) < RUN:
         return False
-    wrong = sum(1 - m for m in marks[:RUN])
+    wrong = RUN - sum(marks[:RUN])
     if wrong <= RUN // ONE_IN:
         return True
     for k in range(RUN, len(marks)):
-        wrong += (1 - marks[k]) - (1 - marks[k - RUN])
+        wrong += marks[k - RUN] - marks[k]
         if wrong <= RUN // ONE_IN:
             return True
     return False
 
 
-def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]]) -> tuple[bool, int, int, int]:
-    """(leaked, words of the item covered by its tiles, start and end of the longest tile in the document)."""
+def _unmarked(d: int, i: int, size: int, doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """(length, places) of the parts of a match that no mark covers."""
+    out, start = [], None
+    for k in range(size + 1):
+        free = k < size and not doc[d + k] and not item[i + k]
+        if free and start is None:
+            start = k
+        elif not free and start is not None:
+            out.append((k - start, d + start, i + start))
+            start = None
+    return out
+
+
+def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least: int = SEED) -> tuple[bool, int, int, int]:
+    """(leaked, words of the item covered by its tiles, start and end of the longest tile in the document).
+
+    The longest match is always laid next. What the marks leave of a match is laid later if it still has ``least`` words, or the words of a seed.
+    Whether a tile is a case is told of all words that it grows over; marks only bound what is covered.
+    """
     runs: dict[int, list[list[int]]] = defaultdict(list)
     size = seed_size(len(item))
     for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
@@ -204,26 +294,35 @@ def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]]) -> tupl
             on[-1][1] = d + size
         else:
             on.append([d, d + size])
-    matches = sorted(((b - a, a, a - diagonal) for diagonal, spans in runs.items() for a, b in spans), reverse=True)
+    waiting = [(a - b, a, a - diagonal) for diagonal, spans in runs.items() for a, b in spans]
+    heapq.heapify(waiting)
+    least = min(least, size)
     marked_doc, marked_item = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
     leaked, best = False, (0, 0, 0)
-    for size, d, i in matches:
-        if marked_doc[d : d + size].any() or marked_item[i : i + size].any():
+    while waiting:
+        length, d, i = heapq.heappop(waiting)
+        if marked_doc[d : d - length].any() or marked_item[i : i - length].any():
+            for part, x, y in _unmarked(d, i, -length, marked_doc, marked_item):
+                if part >= least:
+                    heapq.heappush(waiting, (-part, x, y))
             continue
         for early in (False, True):
             back, start = _grow(doc, item, d - 1, i - 1, -1, early)
-            on, end = _grow(doc, item, d + size, i + size, 1, not early)
-            marks = back[::-1] + [1] * size + on
+            on, end = _grow(doc, item, d - length, i - length, 1, not early)
+            marks = back[::-1] + [1] * -length + on
             leaked = leaked or enough(marks, len(item))
             if len(marks) > best[0]:
                 best = (len(marks), start + 1, end)
         marked_doc[max(0, start + 1) : end] = True
-        marked_item[i - len(back) : i + size + len(on)] = True
+        marked_item[i - len(back) : i - length + len(on)] = True
     return leaked, int(marked_item.sum()), best[1], best[2]
 
 
-def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
-    """``(item, covered words, words of the item, first word, end word)`` of each item that leaked into a text."""
+def leaks_of(text: str | None, index: ItemIndex, coverage: float | None = None) -> list[tuple[int, int, int, int, int, bool]]:
+    """``(item, covered words, words of the item, first word, end word, whether in a row)`` of each item that leaked into a text.
+
+    With ``coverage``, an item of ``RUN`` words or more has leaked as well if its tiles, in any order, cover that share of its words.
+    """
     doc = words_of(text)
     if not doc:
         return []
@@ -231,31 +330,32 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[tuple[int, int, int, in
     for at, w in enumerate(doc if index.short else ()):
         for item, words in index.short.get(w, ()):
             if doc[at : at + len(words)] == words:
-                out.append((item, len(words), len(words), at, at + len(words)))
+                out.append((item, len(words), len(words), at, at + len(words), True))
     whole = {row[0] for row in out}
-    for item, seeds in index.matches(doc, _numbers(doc)).items():
+    for item, seeds in index.matches(doc, _numbers(doc), coverage).items():
         words = index.words[item]
         if item in whole:
             continue
         leaked, covered, start, end = tiles(doc, words, seeds)
-        if leaked:
-            out.append((item, covered, len(words), start, end))
+        if leaked or (coverage is not None and len(words) >= RUN and covered >= coverage * len(words)):
+            out.append((item, covered, len(words), start, end, leaked))
     return out
 
 
-LEAKS = "doc_id bigint, item_id bigint, covered int, words int, first_word int, end_word int"
+LEAKS = "doc_id bigint, item_id bigint, covered int, words int, first_word int, end_word int, in_a_row boolean"
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
-    """``(doc_id, item_id, covered, words, first_word, end_word)`` of every item in every document that it leaked into.
+def leaked_items(documents: DataFrame, items: DataFrame, coverage: float | None = None, block: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+    """``(doc_id, item_id, covered, words, first_word, end_word, in_a_row)`` of every item in every document that it leaked into.
 
-    The held-out items are the query set: they are held in blocks of at most ``block`` items, each of which is broadcast and passed over
-    all documents. Null and empty texts and rows without id on either side give nothing; repeated rows
-    count once.
+    The held-out items are the query set: they are held in blocks of at most ``block`` items and ``block_bytes`` bytes of words, or one item, each of
+    which is broadcast and passed over all documents. ``coverage`` is the share of an item that its tiles must cover to be a leak in whatever order;
+    without it only passages in a row count. Null and empty texts and rows without id on either side give nothing; repeated rows count once.
     """
     rows = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     found = None
     held: list[tuple[int, list[str]]] = []
+    size = 0
 
     def over(part: list[tuple[int, list[str]]]) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(part)
@@ -265,8 +365,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = 20_000) ->
             if 0 not in cache:
                 cache[0] = ItemIndex(shared.value)
             for pdf in batches:
-                out = [(i, *leak) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks_of(text, cache[0])]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "words", "first_word", "end_word"])
+                out = [(i, *leak) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks_of(text, cache[0], coverage)]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "words", "first_word", "end_word", "in_a_row"])
 
         return spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(run, LEAKS)
 
@@ -276,11 +376,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = 20_000) ->
 
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
-        if words:
-            held.append((row["item_id"], words))
-        if len(held) == block:
+        if not words:
+            continue
+        own = 64 * len(words) + sum(map(len, words))
+        if held and (len(held) == block or size + own > block_bytes):
             add(held)
-            held = []
+            held, size = [], 0
+        held.append((row["item_id"], words))
+        size += own
     if held or found is None:
         add(held)
     return found.distinct()

@@ -162,6 +162,54 @@ def test_leaks_match_planted_cases():
     assert leakage.leaks_of(None, index) == leakage.leaks_of("", index) == []
 
 
+def word(i):
+    """A word of letters that is like no other."""
+    rng = random.Random(i)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+
+
+def test_twenty_words_with_all_that_a_case_may_have():
+    """Runs of 18 to 20 words, with slips, an insertion and a divided word at many places."""
+    item = [word(i) for i in range(60)]
+    index = leakage.ItemIndex([(1, item)])
+    other = [word(i) for i in range(100, 112)]
+    for n, want in ((18, False), (19, False), (20, True)):
+        for a in range(1, n - 1, 3):
+            for b in range(a + 1, n - 1, 4):
+                for gap in (None, 3, 9, 15):
+                    for cut in (None, 7, 12):
+                        words = item[20 : 20 + n]
+                        words[a], words[b] = words[a][:-1] + "q" + words[a][-1], words[b][0] + words[b][2:]
+                        if cut is not None and cut not in (a, b):
+                            words[cut] = words[cut][:3] + " " + words[cut][3:]
+                        if gap is not None:
+                            words[gap:gap] = ["see", "note", "q9"]
+                        got = bool(leakage.leaks_of(" ".join([*other, *words, *other]), index))
+                        clear = gap is None or min(abs(gap - a), abs(gap - b), abs(gap - a - 1), abs(gap - b - 1)) > 2
+                        if not want or (clear and cut is None and a > 2 and b < n - 3):  # a slip at an edge, or two side by side, may end a run
+                            assert got is want, (n, a, b, gap, cut)
+
+
+def test_reordered_passages_by_coverage():
+    item = [word(i) for i in range(60)]
+    index = leakage.ItemIndex([(1, item)])
+    runs = [item[k : k + 10] for k in (30, 0, 50, 20, 40, 10)]
+    doc = " ".join(" ".join([*r, "between", "them"]) for r in runs)
+    assert leakage.leaks_of(doc, index) == []
+    assert [(r[0], r[1], r[5]) for r in leakage.leaks_of(doc, index, 0.9)] == [(1, 60, False)]
+    half = " ".join(" ".join([*r, "between", "them"]) for r in runs[:3])
+    assert leakage.leaks_of(half, index, 0.9) == [] and [r[1] for r in leakage.leaks_of(half, index, 0.5)] == [30]
+
+
+def test_what_a_mark_leaves_is_laid_later():
+    """The document holds words 0-11 and, elsewhere, 8-19: the second match keeps its unmarked words 12-19."""
+    item = [word(i) for i in range(24)]
+    doc = [*item[:12], *[f"x{i}" for i in range(9)], *item[8:20]]
+    seeds = leakage.ItemIndex([(1, item)]).matches(doc, leakage._numbers(doc), 0.5)[1]
+    leaked, covered, _, _ = leakage.tiles(doc, item, seeds)
+    assert (leaked, covered) == (False, 20)
+
+
 def test_misspelt():
     assert leakage.misspelt("condenser", "condeser") and leakage.misspelt("the", "teh") and not leakage.misspelt("e16", "e17") and not leakage.misspelt("drain", "drive")
 
