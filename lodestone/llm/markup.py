@@ -61,6 +61,31 @@ _SCAN = re.compile(
 )
 
 
+_MARKS = ("eol", "fence", "pre", "hl", "comment", "verb", "eq", "display", "bracket", "math", "tag", "list", "env", "item", "sec")
+_EOL = re.compile(r"(?P<fence>(?!))?" + "".join(f"(?P<{k}>(?!))?" for k in _MARKS[2:]) + r"(?P<eol>\n)")
+_BLANK = re.compile(r"[ \t]*(?:\n|\Z)")
+#: Every alternative of _SCAN begins with one of these, behind blanks and colons at most.
+_FIRST = re.compile(r"[\n`~<\\$]")
+
+
+def _next_mark(text: str, pos: int) -> re.Match | None:
+    """The first match of _SCAN from ``pos`` on, tried only where one can begin."""
+    at = pos
+    while f := _FIRST.search(text, at):
+        p = f.start()
+        if text[p] == "\n":
+            return _EOL.match(text, p)
+        q = p
+        while q > pos and text[q - 1] in " \t:":
+            q -= 1
+        if q < p and (m := _SCAN.match(text, q)):
+            return m
+        if m := _SCAN.match(text, p):
+            return m
+        at = p + 1
+    return None
+
+
 @dataclass
 class Block:
     kind: str
@@ -102,14 +127,14 @@ def leaf_blocks(text: str) -> list[Block]:
             blank = False
 
     pos = 0
-    while m := _SCAN.search(text, pos):
-        what = m.lastgroup if m.lastgroup in ("eol", "comment") else next(k for k in ("fence", "pre", "hl", "comment", "verb", "eq", "display", "bracket", "math", "tag", "list", "env", "item", "sec", "eol") if m.group(k) is not None)
+    while m := _next_mark(text, pos):
+        what = next(k for k in _MARKS if m.group(k) is not None)
         pos = max(m.end(), m.start() + 1)
         before = text[at : m.start()]
         if what == "comment":
             continue
         if what == "eol":
-            if kind in ("li", "p", "h", "item", "div") and not re.match(r"[ \t]*(?:\n|$)", text[m.end() :]) and before.strip():
+            if kind in ("li", "p", "h", "item", "div") and not _BLANK.match(text, m.end()) and before.strip():
                 continue  # an element goes on in the next line
             leaf(kind, before, before, at)
             if not before.strip():
@@ -159,7 +184,7 @@ _MD_INLINE = re.compile(
 )
 _WIKI_INLINE = re.compile(r"'''?(?=[^\s'])|\[\[[^\[\]\n]+\]\]|(?<!\[)\[(?:https?:/|//|/)\S* [^\[\]\n]+\](?!\()|\{\{[^{}\n]*\}\}")
 _LATEX_INLINE = re.compile(
-    r"\\(?:text(?:bf|it|tt|sc|sf|rm|up|md|sl)|emph|underline|label|ref|eqref|pageref|cite[pt]?|footnote|url|href|caption|includegraphics|noindent|newpage|hspace|vspace|ldots|dots|mbox|uline|textsuperscript|bf|it|tt|em|usepackage|documentclass|title|author|maketitle|item|\\)(?![A-Za-z])(?!\\svc)"
+    r"(?<![A-Za-z]:)\\(?:text(?:bf|it|tt|sc|sf|rm|up|md|sl)|emph|underline|label|ref|eqref|pageref|cite[pt]?|footnote|url|href|caption|includegraphics|noindent|newpage|hspace|vspace|ldots|dots|mbox|uline|textsuperscript|bf|it|tt|em|usepackage|documentclass|title|author|maketitle|item|\\)(?![A-Za-z])"
     r"|\{\\(?:bf|it|tt|em|sc|sl|rm|sf|small|large)\b|\\(?:sub)*section|\\(?:begin|end)\{|\\[%&#_](?=[\s\w]|$)"
 )
 _FORMULA = re.compile(r"\$\$([^$\n]+)\$\$|(?<![\w$\\])\$(?!\s)([^$\n]*?[^\s$\\])\$(?![\w$])|\\\((.+?)\\\)|\\\[(.+?)\\\]|<math\b[^<>]*>(.*?)</math>", re.S)
@@ -168,88 +193,109 @@ _START = re.compile(r"^[ \t]*(#{1,6}(?=[\s#*\[]|\w)|[*#:;]+(?=\s*\S)|[-+](?=\s)|
 
 
 def formulas(text: str) -> Iterator[re.Match]:
+    if "$" not in text and "\\(" not in text and "\\[" not in text and "<math" not in text:
+        return
     for m in _FORMULA.finditer(text):
         body = next(g for g in m.groups() if g is not None)
         if m.group()[0] != "$" or _MATHY.search(body):
             yield m
 
 
-def signs(text: str) -> set[str]:
-    """The languages whose inline signs stand in a text, formulas aside."""
+_SHARED = frozenset(_SHARED_TAGS.split())
+
+
+@lru_cache(maxsize=20_000)
+def signs(text: str) -> frozenset[str]:
+    """The languages whose inline signs stand in a text, formulas aside. A pattern is tried only if a character that it must have is there."""
     for m in reversed(list(formulas(text))):
         text = text[: m.start()] + (" " if not m.group().startswith("<math") else "<math>") + text[m.end() :]
     out = set()
-    if any(m.group().lower().strip("</> ").split()[0].rstrip("/") not in _SHARED_TAGS.split() for m in _HTML_TAG.finditer(text)):
-        out.add("html")
-    elif _HTML_TAG.search(text):
-        out.add("shared")
-    if _ENTITY.search(text):
+    if "<" in text:
+        tags = [m.group().lower().strip("</> ").split() for m in _HTML_TAG.finditer(text)]
+        if any(t[0].rstrip("/") not in _SHARED for t in tags):
+            out.add("html")
+        elif tags:
+            out.add("shared")
+        if _WIKI_TAG.search(text):
+            out.add("wiki")
+    if "&" in text and _ENTITY.search(text):
         out.add("entity")
-    if _WIKI_TAG.search(text) or _WIKI_INLINE.search(text):
+    if ("''" in text or "[" in text or "{{" in text) and _WIKI_INLINE.search(text):
         out.add("wiki")
-    if _MD_INLINE.search(text):
+    if ("](" in text or "*" in text or "_" in text or "`" in text or "~~" in text) and _MD_INLINE.search(text):
         out.add("markdown")
-    if _LATEX_INLINE.search(text):
+    if "\\" in text and _LATEX_INLINE.search(text):
         out.add("latex")
-    return out
+    return frozenset(out)
+
+
+_SOURCE = frozenset(("fence", "pre", "hl", "verb", "eq", "display", "bracket", "math"))
+_EQUALS, _RULE, _DASHES = re.compile(r"^(={1,6})(?!=).*[^=]\1$"), re.compile(r"^(={3,}|-{3,})$"), re.compile(r"^(?:\d{1,3}\.|[-+])\s\S")
+_ATX, _PIPES, _DEEP = re.compile(r"^#{1,6}\s.*#$|^#{3,6}\s"), re.compile(r"^\|.*\|$"), re.compile(r"^(?:\*\*|##)\s")
+_NO_MARK = re.compile(r"\s*(?:\*[^\s*][^*]*\*|[-–—·•*]\s*[\dlIO]{1,5}\s*[-–—·•*]\s*$)")
+_NUMBERS = re.compile(r"^\d+\)\s.*\d+\)\s")
+_LATEX_KINDS, _HTML_KINDS = frozenset(("verb", "eq", "sec", "item", "env")), frozenset(("h", "li", "p", "div", "tag"))
 
 
 def featurise(blocks: list[Block]) -> list[list[str]]:
-    seen = [set() if b.kind in ("fence", "pre", "hl", "verb", "eq", "display", "bracket", "math") else signs(b.raw) for b in blocks]
+    seen = [frozenset() if b.kind in _SOURCE else signs(b.raw) for b in blocks]
+    bare = [b.raw.strip() for b in blocks]
     whole: set[str] = set()
-    for b, s in zip(blocks, seen, strict=True):
+    for b, s, raw in zip(blocks, seen, bare, strict=True):
         whole |= {"in " + x for x in s}
         if b.kind in ("hl", "math"):
             whole.add("in wiki")
-        if b.kind in ("verb", "eq", "sec", "item", "env"):
+        elif b.kind in _LATEX_KINDS:
             whole.add("in latex")
-        if b.kind == "fence":
+        elif b.kind == "fence":
             whole.add("in markdown")
-        if b.kind in ("h", "li", "p", "div", "tag"):
+        elif b.kind in _HTML_KINDS:
             whole.add("in html")
-        s_ = b.raw.strip()
-        if b.kind == "line" and re.match(r"^(={1,6})(?!=).*[^=]\1$", s_):
-            whole.add("in wiki")
-        if b.kind == "line" and re.match(r"^(?:\d{1,3}\.|[-+])\s\S", s_):
-            whole.add("in dashes")
-        if b.kind == "line" and re.match(r"^(={3,}|-{3,})$", s_):
-            whole.add("in underline")
-        if b.kind == "line" and re.match(r"^#{1,6}\s.*#$|^#{3,6}\s", s_):
-            whole.add("in atx")
-        if b.kind == "line" and re.match(r"^\|.*\|$", s_):
-            whole.add("in pipes")
-        if b.kind == "line" and re.match(r"^(?:\*\*|##)\s", s_) and b.raw[:1] in "*#":
-            whole.add("in deep")
+        elif b.kind == "line":
+            first = raw[0]
+            if first == "=" and _EQUALS.match(raw):
+                whole.add("in wiki")
+            if (first in "-+" or first.isdigit()) and _DASHES.match(raw):
+                whole.add("in dashes")
+            if first in "=-" and _RULE.match(raw):
+                whole.add("in underline")
+            if first == "#" and _ATX.match(raw):
+                whole.add("in atx")
+            if first == "|" and _PIPES.match(raw):
+                whole.add("in pipes")
+            if b.raw[:1] in ("*", "#") and _DEEP.match(raw):
+                whole.add("in deep")
     context = "+".join(sorted(whole & {"in markdown", "in wiki", "in html", "in latex"})) or "in none"
     out = []
-    for i, (b, s) in enumerate(zip(blocks, seen, strict=True)):
-        raw = b.raw.strip()
-        m = _START.match(b.raw) if b.kind == "line" else None
+    for i, (b, s, raw) in enumerate(zip(blocks, seen, bare, strict=True)):
+        line = b.kind == "line"
+        m = _START.match(b.raw) if line else None
         mark = m.group(1) if m else ""
-        if re.match(r"\s*(?:\*[^\s*][^*]*\*|[-–—·•*]\s*[\dlIO]{1,5}\s*[-–—·•*]\s*$)", b.raw):
+        if mark and _NO_MARK.match(b.raw):
             mark = ""  # emphasis or a page number
         mark = "1." if mark[:1].isdigit() and mark.endswith(".") else "1)" if mark[:1].isdigit() else mark
-        after = blocks[i + 1].raw.strip() if i + 1 < len(blocks) else ""
-        before = blocks[i - 1].raw.strip() if i else ""
         feats = ["bias", "kind " + b.kind, "mark " + mark, f"kind {b.kind} up {b.ancestors[-1] if b.ancestors else 'root'}", f"mark {mark} {context}"]
-        feats += [f"sign {x}" for x in s] + [f"kind {b.kind} sign {x}" for x in s]
-        feats += [f"doc {x}" for x in whole] + [f"kind {b.kind} doc {x}" for x in whole] + [f"mark {mark} doc {x}" for x in whole]
-        if b.kind == "line":
-            if re.match(r"^(={1,6})(?!=).*[^=]\1$", raw):
+        for x in s:
+            feats += [f"sign {x}", f"kind {b.kind} sign {x}"]
+        for x in whole:
+            feats += [f"doc {x}", f"kind {b.kind} doc {x}", f"mark {mark} doc {x}"]
+        if line:
+            after = bare[i + 1] if i + 1 < len(blocks) else ""
+            if raw[0] == "=" and _EQUALS.match(raw):
                 feats += ["equals", "equals " + context]
-            if re.match(r"^(={3,}|-{3,})$", raw) and not b.blank_before:
+            if raw[0] in "=-" and not b.blank_before and _RULE.match(raw):
                 feats.append("underline")
-            if re.match(r"^(={3,}|-{3,})$", after) and not blocks[i + 1].blank_before and len(raw) < 120 and not mark:
+            if after[:1] in ("=", "-") and not mark and len(raw) < 120 and not blocks[i + 1].blank_before and _RULE.match(after):
                 feats.append("underlined")
-            if re.match(r"^\|.*\|$", raw):
-                feats += ["row", "row near" if before[:1] == "|" or after[:1] == "|" else "row alone"]
-            if re.match(r"^%", raw):
+            if raw[0] == "|" and _PIPES.match(raw):
+                feats += ["row", "row near" if (i and bare[i - 1][:1] == "|") or after[:1] == "|" else "row alone"]
+            if raw[0] == "%":
                 feats.append("percent " + ("latex" if "in latex" in whole else "none"))
-            if mark and m:
+            if mark:
                 feats += ["mark space" if b.raw[m.end() :][:1].isspace() else "mark tight", f"mark {mark} indent" if b.raw[:1].isspace() else f"mark {mark} flush"]
-                if re.match(r"^\d+\)\s.*\d+\)\s", raw):
+                if raw[0].isdigit() and _NUMBERS.match(raw):
                     feats.append("run of numbers")
-            if raw.startswith("#") and raw.endswith("#"):
+            if raw[0] == "#" and raw[-1] == "#":
                 feats.append("closed hash")
             feats.append("short" if len(raw) < 60 else "long")
         out.append(feats)
@@ -357,17 +403,13 @@ def elements(text: str | None, model: LinearChain | None = None) -> tuple[list[t
             language, role = "", label if label == "formula" else "text"
         if language:
             languages[language] = None
-        source = b.kind in ("fence", "pre", "hl", "verb", "eq", "display", "bracket", "math")
-        if not source and language != "html" and "html" in signs(b.raw):
-            languages["html"] = None
-        if role == "code" and source:
+        if role == "code" and b.kind in _SOURCE:
             inner = re.sub(r"^\s*<code\b[^<>]*>|</code\s*>\s*$", "", b.inner, flags=re.I) if b.kind == "pre" else b.inner
             content = squeeze(html.unescape(_HTML_TAG.sub("", inner)) if b.kind == "pre" else inner)
             rows.append(("code", content))
-        elif source:
+        elif role == "formula" and b.kind in _SOURCE:
             content = squeeze(re.sub(r"\\label\{[^{}]*\}", "", html.unescape(b.inner)))
             rows.append(("formula", content))
-            role = "formula"
         elif role in ("heading", "list_item"):
             body = b.inner
             if b.kind == "line":

@@ -244,3 +244,37 @@ def test_leakage_operator_in_blocks(spark):
     for block in (1, 100):
         assert [(r["doc_id"], r["item_id"], r["covered"]) for r in leakage.leaked_items(docs, items, block=block).collect()] == [(1, 7, 25)]
     assert leakage.leaked_pairs(docs, items.filter("false")).count() == 0 and leakage.leaked_pairs(docs.filter("false"), items).count() == 0
+
+
+def test_marks_are_found_as_by_the_whole_pattern():
+    """The places tried are all at which a block can begin."""
+    rng = random.Random(4)
+    pieces = ["a b", "\n", "  ", ": ", "$$x$$", "$", "```", "~~~", "\\[y\\]", "\\item", "\\begin{itemize}", "<li>", "<math>z</math>", "</p>", "<pre>q</pre>", "\\section{t}", "<!-- c -->", ">", "`"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        pos = 0
+        while True:
+            want, got = markup._SCAN.search(text, pos), markup._next_mark(text, pos)
+            assert (want and (want.span(), want.group())) == (got and (got.span(), got.group())), (text, pos)
+            if not want:
+                break
+            pos = max(want.end(), want.start() + 1)
+
+
+def test_labels_decide_what_a_block_is():
+    class Says:
+        def __init__(self, label):
+            self.label = label
+
+        def decode(self, blocks):
+            return [self.label] * len(blocks)
+
+    text = "```\na = 1\n```"
+    assert markup.elements(text, Says("markdown code"))[0] == [("syntax", "markdown"), ("code", "a = 1")]
+    assert markup.elements(text, Says("formula"))[0] == [("formula", "a = 1")]
+    assert markup.elements(text, Says("plain")) == ([], [(None, "text", "a = 1")])
+
+
+def test_paths_are_no_commands():
+    assert not markup.signs("Copy it to C:\\it\\emph now.") & {"latex"} or "latex" in markup.signs("\\emph{x}")
+    assert "latex" not in markup.signs("Copy it to C:\\it now.") and "latex" in markup.signs("{\\it now}")
