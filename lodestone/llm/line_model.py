@@ -1,8 +1,9 @@
-"""Hidden Markov model over the lines of a page: running header, page number, body, loose note or break.
+"""Hidden Markov model over the lines of a page: running header, page number, body, loose note or break, on a scanned or on another page.
 
-Each line is seen as a tuple of discrete layout features; a state emits the features independently. Start, transition and emission
-probabilities are counts over labelled pages, smoothed by one. The labelled pages are composed here (:func:`labelled_pages`): prose
-is wrapped to a random width, and furniture, loose notes and blank lines are put in with their labels.
+Each line is seen as a tuple of discrete layout features; a state emits the features independently. A state tells the line's part and the
+page's kind, which no transition changes, so the best path decides both at once. Start, transition and emission probabilities are counts over
+labelled pages, smoothed by one. The labelled pages are composed here (:func:`labelled_pages`): prose is wrapped to a random width, and
+furniture, loose notes and blank lines are put in with their labels.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 STATES = ("body", "header", "pagenum", "note", "break")
+#: Kinds of pages: cut into lines by the paper's width, or not.
+KINDS = ("scanned", "other")
+FEATURES = 11
 
 #: Marks that recognition takes for digits, besides the digits.
 _N = r"(?=[0-9lIOoSsBZz!|]{1,5}\b|[0-9lIOoSsBZz!|]{1,5}(?:\s|$))[0-9lIOoSsBZz!|]{1,5}"
@@ -42,8 +46,27 @@ def markup_form(line: str) -> bool:
     return s[:1] == "|" or bool(_MARKUP.search(s) and not re.search(r"\w \| \w", s))
 
 
+_DIGITS = re.compile(r"\d+|(?<!\w)[lIO!]+(?!\w)")
+_LAST_NUMBER, _GAP, _BAR = re.compile(r"\s[lIO\d]{1,4}$"), re.compile(r"\S\s{2,}\S"), re.compile(r"\s[|–—·•]\s")
+
+
 def _skeleton(line: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[\d]+|(?<!\w)[lIO!]+(?!\w)", "", line)).strip().lower()
+    return " ".join(_DIGITS.sub("", line).split()).lower()
+
+
+def _shape(s: str) -> tuple:
+    """What a line alone tells: shape, case, end, inner form, words, and whether it has the form of a page number."""
+    words = _WORD.findall(s)
+    caps = sum(w[0].isupper() for w in words)
+    # a page number has at most a few words or marks; longer lines need not be tried
+    marked = len(s) <= 60 and page_number_form(s)
+    bare = len(s) <= 8 and bool(_BARE.match(s))
+    shape = "marked" if marked else "number" if bare else "markup" if markup_form(s) else "words" if words else "other"
+    case = "none" if not words else "upper" if s.upper() == s else "title" if caps >= 0.6 * len(words) else "start" if s[0].isupper() else "low"
+    last = s[-1]
+    ends = "stop" if last in ".!?:;,۔؟" else "hyphen" if last in "-‐‑\xad¬" else "paren" if last == ")" else "digit" if last.isdigit() or (last in "lIO" and _LAST_NUMBER.search(s)) else "open"
+    inner = "gap" if _GAP.search(s) else "bar" if len(words) <= 8 and _BAR.search(s) else "plain"
+    return shape, case, ends, inner, bool(words), marked, bare
 
 
 def features(lines: list[str]) -> list[tuple]:
@@ -51,35 +74,31 @@ def features(lines: list[str]) -> list[tuple]:
     bare = [x.strip() for x in lines]
     lengths = sorted(len(x) for x in bare if x)
     width = max(1, lengths[int(0.9 * (len(lengths) - 1))]) if lengths else 1
-    seen = Counter(_skeleton(x) for x in bare if x)
     full = [i for i, x in enumerate(bare) if x]
-    place = {i: k for k, i in enumerate(full)}
-    out = []
-    for i, s in enumerate(bare):
-        if not s:
-            out.append(("blank",) + ("",) * 9)
-            continue
-        k = place[i]
-        before = bare[full[k - 1]] if k else ""
-        after = bare[full[k + 1]] if k + 1 < len(full) else ""
-        words = _WORD.findall(s)
-        caps = sum(w[0].isupper() for w in words)
-        marked = page_number_form(s)
-        shape = "marked" if marked else "number" if _BARE.match(s) else "markup" if markup_form(s) else "words" if words else "other"
-        case = "none" if not words else "upper" if s.upper() == s else "title" if caps >= 0.6 * len(words) else "start" if words and s[0].isupper() else "low"
-        ends = "stop" if s[-1] in ".!?:;," else "hyphen" if s[-1] in "-‐‑\xad¬" else "paren" if s[-1] == ")" else "digit" if s[-1].isdigit() or re.search(r"\s[lIO\d]{1,4}$", s) else "open"
+    forms = [_shape(bare[i]) for i in full]
+    skeletons = [_skeleton(bare[i]) for i in full]
+    seen = Counter(skeletons)
+    out: list[tuple] = [BLANK] * len(bare)
+    before = ""
+    for k, i in enumerate(full):
+        s, (shape, case, ends, inner, words, _, _) = bare[i], forms[k]
         ratio = len(s) / width
         size = "full" if ratio > 0.82 else "long" if ratio > 0.6 else "mid" if ratio > 0.35 else "short"
-        inner = "gap" if re.search(r"\S\s{2,}\S", s) else "bar" if re.search(r"\s[|–—·•]\s", s) and len(words) <= 8 else "plain"
-        open_before = bool(before) and before[-1] not in ".!?:" and len(before) > 0.6 * width
+        open_before = bool(before) and before[-1] not in ".!?:۔؟" and len(before) > 0.6 * width
         flow = "first" if not before else ("open" if open_before else "shut") + ("-low" if s[0].islower() else "-up")
-        near = "page" if page_number_form(before) or page_number_form(after) else "number" if _BARE.match(before) or _BARE.match(after) else "none"
-        often = "many" if seen[_skeleton(s)] > 1 and words else "once"
+        around = [forms[j] for j in (k - 1, k + 1) if 0 <= j < len(full)]
+        near = "page" if any(f[5] for f in around) else "number" if any(f[6] for f in around) else "none"
+        often = "many" if words and seen[skeletons[k]] > 1 else "once"
         unit = "unit" if before.endswith(")") and len(before) < 30 else "none"
-        out.append((shape, case, ends, size, inner, flow, near, often, unit, "narrow" if width < 90 else "wide"))
+        trail = "space" if lines[i][-1] == " " else "none"
+        out[i] = (shape, case, ends, size, inner, flow, near, often, unit, "narrow" if width < 90 else "middle" if width < 130 else "wide", trail)
+        before = s
     return out
 
 
+BLANK = ("blank",) + ("",) * (FEATURES - 1)
+
+
 _PROSE = (
     "Keep the lamp away from open windows and clean the glass with a dry cloth after each use.",
     "When the pump has run for 12 minutes, close the lower tap and wait until the pressure falls below 3.2 bar.",
@@ -119,13 +138,16 @@ def _number(rng: random.Random, style: int, page: int) -> str:
     return (f"- {n} -", f"Page {n}", f"p. {n}", f"[{n}]", f"· {n} ·", f"{n} / 240", f"Page {n} of 240", n, n, n, f"— {n} —", f"PAGE {n}")[style]
 
 
-def labelled_pages(count: int, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """``count`` texts as lists of (line, state). A quarter has no furniture; some are not wrapped at all."""
+def labelled_pages(count: int, seed: int = 11) -> list[tuple[str, list[tuple[str, str]]]]:
+    """``count`` texts as (kind, list of (line, state)). A quarter has no furniture; some are not wrapped at all.
+
+    Lines that end in a space, and blocks of markup, are of another origin than a scanner.
+    """
     rng = random.Random(seed)
     texts = []
     for _ in range(count):
         wrapped, furniture = rng.random() < 0.85, rng.random() < 0.75
-        width, style, page = rng.randint(48, 82), rng.randrange(12), rng.randint(2, 230)
+        width, style, page = rng.randint(48, 82) if rng.random() < 0.8 else rng.randint(83, 200), rng.randrange(12), rng.randint(2, 230)
         trail = " " if rng.random() < 0.12 else ""
         if trail or not wrapped:
             furniture = False
@@ -155,14 +177,15 @@ def labelled_pages(count: int, seed: int = 11) -> list[list[tuple[str, str]]]:
         for number in range(rng.randint(1, 4)):
             if number:
                 out.append(("", "break"))
-            prose = " ".join(rng.choice(_PROSE) for _ in range(rng.randint(2, 4)))
-            lines = textwrap.wrap(prose, width) if wrapped else [prose]
+            prose = " ".join(rng.choice(_PROSE) for _ in range(rng.randint(2, 4) + (width > 82 and 3)))
+            lines = textwrap.wrap(prose, width) if wrapped else [prose] if rng.random() < 0.7 else [rng.choice(_PROSE) for _ in range(rng.randint(1, 3))]
             if wrapped and furniture:
                 for i in range(len(lines) - 1):
                     if rng.random() < 0.12 and lines[i + 1][:3].isalpha():
                         lines[i], lines[i + 1] = lines[i] + " " + lines[i + 1][:2] + "-", lines[i + 1][2:]
             for i, line in enumerate(lines):
-                out.append((line + trail, "body"))
+                stray = " " if rng.random() < (0.4 if line[-1] == "-" else 0.03) else ""
+                out.append((line + (trail or stray), "body"))
                 if furniture and i < len(lines) - 1 and rng.random() < 0.1:
                     furnish()
             if rng.random() < 0.12:
@@ -172,21 +195,26 @@ def labelled_pages(count: int, seed: int = 11) -> list[list[tuple[str, str]]]:
                 out += [("", "break"), (rng.choice(("## " + rng.choice(_TOPICS), "== " + rng.choice(_TOPICS) + " ==", "1. Open the cover", "| A | B |", "<ul>", "\\begin{itemize}", "```")), "note")]
         if furniture and rng.random() < 0.5:
             furnish()
-        texts.append(out)
+        cut = any(a == "body" and b == "body" and x[-1] not in ".!?" for (x, a), (_, b) in zip(out, out[1:], strict=False))
+        texts.append(("scanned" if wrapped and not trail and cut else "other", out))
     return texts
 
 
 class LineModel:
-    def __init__(self, start: dict, move: dict, emit: list[dict], floor: list[dict]) -> None:
+    """States are numbered by kind, then by part; moves between kinds do not exist."""
+
+    def __init__(self, start: list[float], move: list[list[list[float]]], emit: list[dict[str, list[float]]], floor: list[list[float]]) -> None:
         self.start, self.move, self.emit, self.floor = start, move, emit, floor
+        self._seen: dict[tuple, list[float]] = {}
 
     @classmethod
-    def fit(cls, pages: list[list[tuple[str, str]]]) -> LineModel:
-        start, move = Counter(), Counter()
-        emit: list[Counter] = [Counter() for _ in range(10)]
-        total, values = Counter(), [set() for _ in range(10)]
-        for page in pages:
-            states = [s for _, s in page]
+    def fit(cls, pages: list[tuple[str, list[tuple[str, str]]]]) -> LineModel:
+        n = len(STATES)
+        start, move, total = Counter(), Counter(), Counter()
+        emit: list[Counter] = [Counter() for _ in range(FEATURES)]
+        values: list[set] = [set() for _ in range(FEATURES)]
+        for kind, page in pages:
+            states = [n * KINDS.index(kind) + STATES.index(s) for _, s in page]
             start[states[0]] += 1
             move.update(zip(states, states[1:], strict=False))
             for state, f in zip(states, features([line for line, _ in page]), strict=True):
@@ -194,36 +222,52 @@ class LineModel:
                 for k, v in enumerate(f):
                     emit[k][state, v] += 1
                     values[k].add(v)
-        out = defaultdict(int)
-        for (a, _), n in move.items():
-            out[a] += n
+        every = range(n * len(KINDS))
+        out = Counter()
+        for (a, _), m in move.items():
+            out[a] += m
         return cls(
-            {s: math.log((start[s] + 1) / (len(pages) + len(STATES))) for s in STATES},
-            {(a, b): math.log((move[a, b] + 1) / (out[a] + len(STATES))) for a in STATES for b in STATES},
-            [{(s, v): math.log((emit[k][s, v] + 0.5) / (total[s] + 0.5 * len(values[k]) + 0.5)) for s in STATES for v in values[k]} for k in range(10)],
-            [{s: math.log(0.5 / (total[s] + 0.5 * len(values[k]) + 0.5)) for s in STATES} for k in range(10)],
+            [math.log((start[s] + 1) / (len(pages) + len(every))) for s in every],
+            [[[math.log((move[a, b] + 1) / (out[a] + n)) for a in range(k, k + n)] for b in range(k, k + n)] for k in range(0, len(every), n)],
+            [{v: [math.log((emit[k][s, v] + 0.5) / (total[s] + 0.5 * len(values[k]) + 0.5)) for s in every] for v in values[k]} for k in range(FEATURES)],
+            [[math.log(0.5 / (total[s] + 0.5 * len(values[k]) + 0.5)) for s in every] for k in range(FEATURES)],
         )
 
-    def decode(self, lines: list[str]) -> list[str]:
-        """The most probable states of the lines (Viterbi)."""
+    def _emission(self, f: tuple) -> list[float]:
+        got = self._seen.get(f)
+        if got is None:
+            if len(self._seen) >= 100_000:
+                self._seen.clear()
+            got = self._seen[f] = [sum(x) for x in zip(*[self.emit[k].get(v, self.floor[k]) for k, v in enumerate(f)], strict=True)]
+        return got
+
+    def decode(self, lines: list[str]) -> tuple[str, list[str]]:
+        """The most probable kind of a page and states of its lines (Viterbi)."""
         if not lines:
-            return []
-        seen = features(lines)
-        score, back = {}, []
-        for i, f in enumerate(seen):
-            emit = {s: sum(self.emit[k].get((s, v), self.floor[k][s]) for k, v in enumerate(f)) for s in STATES}
-            if i == 0:
-                score = {s: self.start[s] + emit[s] for s in STATES}
-                continue
-            best = {b: max(STATES, key=lambda a, b=b: score[a] + self.move[a, b]) for b in STATES}
-            score = {b: score[best[b]] + self.move[best[b], b] + emit[b] for b in STATES}
-            back.append(best)
-        state = max(STATES, key=score.__getitem__)
-        path = [state]
-        for best in reversed(back):
-            state = best[state]
-            path.append(state)
-        return path[::-1]
+            return "other", []
+        n = len(STATES)
+        emits = [self._emission(f) for f in features(lines)]
+        best: tuple[float, int, list[int]] | None = None
+        for kind, moves in enumerate(self.move):
+            low = n * kind
+            score = [self.start[low + s] + emits[0][low + s] for s in range(n)]
+            back = []
+            for e in emits[1:]:
+                new, came = [], []
+                for s in range(n):
+                    ways = [x + m for x, m in zip(score, moves[s], strict=True)]
+                    top = max(ways)
+                    came.append(ways.index(top))
+                    new.append(top + e[low + s])
+                score = new
+                back.append(came)
+            top = max(score)
+            if best is None or top > best[0]:
+                path = [score.index(top)]
+                for came in reversed(back):
+                    path.append(came[path[-1]])
+                best = top, kind, path[::-1]
+        return KINDS[best[1]], [STATES[s] for s in best[2]]
 
 
 @lru_cache(maxsize=1)

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.line_model import line_model, markup_form, number_form
+from lodestone.llm.line_model import STATES, line_model, markup_form, number_form, page_number_form
 from lodestone.scale import cut_lineage, spread
 
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _HYPHENS = "-‐‑\xad¬"
 _BLOCK_MARKUP = re.compile(r"</?[A-Za-z]\w*[^<>]*>$|\\(?:begin|end)\{|```|~~~|\{\||\|[-}]")
+_MARKUP_FIRST = frozenset("<\\`~{|")
 _EDGE = ".,;:?()[]{}\"'“”‘’«»–—…*_`<>/\\=~^"
 _CODE = re.compile(r"^[A-Z]{1,8}-?\d+[A-Z]?$|^\d")
 #: What recognition prints, and what stood there (fixed values). The common ones may be wrong twice in a word.
@@ -31,34 +33,35 @@ RARE = (
 _ORDINARY = r"^[a-z]+(?:['’-][a-z]+)*$"
 
 PAGES = (
-    "chunk_id string, scanned boolean, furniture array<struct<kind:string,piece:string>>,"
-    "breaks array<struct<first:string,rest:string>>, words array<string>"
+    "chunk_id string, digest long, states string, furniture array<struct<kind:string,piece:string>>,"
+    "breaks array<struct<first:string,rest:string>>, words array<string>, word string, n long"
 )
+_PAGES = ["chunk_id", "digest", "states", "furniture", "breaks", "words", "word", "n"]
+#: Counts of words are handed on when so many are held.
+HELD = 500_000
 
 
-def label_lines(text: str) -> list[tuple[str, str]]:
-    """The lines of a text with their states."""
+def label_lines(text: str) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether a text is a scanned page, and its lines with their states; both are the best path of the model, with no bound on the width."""
     lines = _LINES.split(text)
-    return list(zip(lines, line_model().decode(lines), strict=True))
+    kind, states = line_model().decode(lines)
+    labelled = list(zip(lines, states, strict=True))
+    return kind == "scanned" and is_cut(labelled), labelled
 
 
-def is_scanned(labelled: list[tuple[str, str]]) -> bool:
-    """Whether the body is cut into short lines: some line stops well inside a sentence although it is about as wide as the others."""
-    body = [line.strip() for line, s in labelled if s == "body"]
-    if len(body) < 2 or any(_BLOCK_MARKUP.match(line.strip()) for line, _ in labelled):
-        return False
-    if sum(line.endswith(" ") for line, s in labelled if s == "body") > len(body) // 2:
-        return False
-    width = sorted(map(len, body))[int(0.9 * (len(body) - 1))]
-    cut = sum(a[-1] not in ".!?:" and len(a) > 0.6 * width for a in body[:-1])
-    return cut >= 1 and width <= 110
+def is_cut(labelled: list[tuple[str, str]]) -> bool:
+    """Whether anything is to be put together: some body line stops inside a sentence before another one, and no line is block markup."""
+    body = [s for line, state in labelled if state == "body" and (s := line.strip())]
+    return any(a[-1] not in ".!?:" for a in body[:-1]) and not any(line[:1] in _MARKUP_FIRST and _BLOCK_MARKUP.match(line) for x, _ in labelled if (line := x.strip()))
 
 
-def is_furniture(line: str, state: str) -> bool:
-    """A page number has the form of a number; a header holds a word and no markup."""
-    if state == "pagenum":
-        return number_form(line)
-    return state == "header" and bool(re.search(r"[^\W\d_]{2}", line)) and not markup_form(line)
+def furniture_of(line: str, state: str) -> str | None:
+    """``pagenum`` for a line of furniture that is a number by its whole form, ``header`` for one that holds a word and no markup."""
+    if state not in ("pagenum", "header"):
+        return None
+    if page_number_form(line) or (state == "pagenum" and number_form(line)):
+        return "pagenum"
+    return "header" if state == "header" and re.search(r"[^\W\d_]{2}", line) and not markup_form(line) else None
 
 
 def paragraphs_of(labelled: list[tuple[str, str]]) -> list[list[str]]:
@@ -95,13 +98,26 @@ def _broken(paragraph: list[str]) -> Iterator[tuple[int, str, str]]:
             yield i, a[-1][:-1], b[0]
 
 
-def read_page(text: str | None) -> tuple[bool, list, list, list]:
+def is_ordinary(word: str) -> bool:
+    """Letters of English in lower case, with apostrophes or hyphens inside."""
+    return word.isascii() and (word.isalpha() or bool(_IN_ORDINARY.match(word))) and word[:1].islower()
+
+
+_IN_ORDINARY = re.compile(r"[a-z]+(?:['-][a-z]+)*$")
+
+
+def plain_words(text: str) -> set[str]:
+    return {w for w in {core(t) for t in set(text.split())} if is_ordinary(w) or (not w.isascii() and re.match(_ORDINARY, w))}
+
+
+def read_page(text: str | None) -> tuple[str | None, list, list, list]:
+    """(states, furniture, breaks, words) of a scanned page, a letter for the state of each line; other pages have no states and nothing to repair."""
     if not text:
-        return False, [], [], []
-    labelled = label_lines(text)
-    if not is_scanned(labelled):
-        return False, [], [], sorted({w for w in map(core, text.split()) if re.match(_ORDINARY, w)})
-    furniture = sorted({(s, line.strip()) for line, s in labelled if is_furniture(line, s)})
+        return None, [], [], []
+    scanned, labelled = label_lines(text)
+    if not scanned:
+        return None, [], [], []
+    furniture = sorted({(kind, line.strip()) for line, s in labelled if (kind := furniture_of(line, s))})
     breaks, words = set(), set()
     for paragraph in paragraphs_of(labelled):
         tokens = [p.split() for p in paragraph]
@@ -111,24 +127,47 @@ def read_page(text: str | None) -> tuple[bool, list, list, list]:
             tokens[i + 1].pop(0)
         for t in tokens:
             words.update(core(w) for w in t if not _CODE.match(w.strip(_EDGE)))
-    return True, furniture, sorted(breaks), sorted(w for w in words if len(w) > 1 and re.search("[a-zﬁﬂ]", w))
+    states = "".join(_LETTER[s] for _, s in labelled)
+    return states, furniture, sorted(breaks), sorted(w for w in words if len(w) > 1 and re.search("[a-zﬁﬂ]", w))
+
+
+_LETTER = {s: s[0] for s in STATES} | {"break": "-"}
+_STATE = {x: s for s, x in _LETTER.items()}
 
 
-def read_pages(chunks: DataFrame) -> DataFrame:
-    """For each row its layout, the furniture and the words found. A null or empty text is not scanned and holds nothing."""
+def distinct_pages(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, text, digest)``: rows repeated whole count once."""
+    return chunks.select("chunk_id", "text").distinct().withColumn("digest", F.xxhash64("text"))
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """For each scanned page of :func:`distinct_pages` its layout, the furniture and the words found; for all others, how many hold each word.
+
+    A null or empty text is not scanned and holds nothing. The counts are those of a task, to be summed.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def handed() -> list[tuple]:
+            rows = [(None, None, None, None, None, None, w, n) for w, n in counts.items()]
+            counts.clear()
+            return rows
+
         for pdf in batches:
-            rows = [(i, *read_page(t)) for i, t in zip(pdf["chunk_id"], pdf["text"], strict=True)]
-            yield pd.DataFrame(
-                [
-                    (i, s, [{"kind": k, "piece": p} for k, p in f], [{"first": a, "rest": b} for a, b in h], w)
-                    for i, s, f, h, w in rows
-                ],
-                columns=["chunk_id", "scanned", "furniture", "breaks", "words"],
-            )
+            rows: list[tuple] = []
+            for i, text, digest in zip(pdf["chunk_id"], pdf["text"], pdf["digest"], strict=True):
+                states, furniture, breaks, words = read_page(text)
+                if states is not None:
+                    rows.append((i, digest, states, [{"kind": k, "piece": p} for k, p in furniture], [{"first": a, "rest": b} for a, b in breaks], words, None, None))
+                elif text:
+                    counts.update(plain_words(text))
+            if len(counts) > HELD:
+                rows += handed()
+            yield pd.DataFrame(rows, columns=_PAGES, dtype=object)
+        yield pd.DataFrame(handed(), columns=_PAGES, dtype=object)
 
-    return spread(chunks.select("chunk_id", "text")).mapInPandas(run, PAGES)
+    return spread(pages).mapInPandas(run, PAGES)
 
 
 def candidates(word: str) -> dict[str, int]:
@@ -164,16 +203,16 @@ def _candidates_of(words: DataFrame) -> DataFrame:
     return words.mapInPandas(run, "word string, right string, places int")
 
 
-def repairs(chunks: DataFrame, min_chunks: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``(chunk_id, kind, piece)`` of each repair, and ``(chunk_id, wrong, right)`` of each word to put right.
+def repairs(pages: DataFrame, min_chunks: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(chunk_id, kind, piece)`` of each repair, and ``(chunk_id, wrong, right)`` of each word to put right, for :func:`read_pages`.
 
     The words of texts that are not scanned are the vocabulary, counted over all of them; a right word must stand in at least
     ``min_chunks``. Everything is joined by word, nothing is gathered: the vocabulary may have any size.
     """
-    pages = cut_lineage(read_pages(chunks))
-    vocabulary = pages.filter(~F.col("scanned")).select(F.explode("words").alias("right")).groupBy("right").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = pages.filter(F.col("word").isNotNull()).groupBy(F.col("word").alias("right")).agg(F.sum("n").alias("df"))
+    pages = pages.filter(F.col("states").isNotNull())
     found = pages.select("chunk_id", F.explode("furniture").alias("f")).select("chunk_id", "f.kind", "f.piece")
-    words = pages.filter("scanned").select("chunk_id", F.explode("words").alias("wide"))
+    words = pages.select("chunk_id", F.explode("words").alias("wide"))
     words = words.withColumn("word", F.regexp_replace("wide", r"^[!|@$]+|[!|@$]+$", "")).distinct()
     breaks = pages.select("chunk_id", F.explode("breaks").alias("b")).select("chunk_id", "b.first", "b.rest").distinct()
     known = vocabulary.select(F.col("right").alias("word"), "df")
@@ -212,7 +251,7 @@ def repairs(chunks: DataFrame, min_chunks: int = 2) -> tuple[DataFrame, DataFram
 
 
 def scan_repairs(chunks: DataFrame) -> DataFrame:
-    return repairs(chunks)[0]
+    return repairs(cut_lineage(read_pages(distinct_pages(chunks))))[0]
 
 
 def _like(right: str, seen: str) -> str:
@@ -222,15 +261,14 @@ def _like(right: str, seen: str) -> str:
     return seen[:start] + word + seen[start + len(body) :]
 
 
-def running_text(text: str | None, fixes: dict[str, str]) -> list[str]:
-    """The paragraphs of a scanned page, without furniture, with whole and right words. Other texts give their paragraphs as they are."""
+def running_text(text: str | None, states: str | None, fixes: dict[str, str]) -> list[str]:
+    """The paragraphs of a scanned page with its lines' states, without furniture, with whole and right words. Texts without states give theirs as they are."""
     if not text:
         return []
-    labelled = label_lines(text)
-    if not is_scanned(labelled):
+    if states is None:
         return [" ".join(p.split()) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*", text) if p.strip()]
     out = []
-    for paragraph in paragraphs_of(labelled):
+    for paragraph in paragraphs_of(list(zip(_LINES.split(text), map(_STATE.get, states), strict=True))):
         tokens = [p.split() for p in paragraph]
         for i, first, rest in _broken(paragraph):
             whole = fixes.get(f"{core(first)}-\n{core(rest)}")
@@ -241,14 +279,19 @@ def running_text(text: str | None, fixes: dict[str, str]) -> list[str]:
 
 
 def repair_scanned(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, paragraph_no, paragraph)``: the running text of each chunk. A chunk's fixes are bounded by its own words."""
-    wrong = repairs(chunks)[1].groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
-    rows = chunks.select("chunk_id", "text").distinct().join(wrong, "chunk_id", "left")
+    """``(chunk_id, paragraph_no, paragraph)``: the running text of each distinct chunk, decoded once. A chunk's fixes are bounded by its own words."""
+    texts = distinct_pages(chunks)
+    pages = cut_lineage(read_pages(texts))
+    wrong = repairs(pages)[1].groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("wrong", "right"))).alias("fixes"))
+    told = pages.filter(F.col("states").isNotNull()).select("chunk_id", "digest", "states").join(wrong, "chunk_id", "left")
+    rows = texts.join(told, ["chunk_id", "digest"], "left").select("chunk_id", "text", "states", "fixes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text, fixes in zip(pdf["chunk_id"], pdf["text"], pdf["fixes"], strict=True):
-                parts = running_text(text, dict(fixes) if fixes is not None else {})
-                yield pd.DataFrame([(i, n, p) for n, p in enumerate(parts, 1)], columns=["chunk_id", "paragraph_no", "paragraph"])
+            rows = []
+            for i, text, states, fixes in zip(pdf["chunk_id"], pdf["text"], pdf["states"], pdf["fixes"], strict=True):
+                parts = running_text(text, states, dict(fixes) if fixes is not None else {})
+                rows += [(i, n, p) for n, p in enumerate(parts, 1)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "paragraph_no", "paragraph"])
 
     return rows.mapInPandas(run, "chunk_id string, paragraph_no int, paragraph string")

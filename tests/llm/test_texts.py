@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 from lodestone.llm import langid, leakage, line_model, markup, markup_pages, ocr_repair
 
@@ -16,8 +17,29 @@ CLEAN = [
 
 def test_line_model_on_held_out_pages():
     pages = line_model.labelled_pages(200, seed=99)
-    pairs = [(s, g) for p in pages for (_, s), g in zip(p, line_model.line_model().decode([x for x, _ in p]), strict=True)]
+    decoded = [line_model.line_model().decode([x for x, _ in p]) for _, p in pages]
+    pairs = [(s, g) for (_, p), (_, states) in zip(pages, decoded, strict=True) for (_, s), g in zip(p, states, strict=True)]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.99
+    assert sum(k == got for (k, _), (got, _) in zip(pages, decoded, strict=True)) / len(pages) > 0.97
+
+
+def test_wide_pages_are_scanned_as_well():
+    prose = "The left handle turns the inner ring, whereas the right one only locks it and must never be forced by anybody who has not read the whole of this page "
+    for width in (60, 100, 150, 200):
+        text = "\n".join(textwrap.wrap(prose * 8, width))
+        assert ocr_repair.label_lines(text)[0], width
+    assert not ocr_repair.label_lines("\n\n".join([prose.strip() + "."] * 5))[0] and not ocr_repair.label_lines(prose)[0]
+    assert line_model.line_model().decode([]) == ("other", [])
+
+
+def test_repeated_rows_count_once(spark):
+    """A word that stands in one chunk, given twice, is no word of two chunks."""
+    page = "Keep the lamp away from open win-\ndows and clean the glass with a\ndry clotb after each use and then\nlet it stand for the whole night."
+    rows = [("a", "A cloth is dry."), ("a", "A cloth is dry."), *[(f"c{i}", CLEAN[1]) for i in range(3)], ("s", page)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    assert ("misread", "cloth") not in {(r["kind"], r["piece"]) for r in ocr_repair.scan_repairs(df).collect()}
+    more = df.union(spark.createDataFrame([("b", "The cloth.")], df.schema))
+    assert ("misread", "cloth") in {(r["kind"], r["piece"]) for r in ocr_repair.scan_repairs(more).collect()}
 
 
 def test_repairs(spark):
