@@ -170,9 +170,15 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return spread(pages).mapInPandas(run, PAGES)
 
 
+#: No ordinary word is longer; what is longer, such as a text without spaces, is no misread word.
+LONGEST = 60
+
+
 def candidates(word: str) -> dict[str, int]:
     """The words that may stand behind a misread one, with the number of misread places: one of any kind, or two common ones."""
     found: dict[str, int] = {}
+    if len(word) > LONGEST:
+        return found
     plain = unicodedata.normalize("NFKC", word)
     if plain != word:
         found[plain] = 1

@@ -68,6 +68,7 @@ def test_nothing_scanned(spark):
 def test_candidates():
     for seen, true in (("mlnutes", "minutes"), ("moiinting", "mounting"), ("othervvise", "otherwise"), ("be@ring", "bearing"), ("ﬁlter", "filter"), ("5witcb", "switch")):
         assert true in ocr_repair.candidates(seen), seen
+    assert ocr_repair.candidates("cl1" * 2000) == {}
 
 
 # --- markup ----------------------------------------------------------------------------------------------------------------------
