@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.line_model import STATES, line_model, markup_form, number_form, page_number_form
-from lodestone.scale import cut_lineage, spread
+from lodestone.scale import cut_lineage
 
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _HYPHENS = "-‐‑\xad¬"
@@ -143,7 +143,8 @@ def distinct_pages(chunks: DataFrame) -> DataFrame:
 def read_pages(pages: DataFrame) -> DataFrame:
     """For each scanned page of :func:`distinct_pages` its layout, the furniture and the words found; for all others, how many hold each word.
 
-    A null or empty text is not scanned and holds nothing. The counts are those of a task, to be summed.
+    A null or empty text is not scanned and holds nothing. The counts are those of a task, to be summed. A page's words that the task counts
+    itself are known to be right and left out of the page's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,6 +160,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
             for i, text, digest in zip(pdf["chunk_id"], pdf["text"], pdf["digest"], strict=True):
                 states, furniture, breaks, words = read_page(text)
                 if states is not None:
+                    words = [w for w in words if w not in counts]
                     rows.append((i, digest, states, [{"kind": k, "piece": p} for k, p in furniture], [{"first": a, "rest": b} for a, b in breaks], words, None, None))
                 elif text:
                     counts.update(plain_words(text))
@@ -167,7 +169,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=_PAGES, dtype=object)
         yield pd.DataFrame(handed(), columns=_PAGES, dtype=object)
 
-    return spread(pages).mapInPandas(run, PAGES)
+    return pages.mapInPandas(run, PAGES)
 
 
 #: No ordinary word is longer; what is longer, such as a text without spaces, is no misread word.
