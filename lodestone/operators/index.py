@@ -41,14 +41,23 @@ def rerank_text(meta: str = "metadata", text: str = "text") -> Column:
     return F.concat_ws("\n", blank_to_null(m["title"]), _label(m["product_category"]), blank_to_null(F.col(text)))
 
 
+def tokenized(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``(key, terms)``, from which all parts of a lexical index can be made."""
+    return texts.select(key, tokenize(F.col(text)).alias("terms"))
+
+
+def _terms(texts: DataFrame, text: str) -> Column:
+    return F.col("terms") if "terms" in texts.columns else tokenize(F.col(text))
+
+
 def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``(term, key, tf)``"""
-    terms = texts.select(key, F.explode(tokenize(F.col(text))).alias("term"))
+    """``(term, key, tf)`` of texts, or of :func:`tokenized` ones."""
+    terms = texts.select(key, F.explode(_terms(texts, text)).alias("term"))
     return terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_lengths(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    return texts.select(key, F.size(tokenize(F.col(text))).cast("long").alias("dl"))
+    return texts.select(key, F.size(_terms(texts, text)).cast("long").alias("dl"))
 
 
 def term_stats(post: DataFrame, lengths: DataFrame) -> DataFrame:

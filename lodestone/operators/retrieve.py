@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokenize
 from lodestone.operators.index import B, K1
-from lodestone.scale import running_totals
+from lodestone.scale import in_blocks, over_blocks, running_totals
 
 #: Fixed values.
 VECTOR_TOP, LEXICAL_TOP, CATEGORY_LEAST = 20, 20, 3
@@ -41,27 +43,132 @@ def exact_hits(keys: DataFrame, index: DataFrame, mode: str = "strict") -> DataF
     return asked.join(held, ["kind", "key"]).groupBy("qid", "chunk_id").agg(F.lit(1.0).alias("score"))
 
 
+def posting_weights(post: DataFrame, lengths: DataFrame, terms: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``(term, key, weight)``: what a posting adds to a document's score, whatever the question."""
+    mean = lengths.agg(F.avg("dl").alias("avgdl"))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return post.join(terms, "term").join(lengths, key).join(F.broadcast(mean)).select("term", key, (F.col("idf") * tf).alias("weight"))
+
+
+def asked_terms(questions: DataFrame, text: str = "text") -> DataFrame:
+    """``(qid, term, times)``"""
+    return questions.select("qid", F.explode(tokenize(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 def lexical_scores(questions: DataFrame, post: DataFrame, lengths: DataFrame, terms: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
-    """``(qid, key, score)`` by the usual lexical score; a term asked twice counts twice; only positive scores stay.
+    """``(qid, key, score)`` of every document by the usual lexical score; a term asked twice counts twice; only positive scores stay.
 
-    Question terms are counted first. A posting's weight does not depend on the question and is computed before the join by term, whose
-    rows are then as narrow as can be and are summed where a document's postings stand.
+    It emits every match, as one who wants all scores must; :func:`lexical_topk` finds the best without.
     """
-    asked = questions.select("qid", F.explode(tokenize(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = post.join(terms, "term").join(lengths, key).join(F.broadcast(mean)).select("term", key, (F.col("idf") * tf).alias("weight"))
-    hits = weights.join(asked, "term")
+    hits = posting_weights(post, lengths, terms, key).join(asked_terms(questions, text), "term")
     # rounded, so that ranks do not hang on the order of additions
     scored = hits.groupBy("qid", key).agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score"))
     return scored.filter(F.col("score") > 0)
 
 
+class _Slab:
+    """The postings of some whole documents, by term, with which many questions are scored."""
+
+    def __init__(self, keys: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int) -> None:
+        new = np.empty(len(keys), dtype=bool)
+        new[0], new[1:] = True, keys[1:] != keys[:-1]
+        self.keys = keys[new]
+        order = np.argsort(terms, kind="stable")
+        self.docs, self.weights = (np.cumsum(new) - 1)[order], weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(terms_in_all + 1))
+
+    def best(self, terms: list[tuple[int, int]], top: int, floor: float) -> list[tuple[float, object]]:
+        """``(-score, key)`` of the ``top`` best documents whose score is positive and not below ``floor``, by score, then by key."""
+        spans = [(self.starts[t], self.starts[t + 1], n) for t, n in terms if self.starts[t] < self.starts[t + 1]]
+        if not spans:
+            return []
+        docs = np.concatenate([self.docs[a:b] for a, b, _ in spans])
+        scores = np.round(np.bincount(docs, np.concatenate([self.weights[a:b] * n for a, b, n in spans]), len(self.keys)), 9)
+        good = np.nonzero((scores > 0) & (scores >= floor))[0]
+        if len(good) > top:
+            good = good[scores[good] >= np.partition(scores[good], -top)[-top]]
+        good = good[np.argsort(-scores[good], kind="stable")][:top]  # keys ascend in a slab
+        return [(-scores[d], self.keys[d]) for d in good]
+
+
+#: Postings that are scored at once.
+SLAB = 400_000
+
+
+def lexical_topk(
+    questions: DataFrame, post: DataFrame, lengths: DataFrame, terms: DataFrame, text: str = "text", key: str = "chunk_id", top: int = LEXICAL_TOP, block: int = 2000, block_bytes: int = 16 << 20
+) -> DataFrame:
+    """``(qid, key, score, rank)`` of the ``top`` best documents of each question by :func:`lexical_scores`, exact.
+
+    Postings are clustered by document once; of theirs, only terms that are asked stay. Questions are held in blocks of at most ``block`` questions
+    and ``block_bytes`` bytes of terms, or one question, each of which is broadcast. A task scores its documents for all questions of a block and
+    keeps each question's best, which the final rank merges: no match of a question and a document leaves a task, so what is moved grows with
+    the postings, and with partitions times questions times ``top``.
+    """
+    spark = questions.sparkSession
+    asked = asked_terms(questions, text)
+    weights = posting_weights(post, lengths, terms, key).join(asked.select("term").distinct(), "term", "left_semi")
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    weights = weights.repartition(n, key).sortWithinPartitions(key)
+    types = {"qid": questions.schema["qid"].dataType.simpleString(), key: post.schema[key].dataType.simpleString()}
+    schema = f"qid {types['qid']}, {key} {types[key]}, score double"
+    by = asked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "times"))).alias("terms")).select("qid", "terms")  # one text's words
+
+    def run(shared: Broadcast) -> DataFrame:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            numbers: dict[str, int] = {}
+            wanted = [(q, [(numbers.setdefault(t, len(numbers)), n) for t, n in told]) for q, told in shared.value]
+            held: list[list] = [[] for _ in wanted]
+
+            def take(parts: list[pd.DataFrame]) -> None:
+                rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+                places = rows["term"].map(numbers)
+                rows, places = rows[places.notna()], places[places.notna()]
+                if rows.empty:
+                    return
+                slab = _Slab(rows[key].to_numpy(), places.to_numpy(dtype=np.int64), rows["weight"].to_numpy(), len(numbers))
+                for k, (_, told) in enumerate(wanted):
+                    found = slab.best(told, top, -held[k][-1][0] if len(held[k]) == top else 0.0)
+                    if found:
+                        held[k] = sorted(held[k] + found)[:top]
+
+            waiting: list[pd.DataFrame] = []
+            size = 0
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                if size >= SLAB:  # the last document may go on in this batch
+                    last = waiting[-1][key].iloc[-1]
+                    same = int((pdf[key] == last).to_numpy().argmin()) if (pdf[key] != last).any() else len(pdf)
+                    waiting.append(pdf.iloc[:same])
+                    if same == len(pdf):
+                        continue
+                    take(waiting)
+                    waiting, size, pdf = [], 0, pdf.iloc[same:]
+                waiting.append(pdf)
+                size += len(pdf)
+            if waiting:
+                take(waiting)
+            rows = [(q, name, -s) for (q, _), best in zip(wanted, held, strict=True) for s, name in best]
+            yield pd.DataFrame(rows, columns=["qid", key, "score"])
+
+        return weights.mapInPandas(score, schema)
+
+    told = ((r["qid"], [(t["term"], t["times"]) for t in r["terms"]]) for r in by.toLocalIterator())
+    found = over_blocks(spark, in_blocks(told, block, block_bytes, lambda x: sum(64 + len(t) for t, _ in x[1])), run)
+    return ranked(spark.createDataFrame([], schema) if found is None else found, key=key, top=top)
+
+
 def similarity(cosine: Column) -> Column:
     """From a cosine: half its distance from one, not below zero."""
     return F.greatest(F.lit(0.0), 1 - (1 - cosine) / 2)
 
 
+def matrix_of(units: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without a copy by Python."""
+    return units.flatten().to_numpy(zero_copy_only=False).reshape(len(units), -1)
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, key: str = "vec_id", top: int = VECTOR_TOP, category: str | None = None, block: int = 2000, block_bytes: int = 64 << 20
 ) -> DataFrame:
@@ -73,24 +180,14 @@ def nearest(
     ``general`` take all.
     """
     columns = ["qid", "unit"] + ([category] if category else [])
-    parts: list[list] = []
-    held = 0
-    for row in queries.select(*columns).orderBy("qid").toLocalIterator():
-        unit = np.array(row["unit"])
-        if not parts or len(parts[-1]) == block or held + unit.nbytes > block_bytes:
-            parts.append([])
-            held = 0
-        parts[-1].append((row["qid"], unit, row[category] if category else None))
-        held += unit.nbytes
     types = {"qid": queries.schema["qid"].dataType.simpleString(), "key": vectors.schema[key].dataType.simpleString()}
     schema = f"qid {types['qid']}, {key} {types['key']}, score double, wanted boolean"
-    found = None
-    for part in parts:
-        names = [q for q, _, _ in part]
-        shared = vectors.sparkSession.sparkContext.broadcast((names, np.vstack([v for _, v, _ in part]), [c for _, _, c in part]))
+    batch_types = {k: {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[v] for k, v in types.items()}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, matrix, kinds = shared.value
+    def over(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, kinds = [q for q, _, _ in shared.value], [c for _, _, c in shared.value]
+            matrix = np.vstack([v for _, v, _ in shared.value])
             best: list[list] = [[] for _ in ids]
             same: list[list] = [[] for _ in ids]
             floor, same_floor = np.full(len(ids), -1.0), np.full(len(ids), -1.0)
@@ -104,8 +201,7 @@ def nearest(
                 for at in range(0, batch.num_rows, 1024):
                     piece = batch.slice(at, 1024)
                     names = piece.column(0).to_pylist()
-                    units = np.array(piece.column(1).to_pylist())
-                    scores = np.maximum(0.0, 1 - (1 - units @ matrix.T) / 2)
+                    scores = np.maximum(0.0, 1 - (1 - matrix_of(piece.column(1)) @ matrix.T) / 2)
                     # only queries that this piece can better are looked at
                     for j in np.nonzero((scores >= floor).any(axis=0))[0]:
                         col = scores[:, j]
@@ -125,9 +221,10 @@ def nearest(
                     [pa.array(q, kind["qid"]), pa.array(n, kind["key"]), pa.array(s, pa.float64()), pa.array(w, pa.bool_())], names=["qid", key, "score", "wanted"]
                 )
 
-        batch_types = {k: {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[v] for k, v in types.items()}
-        rows = vectors.select(key, "unit", *([category] if category else [])).mapInArrow(run, schema)
-        found = rows if found is None else found.unionByName(rows)
+        return vectors.select(key, "unit", *([category] if category else [])).mapInArrow(run, schema)
+
+    asked = ((r["qid"], np.array(r["unit"]), r[category] if category else None) for r in queries.select(*columns).toLocalIterator())
+    found = over_blocks(vectors.sparkSession, in_blocks(asked, block, block_bytes, lambda x: x[1].nbytes), over)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], schema)
     if category:

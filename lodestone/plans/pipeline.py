@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import fuse, index, retrieve
+from lodestone.operators import fuse, index, retrieve, vector_index
 from lodestone.operators.understand import understanding
+from lodestone.scale import cut_lineage
+
+
+#: An embedding model outside of the plan: ``(key, text)`` in, ``(key, embedding)`` out.
+Embedder = Callable[[DataFrame], DataFrame]
+
 
+def build_indexes(chunks: DataFrame, embedder: Embedder | None = None) -> dict[str, DataFrame]:
+    """The parts of the lexical and exact indexes over distinct chunks, and of the vector index where an ``embedder`` is given.
 
-def build_indexes(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The parts of the lexical and exact indexes over distinct chunks. The lexical index is over the embedding text."""
+    The lexical and the vector index are over the embedding text. Its terms are written once, since every part of the lexical index is made of them.
+    The vector index is an inverted file: ``vectors`` by cell, and ``centres`` with the number of cells to probe.
+    """
     one = index.distinct_chunks(chunks)
     texts = one.select("chunk_id", index.embedding_text().alias("text"))
-    post, lengths = index.postings(texts), index.document_lengths(texts)
-    return {"chunks": one, "postings": post, "doc_len": lengths, "terms": index.term_stats(post, lengths), "exact_index": index.exact_index(one)}
+    terms = cut_lineage(index.tokenized(texts))
+    post, lengths = index.postings(terms), index.document_lengths(terms)
+    parts = {"chunks": one, "postings": post, "doc_len": lengths, "terms": index.term_stats(post, lengths), "exact_index": index.exact_index(one)}
+    if embedder is not None:
+        vectors = cut_lineage(index.unit_vectors(embedder(texts), "chunk_id", "embedding"))
+        centres = vector_index.fit(vectors, key="chunk_id")
+        parts["vectors"] = vector_index.build(vectors, centres, key="chunk_id")
+        parts["centres"] = vector_index.to_table(chunks.sparkSession, centres)
+    return parts
+
+
+def search_vectors(asked: DataFrame, parts: dict[str, DataFrame], top: int = retrieve.VECTOR_TOP) -> DataFrame:
+    """The ranked lists ``(qid, chunk_id, score, rank)`` of embedded questions ``(qid, unit)`` by the vector part of an index."""
+    return vector_index.search(asked, parts["vectors"], vector_index.from_table(parts["centres"]), top=top, key="chunk_id")
 
 
 def question_keys(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -46,8 +69,7 @@ def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: Data
     kinds = ("error_codes", "model_names")
     keys = [questions.select("qid", F.lit(kind).alias("kind"), F.explode(kind).alias("key")) for kind in kinds]
     exact = retrieve.ranked(retrieve.exact_hits(keys[0].unionByName(keys[1]), parts["exact_index"]))
-    scores = retrieve.lexical_scores(questions, parts["postings"], parts["doc_len"], parts["terms"], text="translated_query")
-    lexical = retrieve.ranked(scores, top=retrieve.LEXICAL_TOP)
+    lexical = retrieve.lexical_topk(questions, parts["postings"], parts["doc_len"], parts["terms"], text="translated_query")
     lists = exact.withColumn("source", F.lit("exact")).unionByName(lexical.withColumn("source", F.lit("bm25")))
     if vector_hits is not None:
         lists = lists.unionByName(vector_hits.select("qid", "chunk_id", "score", "rank").withColumn("source", F.lit("vector")))

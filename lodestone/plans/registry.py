@@ -103,8 +103,7 @@ def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     p = pipeline.build_indexes(table(spark, d, "phase1_chunks"))
-    scores = retrieve.lexical_scores(questions(spark, d), p["postings"], p["doc_len"], p["terms"])
-    return retrieve.ranked(scores, top=retrieve.LEXICAL_TOP).select("qid", "chunk_id", rounded("score").alias("score"), "rank")
+    return retrieve.lexical_topk(questions(spark, d), p["postings"], p["doc_len"], p["terms"]).select("qid", "chunk_id", rounded("score").alias("score"), "rank")
 
 
 @query
@@ -170,11 +169,11 @@ def vector_topk_category_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The same queries by the inverted file: 16 cells, 12 of them probed."""
+    """The same queries by the inverted file, with as many cells and probes as were fitted."""
     vectors = index.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
-    centres = vector_index.fit_centres(vectors, 16)
+    centres = vector_index.fit(vectors)
     asked = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "unit")
-    found = vector_index.search(asked, vector_index.build(vectors, centres), centres, probes=12)
+    found = vector_index.search(asked, vector_index.build(vectors, centres), centres)
     return found.select("qid", "vec_id", rounded("score").alias("score"), "rank")
 
 

@@ -8,21 +8,31 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import TypeVar
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are threads of this machine gets a folder of its own, as in tests; any other one is an error, since
+    what one machine holds is lost with it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -32,7 +42,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
     Columnar and compressed, it takes a fraction of the space of a checkpoint; a lost executor takes nothing of it along. The
-    tables are removed at the end of the program, or by :func:`release_tables`.
+    tables are removed at the end of the program, at the end of a :func:`query_tables` block around the query, or by :func:`release_tables`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
@@ -42,9 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def release_tables() -> None:
-    """Remove the tables that :func:`cut_lineage` wrote; no result that reads one may be used afterwards."""
-    while _written:
+def release_tables(keep: int = 0) -> None:
+    """Remove the tables that :func:`cut_lineage` wrote, but for the first ``keep``; no result that reads one may be used afterwards."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
@@ -52,7 +62,28 @@ def release_tables() -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_SHUFFLES = re.compile(r"\b(?:Join|Aggregate|Sort|Window|Distinct|Deduplicate|Repartition\w*|RebalancePartitions|Union|Intersect|Except)\b")
+@contextlib.contextmanager
+def query_tables() -> Iterator[None]:
+    """Around the building and the use of a query in a program that lives long: what it wrote is removed at the block's end."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release_tables(keep=before)
+
+
+#: Logical nodes that shuffle, or whose partitions are those of several inputs.
+_SHUFFLES = frozenset(
+    ("Join", "Aggregate", "Sort", "Window", "Distinct", "Deduplicate", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Union", "Intersect", "Except", "GlobalLimit")
+)
+
+
+def _shuffles(plan) -> bool:  # noqa: ANN001
+    """Whether a node of a logical plan is one of these."""
+    if plan.nodeName() in _SHUFFLES:
+        return True
+    below = plan.children()
+    return any(_shuffles(below.apply(i)) for i in range(below.size()))
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
@@ -64,7 +95,7 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """
     spark = df.sparkSession
     wanted = factor * spark.sparkContext.defaultParallelism
-    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+    if _shuffles(df._jdf.queryExecution().optimizedPlan()):
         return df.repartition(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
@@ -102,5 +133,39 @@ def running_totals(
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
 
 
+def in_blocks(rows: Iterable[T], most: int, most_bytes: int, size: Callable[[T], int]) -> Iterator[list[T]]:
+    """Lists of at most ``most`` rows and ``most_bytes`` bytes by ``size``, or of one row."""
+    held: list[T] = []
+    took = 0
+    for row in rows:
+        n = size(row)
+        if held and (len(held) == most or took + n > most_bytes):
+            yield held
+            held, took = [], 0
+        held.append(row)
+        took += n
+    if held:
+        yield held
+
+
+def over_blocks(spark: SparkSession, blocks: Iterator[list], run: Callable[[Broadcast], DataFrame]) -> DataFrame | None:
+    """The united results of ``run`` for the broadcast of each block; none without blocks.
+
+    One block stays a lazy plan. Of several, each result is written before the next block is fetched, so the driver and the executors
+    hold one block at a time, however many there are.
+    """
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None or after is None:
+        return None if block is None else run(spark.sparkContext.broadcast(block))
+    out = None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        found = cut_lineage(run(shared))
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+        block, after = after, next(blocks, None)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,9 +38,11 @@ def read_index(spark: SparkSession, path: str, part: str) -> DataFrame:
 
 
 def write_index(parts: dict[str, DataFrame], path: str) -> None:
-    """Each part as a table of its own, replacing what was there."""
+    """Each part as a table of its own, replacing what was there; vectors by cell, so that a search reads the probed cells only."""
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        # a cell of any size is divided over a few tasks and files
+        out = df.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("cell") if name == "vectors" else df.write
+        out.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import index
 from lodestone.operators.parse import parse_manuals
 from lodestone.plans import pipeline
-from lodestone.scale import cut_lineage, running_totals, spread
+from lodestone import scale
+from lodestone.scale import cut_lineage, in_blocks, over_blocks, query_tables, running_totals, shared_folder, spread
 from lodestone.sources import tables
 from lodestone.streaming.ingest import ingest, stream_manuals
 
@@ -105,6 +107,83 @@ def test_cut_lineage_and_spread(spark):
     assert cut_lineage(df.filter("false")).count() == 0
 
 
+def test_spread_asks_the_plan_not_its_text(spark):
+    one = spark.range(10).coalesce(1).select(F.col("id").alias("a Join of Sort"))
+    assert spread(one).rdd.getNumPartitions() == 8 and spread(spark.range(0, 100, 1, 20).withColumnRenamed("id", "Window")).rdd.getNumPartitions() == 20
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+        def setCheckpointDir(self, folder):  # noqa: N802
+            self.folder = folder
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: None)})
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Session(master))
+    assert shared_folder(Session("local[4]")) and shared_folder(Session("local"))
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_query_tables_are_removed_at_the_end_of_the_block(spark):
+    kept = cut_lineage(spark.range(3))
+    with query_tables():
+        inner = cut_lineage(spark.range(4))
+        assert inner.count() == 4 and len(scale._written) > 0
+        gone = scale._written[-1][1]
+    assert kept.count() == 3 and gone not in [p for _, p in scale._written]
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|FAILED_READ"):
+        inner.collect()
+
+
+def test_blocks_are_bounded_and_fetched_one_by_one(spark):
+    assert list(in_blocks(range(7), 3, 100, lambda x: 1)) == [[0, 1, 2], [3, 4, 5], [6]]
+    assert list(in_blocks([5, 9, 1, 1], 10, 6, lambda x: x)) == [[5], [9], [1, 1]] and list(in_blocks([], 3, 3, len)) == []
+    fetched = []
+
+    def rows():
+        for i in range(5):
+            fetched.append(i)
+            yield i
+
+    seen = []
+
+    def run(shared):
+        seen.append((list(shared.value), len(fetched)))
+        return spark.createDataFrame([(x,) for x in shared.value], "x int")
+
+    assert sorted(r["x"] for r in over_blocks(spark, in_blocks(rows(), 1, 9, lambda x: 1), run).collect()) == [0, 1, 2, 3, 4]
+    assert seen[0] == ([0], 3) and over_blocks(spark, iter([]), run) is None
+
+
+def test_vector_index_is_built_stored_and_searched(spark, tmp_path):
+    meta = "struct<title:string,page_start:int,page_end:int,source_pages:array<int>,product_category:string,section:string,content_type:string,model_names:array<string>,error_codes:array<string>,char_count:int>"
+    rows = [(f"c{i:02}", "x" * i, ("T", 1, 1, [1], "general", "s", "text", [], [], 9)) for i in range(40)]
+
+    def embedder(texts):
+        n = F.length("text").cast("double")
+        return texts.select("chunk_id", F.array(F.cos(n / 20), F.sin(n / 20), F.lit(0.0)).alias("embedding"))
+
+    parts = pipeline.build_indexes(spark.createDataFrame(rows, f"chunk_id string, text string, metadata {meta}"), embedder)
+    tables.write_index({k: parts[k] for k in ("vectors", "centres")}, str(tmp_path))
+    stored = {k: tables.read_index(spark, str(tmp_path), k) for k in ("vectors", "centres")}
+    assert stored["vectors"].count() == 40 and "cell" in stored["vectors"].columns
+    asked = index.unit_vectors(embedder(spark.createDataFrame([("c07", "Section: T\n" + "x" * 7)], "chunk_id string, text string")), "chunk_id", "embedding")
+    best = pipeline.search_vectors(asked.select(F.col("chunk_id").alias("qid"), "unit"), stored, top=3).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in best] == ["c07", "c06", "c08"]
+
+
 def test_registry_and_sql_agree_on_names():
     entry = importlib.import_module("__spark_entry__")
     q, o = entry.queries(), entry.oracle_sql()

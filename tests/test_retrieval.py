@@ -39,6 +39,25 @@ def test_lexical_scores_match_a_loop(spark):
         assert abs(got.get(k, 0) - max(want, 0)) < 1e-6
 
 
+def test_best_by_lexical_score_are_those_of_all_scores(spark, monkeypatch):
+    rng = random.Random(4)
+    names = "ab cd ef gh ij kl mn op".split()
+    docs = [(f"c{i:03}", " ".join(rng.choice(names[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    df = spark.createDataFrame(docs, "chunk_id string, text string")
+    post, lengths = index.postings(df), index.document_lengths(df)
+    terms = index.term_stats(post, lengths)
+    asked = [(f"q{i}", " ".join(rng.choice([*names, "zz"]) for _ in range(rng.randint(0, 5)))) for i in range(12)] + [("qn", None)]
+    q = spark.createDataFrame(asked, "qid string, text string")
+    want = [tuple(r) for r in retrieve.ranked(retrieve.lexical_scores(q, post, lengths, terms), top=7).select("qid", "chunk_id", "score", "rank").orderBy("qid", "rank").collect()]
+    assert len(want) > 50
+    for slab, block, size in ((400_000, 2000, 1 << 20), (5, 5, 1 << 20), (1, 1, 1), (60, 100, 300)):
+        monkeypatch.setattr(retrieve, "SLAB", slab)
+        got = retrieve.lexical_topk(q, post, lengths, terms, top=7, block=block, block_bytes=size).select("qid", "chunk_id", "score", "rank").orderBy("qid", "rank").collect()
+        assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want], (slab, block)
+        assert all(abs(x[2] - y[2]) < 1e-8 for x, y in zip(got, want, strict=True))
+    assert retrieve.lexical_topk(q.filter("false"), post, lengths, terms).count() == 0
+
+
 def vectors(spark, n=200, dims=8):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=dims)], str(i % 7)) for i in range(n)]
@@ -102,18 +121,28 @@ def test_inverted_file_recall(spark):
     middles = rng.normal(size=(20, 16))
     rows = [(i, [float(x) for x in middles[i % 20] + 0.5 * rng.normal(size=16)]) for i in range(2000)]
     unit = index.unit_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    centres = vector_index.fit_centres(unit, 16, sample=1000)
+    centres = vector_index.fit(unit, 16, sample=1000)
     table = vector_index.build(unit, centres)
-    assert table.count() == 2000
+    assert table.count() == 2000 and centres.probes <= 6
     asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "unit")
     exact = {(r["qid"], r["vec_id"]) for r in retrieve.nearest(asked, unit, top=10).collect()}
-    found = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, probes=5, top=10, block=7).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, top=10, block=7).collect()}
     assert len(exact & found) / len(exact) >= 0.9
     everything = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, table, centres, probes=16, top=10).collect()}
     assert everything == exact
     assert vector_index.search(asked.filter("false"), table, centres, 2).count() == 0
 
 
+def test_inverted_file_on_the_given_vectors(spark):
+    """They are hardly clustered: the fitted probes keep the recall, by more cells."""
+    unit = index.unit_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
+    centres = vector_index.fit(unit)
+    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "unit")
+    exact = {(r["qid"], r["vec_id"]) for r in retrieve.nearest(asked, unit).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in vector_index.search(asked, vector_index.build(unit, centres), centres).collect()}
+    assert len(exact & found) / len(exact) >= 0.9 and centres.probes < 0.65 * len(centres.units)
+
+
 def test_long_vectors_are_searched_in_blocks_of_bounded_bytes(spark):
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4100)]) for i in range(5)]
