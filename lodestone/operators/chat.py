@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
-from lodestone.scale import running_totals
+from lodestone.scale import running_totals, without
 
 #: Fixed values.
 DEFAULT_TITLE, TITLE_CHARS = "New conversation", 32
@@ -32,9 +32,17 @@ def mapped_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """One row for each message id: of rows that differ, the least one in (time, the other columns), whatever the order of the rows."""
+    others = [c for c in messages.columns if c not in ("id", "created_at")]
+    row = F.struct(F.col("created_at").isNull().alias("_late"), "created_at", *others)
+    one = messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(row).alias("r"))
+    return one.select("id", "r.*").select(*messages.columns)
+
+
 def message_places(messages: DataFrame) -> DataFrame:
     """Distinct messages of conversations with ``seq`` from 1 by time, then id, for conversations of any length."""
-    rows = messages.dropDuplicates(["id"]).filter(F.col("conversation_id").isNotNull())
+    rows = distinct_messages(messages).filter(F.col("conversation_id").isNotNull())
     placed = running_totals(rows, ["conversation_id"], [F.col("created_at").asc_nulls_first(), F.col("id").asc()], {"_before": F.lit(1)})
     return placed.withColumn("seq", F.col("_before") + 1).drop("_before")
 
@@ -72,7 +80,7 @@ def renamed(conversations: DataFrame, renames: DataFrame) -> DataFrame:
 def deleted(conversations: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given conversations and their messages."""
     gone = ids.select("id").distinct()
-    return conversations.join(gone, "id", "left_anti"), messages.join(gone.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti")
+    return conversations.join(gone, "id", "left_anti"), without(messages, gone.withColumnRenamed("id", "conversation_id"), "conversation_id", "id")
 
 
 def first_titles(messages: DataFrame) -> DataFrame:

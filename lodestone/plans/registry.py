@@ -483,7 +483,7 @@ def conversation_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def message_mapping(spark: SparkSession, d: str) -> DataFrame:
-    rows = chat.mapped_messages(table(spark, d, "messages").dropDuplicates(["id"]))
+    rows = chat.mapped_messages(chat.distinct_messages(table(spark, d, "messages")))
     return rows.select("id", "role", "text", F.size("sources").alias("sources"), "is_empty", "is_error", "created_at")
 
 
@@ -496,13 +496,13 @@ def feedback_last_write(spark: SparkSession, d: str) -> DataFrame:
 @query
 def conversation_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Without the conversations that still have the default title."""
-    conv, msgs = chat.latest_conversations(table(spark, d, "conversations")), table(spark, d, "messages").dropDuplicates(["id"])
+    conv, msgs = chat.latest_conversations(table(spark, d, "conversations")), chat.distinct_messages(table(spark, d, "messages"))
     _, left = chat.deleted(conv, msgs, conv.filter(F.col("title") == chat.DEFAULT_TITLE))
     return left.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query
 def valid_messages(spark: SparkSession, d: str) -> DataFrame:
-    rows = chat.valid_messages(table(spark, d, "messages").dropDuplicates(["id"]))
+    rows = chat.valid_messages(chat.distinct_messages(table(spark, d, "messages")))
     sound = chat.valid_id(F.col("id"))
     return rows.select("id", F.lower(F.trim("role")).alias("role"), sound.alias("valid_id"), chat.tone(F.lit(False), F.col("is_empty")).alias("tone"))

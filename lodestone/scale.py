@@ -105,8 +105,10 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
+    whole: bool = False,
 ) -> DataFrame:
-    """Add, for each name of ``totals``, the sum of its expression over the rows before the row in its group.
+    """Add, for each name of ``totals``, the sum of its expression over the rows before the row in its group; with ``whole`` also that over its
+    whole group, as the name with ``_all`` behind it.
 
     ``keys`` are compared null-safely. ``order`` should be total; rows that tie in it get consecutive places in any order.
     The range bounds come from a sample, therefore the partitioned rows are written once (:func:`cut_lineage`) and both
@@ -123,6 +125,7 @@ def running_totals(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_part").alias("_p"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
+        *[F.sum(f"_s_{n}").over(Window.partitionBy(*keys)).alias(f"_a_{n}") for n in names if whole],
     )
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = parted.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names})
@@ -130,7 +133,18 @@ def running_totals(
     for i, k in enumerate(keys):
         match = match & local[k].eqNullSafe(parts[f"_k{i}"])
     joined = local.join(parts, match)
-    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
+    sums = [(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
+    return joined.select(*df.columns, *sums, *[F.col(f"_a_{n}").alias(f"{n}_all") for n in names if whole])
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, by: str, parts: int = 16) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``, a table of keys; a key that many rows share is divided over ``parts`` tasks by ``by``.
+
+    Keys without value stay. Only the keys are repeated, once for each part.
+    """
+    named = gone.select(F.col(key)).filter(F.col(key).isNotNull()).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return salted.join(named, [key, "_salt"], "left_anti").select(*rows.columns)
 
 
 def in_blocks(rows: Iterable[T], most: int, most_bytes: int, size: Callable[[T], int]) -> Iterator[list[T]]:

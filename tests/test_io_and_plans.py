@@ -188,3 +188,27 @@ def test_registry_and_sql_agree_on_names():
     entry = importlib.import_module("__spark_entry__")
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 50
+
+
+def test_running_totals_of_whole_groups(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 4), (None, 1, 5)], "k string, o int, v int")
+    got = {(r["k"], r["o"]): (r["t"], r["t_all"]) for r in running_totals(df, ["k"], [F.col("o").asc()], {"t": F.col("v")}, whole=True).collect()}
+    assert got == {("a", 1): (0, 5), ("a", 2): (2, 5), ("b", 1): (0, 4), (None, 1): (0, 5)}
+
+
+def test_without_divides_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, "hot" if i < 60 else f"k{i}" if i < 90 else None) for i in range(100)], "id int, k string")
+    gone = spark.createDataFrame([("hot",), ("hot",), ("k70",), (None,)], "k string")
+    left = scale.without(rows, gone, "k", "id")
+    assert sorted(r["id"] for r in left.collect()) == [i for i in range(60, 100) if i != 70] and left.columns == ["id", "k"]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_distinct_messages_do_not_hang_on_the_order(spark):
+    from lodestone.operators import chat
+
+    rows = [("m", "c", "user", "b"), ("m", "c", "user", "a"), ("n", "c", None, None), (None, "c", "user", "x")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "id string, conversation_id string, role string, text string").withColumn("created_at", F.lit(None).cast("timestamp"))
+        assert sorted((r["id"], r["text"]) for r in chat.distinct_messages(df).collect()) == [("m", "a"), ("n", None)]
