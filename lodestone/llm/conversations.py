@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.scale import running_totals
+from lodestone.scale import running_totals, without
 
 USER_NAMES = ("user", "human", "customer", "client", "caller", "visitor", "usr", "question", "prompter")
 ASSISTANT_NAMES = ("assistant", "ai", "bot", "agent", "model", "chatbot", "gpt", "assistent", "answer", "support")
@@ -158,5 +158,5 @@ def numbered_turns(messages: DataFrame) -> DataFrame:
 def rebuild_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """``(conversation_id, turn, message_id, speaker, created_at, text)``: the sound conversations in order."""
     faults = conversation_faults(messages, conversations)
-    turns = numbered_turns(messages).join(faults.select("conversation_id"), "conversation_id", "left_anti")
+    turns = without(numbered_turns(messages), faults, "conversation_id", "id")
     return turns.select("conversation_id", "turn", F.col("id").alias("message_id"), "speaker", "created_at", "text")

@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.scale import spread
+from lodestone.scale import in_blocks, over_blocks, spread
 
 #: Words in a row that make a case, the share of them that may be misspelt (one in so many), the words of an insertion at most, and the
 #: length of a seed; shorter items have shorter ones (seed_size). Of 20 words in a row with two misspelt and one interruption, at least five in a row are intact.
@@ -353,12 +354,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, coverage: float | None
     without it only passages in a row count. Null and empty texts and rows without id on either side give nothing; repeated rows count once.
     """
     rows = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    found = None
-    held: list[tuple[int, list[str]]] = []
-    size = 0
+    texts = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
 
-    def over(part: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = documents.sparkSession.sparkContext.broadcast(part)
+    def over(shared: Broadcast) -> DataFrame:
         cache: dict[int, ItemIndex] = {}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,25 +366,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, coverage: float | None
                 out = [(i, *leak) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks_of(text, cache[0], coverage)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "words", "first_word", "end_word", "in_a_row"])
 
-        return spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(run, LEAKS)
+        return spread(texts).mapInPandas(run, LEAKS)
 
-    def add(part: list[tuple[int, list[str]]]) -> None:
-        nonlocal found
-        found = over(part) if found is None else found.unionByName(over(part))
-
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if not words:
-            continue
-        own = 64 * len(words) + sum(map(len, words))
-        if held and (len(held) == block or size + own > block_bytes):
-            add(held)
-            held, size = [], 0
-        held.append((row["item_id"], words))
-        size += own
-    if held or found is None:
-        add(held)
-    return found.distinct()
+    named = ((r["item_id"], words_of(r["text"])) for r in rows.orderBy("item_id", "text").toLocalIterator())
+    blocks = in_blocks((x for x in named if x[1]), block, block_bytes, lambda x: 64 * len(x[1]) + sum(map(len, x[1])))
+    found = over_blocks(documents.sparkSession, blocks, over)
+    return documents.sparkSession.createDataFrame([], LEAKS) if found is None else found.distinct()
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:

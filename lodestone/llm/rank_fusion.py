@@ -10,7 +10,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.scale import running_totals
+from lodestone.scale import cut_lineage, running_totals
+
+#: Parts over which the chunks of one question are divided.
+PARTS = 16
 
 
 def valid_hits(hits: DataFrame) -> DataFrame:
@@ -31,11 +34,12 @@ def valid_hits(hits: DataFrame) -> DataFrame:
 
 
 def average_ranks(hits: DataFrame) -> DataFrame:
-    """Add ``rank2``: twice the rank of each score in its question and source, ties sharing the average of their places."""
+    """``(qid, source, score, rank2, k)``: twice the rank of each score in its question and source, ties sharing the average of their places, and how
+    many hits are ranked there.
+    """
     counts = hits.groupBy("qid", "source", "score").agg(F.count(F.lit(1)).alias("ties"))
-    placed = running_totals(counts, ["qid", "source"], [F.col("score").desc()], {"above": F.col("ties")})
-    ranks = placed.select("qid", "source", "score", (2 * F.col("above") + F.col("ties") + 1).alias("rank2"))
-    return hits.join(ranks, ["qid", "source", "score"])
+    placed = running_totals(counts, ["qid", "source"], [F.col("score").desc()], {"above": F.col("ties")}, whole=True)
+    return placed.select("qid", "source", "score", (2 * F.col("above") + F.col("ties") + 1).alias("rank2"), F.col("above_all").alias("k"))
 
 
 def borda_points(hits: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
@@ -45,30 +49,26 @@ def borda_points(hits: DataFrame, weights: Mapping[str, int] | None = None) -> D
     mid-rank of the places that the source leaves open: of k scored chunks, (k + 1 + N) / 2. ``weights`` are whole
     numbers by source in lower case, 1 where missing. All sums are of whole numbers (points doubled), so the order in
     which rows arrive changes nothing. No hit gives no row; an empty input gives an empty result.
+
+    What every source of a question gives to all its chunks is one number a question; it is joined by question and, for the chunks of a hot one,
+    by one of 16 parts.
     """
-    ranked = average_ranks(valid_hits(hits))
+    valid = cut_lineage(valid_hits(hits))
     weight = F.lit(1).cast("long")
     for source, w in (weights or {}).items():
         weight = F.when(F.col("source") == source.lower(), F.lit(int(w)).cast("long")).otherwise(weight)
-    ranked = ranked.withColumn("weight", weight)
-    # a question's chunk count N and, by source, the number of scored chunks k
-    chunks = ranked.groupBy("qid", "chunk_id").agg(
-        F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("rank2")).alias("wr")
-    )
-    n = chunks.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    k = ranked.groupBy("qid", "source").agg(F.count(F.lit(1)).alias("k"), F.first("weight").alias("weight"))
-    scored = ranked.join(k.select("qid", "source", "k"), ["qid", "source"])
-    own = scored.groupBy("qid", "chunk_id").agg(
+    ranks = average_ranks(valid).withColumn("weight", weight)
+    own = valid.join(ranks, ["qid", "source", "score"]).groupBy("qid", "chunk_id").agg(
         F.sum(F.col("weight") * (F.col("k") + 1 - F.col("rank2"))).alias("gain"), F.sum("weight").alias("hit_weight")
     )
-    base = k.groupBy("qid").agg(
-        F.sum(F.col("weight") * (F.col("k") + 1)).alias("wk"), F.sum("weight").alias("all_weight")
-    ).join(n, "qid")
+    own = cut_lineage(own.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int")))
+    n = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    k = ranks.groupBy("qid", "source").agg(F.max("k").alias("k"), F.max("weight").alias("weight"))
+    base = k.groupBy("qid").agg(F.sum(F.col("weight") * (F.col("k") + 1)).alias("wk"), F.sum("weight").alias("all_weight")).join(n, "qid")
+    base = base.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     # doubled points: sum over sources of w (2N - (k + 1 + N)), plus w ((k + 1 + N) - 2r) for each source that scores it
-    doubled = (
-        F.col("all_weight") * F.col("n") - F.col("wk") + F.col("gain") + F.col("hit_weight") * F.col("n")
-    )
-    return own.join(base, "qid").select("qid", "chunk_id", (doubled / F.lit(2.0)).alias("points"))
+    doubled = F.col("all_weight") * F.col("n") - F.col("wk") + F.col("gain") + F.col("hit_weight") * F.col("n")
+    return own.join(base, ["qid", "part"]).select("qid", "chunk_id", (doubled / F.lit(2.0)).alias("points"))
 
 
 def borda_ranking(hits: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:

@@ -117,12 +117,11 @@ def split_oversized(chunks: DataFrame, limit: int = 4000, overlap: int = 200) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows: list[tuple] = []
             for chunk_id, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
                 pieces, boundary = split_text(text, limit, overlap)
-                yield pd.DataFrame(
-                    [(chunk_id, boundary, n, s, e, p) for n, (s, e, p) in enumerate(pieces, 1)],
-                    columns=["chunk_id", "boundary", "piece_no", "start", "end", "piece"],
-                )
+                rows += [(chunk_id, boundary, n, s, e, p) for n, (s, e, p) in enumerate(pieces, 1)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "boundary", "piece_no", "start", "end", "piece"])
 
     big = chunks.select("chunk_id", "text").filter(F.length("text") > limit)
     return spread(big).mapInPandas(run, PIECES).distinct()
