@@ -62,6 +62,19 @@ def listed(conversations: DataFrame, messages: DataFrame, page_size: int = 200)
     return joined.withColumns({"messages": F.coalesce("messages", empty), "page": F.coalesce("page", F.lit(1))})
 
 
+def newest_first(conversations: DataFrame) -> DataFrame:
+    """In the order of the list: the latest ``updated_at`` first, those without one last, then by id."""
+    return conversations.orderBy(F.col("updated_at").desc_nulls_last(), F.col("id"))
+
+
+def point_read(conversations: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(id, found, title, created_at, updated_at)`` for each asked id; an id of another form, or of no conversation, is not found."""
+    known = latest_conversations(conversations).withColumn("_known", F.lit(True))
+    rows = asked.select("id").distinct().withColumn("_valid", valid_id(F.col("id"))).join(known, "id", "left")
+    found = F.col("_valid") & F.coalesce("_known", F.lit(False))
+    return rows.select("id", found.alias("found"), *[F.when(found, F.col(c)).alias(c) for c in ("title", "created_at", "updated_at")])
+
+
 def valid_id(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit(UUID)), F.lit(False))
 
@@ -102,6 +115,61 @@ def turn_rows(turns: DataFrame) -> DataFrame:
     )
 
 
+def append_turns(conversations: DataFrame, messages: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conversations after the turns ``(conversation_id, turn, question, answer, sources, at)``, and the rows that the turns add.
+
+    Turns of unknown conversations add nothing. A conversation without messages takes its title from its first question; every one takes the time
+    of its last turn as ``updated_at``.
+    """
+    known = turns.join(conversations.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
+    begun = messages.select("conversation_id").filter(F.col("conversation_id").isNotNull()).distinct().withColumn("_begun", F.lit(True))
+    last = known.groupBy("conversation_id").agg(F.max("at").alias("_at"), F.min(F.struct("turn", "question")).alias("_first"))
+    last = last.join(begun, "conversation_id", "left").withColumnRenamed("conversation_id", "id")
+    title = F.when(F.col("_at").isNotNull() & F.col("_begun").isNull(), F.left("_first.question", F.lit(TITLE_CHARS))).otherwise(F.col("title"))
+    after = conversations.join(last, "id", "left").withColumns({"title": F.coalesce(title, "title"), "updated_at": F.coalesce("_at", "updated_at")})
+    return after.select(*conversations.columns), turn_rows(known)
+
+
+FAILED = "Unable to send your message. Please try again."
+
+
+def client_messages(events: DataFrame) -> DataFrame:
+    """What a client shows after the events ``(conversation_id, seq, text, answer, sources, failed)``: a question at once, then its answer or an error.
+
+    Blank questions are no events. ``place`` orders the rows of a conversation.
+    """
+    sent = events.filter(strip(F.col("text")) != "")
+    none = F.lit(None).cast(events.schema["sources"].dataType)
+    failed = F.coalesce("failed", F.lit(False))
+    user = F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("text").alias("text"), none.alias("sources"), F.lit(False).alias("is_empty"), F.lit(False).alias("is_error"))
+    reply = F.struct(
+        F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.when(failed, F.lit(FAILED)).otherwise(F.col("answer")).alias("text"),
+        F.when(~failed, F.col("sources")).alias("sources"), (~failed & F.coalesce(F.size("sources") == 0, F.lit(True))).alias("is_empty"), failed.alias("is_error"),
+    )
+    rows = sent.select("conversation_id", "seq", F.explode(F.array(user, reply)).alias("m"))
+    return rows.select("conversation_id", (2 * F.col("seq") + F.col("m.k")).alias("place"), "m.role", "m.text", "m.sources", "m.is_empty", "m.is_error")
+
+
+def client_titles(events: DataFrame) -> DataFrame:
+    """``(conversation_id, title)``: the first question's start, if it was answered."""
+    sent = events.filter(strip(F.col("text")) != "")
+    first = sent.groupBy("conversation_id").agg(F.min(F.struct("seq", "text", "failed")).alias("f"))
+    return first.filter(~F.coalesce("f.failed", F.lit(False))).select("conversation_id", F.left("f.text", F.lit(TITLE_CHARS)).alias("title"))
+
+
+def active_after_delete(conversations: DataFrame, active: str | None, gone: str) -> str | None:
+    """The open conversation after one is deleted: the same, or the first of the list that is left."""
+    if active != gone:
+        return active
+    first = newest_first(conversations.filter(F.col("id") != gone)).select("id").first()
+    return first["id"] if first else None
+
+
+def with_boolean_flag(messages: DataFrame, column: str = "is_empty") -> DataFrame:
+    """A table of an older version, whose flag is text, with the flag as a boolean; null and anything unknown is false."""
+    return messages.withColumn(column, F.coalesce(F.lower(F.trim(F.col(column).cast("string"))).isin("true", "t", "1", "yes"), F.lit(False)))
+
+
 def last_feedback(log: DataFrame, key: str = "message_id", value: str = "feedback", at: str = "at") -> DataFrame:
     """The last valid value of each key."""
     good = log.filter(F.col(value).isin(*FEEDBACK) & F.col(key).isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -194,12 +194,63 @@ def page_context(items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(F.left(F.array_join(F.transform(parts, lambda x: x["s"]), " | "), F.lit(CONTEXT_CHARS)).alias("context"))
 
 
+def caption(text: Column) -> Column:
+    """A picture's caption without outer whitespace; null for a blank one."""
+    return blank_to_null(strip(text))
+
+
+def nested_text(children: DataFrame, key: str = "picture_id") -> DataFrame:
+    """``(key, text)`` out of ``(key, child_ord, text)``: the texts inside a picture that are not blank, one a line, in order."""
+    rows = children.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
+    parts = F.sort_array(F.collect_list(F.struct("child_ord", "text")))
+    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def with_descriptions(pictures: DataFrame, cache: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``pictures`` with their ``description``, and the new rows ``(digest, description)`` of the cache.
+
+    A picture is known by the SHA-256 of its bytes (column ``image``). ``describe`` is the model, outside of the plan: ``(digest, image)`` in, each
+    distinct picture that the cache lacks once, ``(digest, description)`` out. Blank descriptions are none and are not cached.
+    """
+    keyed = pictures.withColumn("digest", F.sha2("image", 256))
+    lacking = keyed.filter(F.col("image").isNotNull()).join(cache.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("image").alias("image"))
+    new = describe(lacking).select("digest", blank_to_null(strip(F.col("description"))).alias("description")).filter(F.col("description").isNotNull())
+    known = cache.select("digest", blank_to_null(strip(F.col("description"))).alias("description")).unionByName(new)
+    return keyed.join(known, "digest", "left").drop("digest"), new
+
+
+def markdown_table(cells: Column) -> Column:
+    """A pipe table out of rows of cells, the first of which is the head."""
+
+    def line(row: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
+
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(":---|"), F.size(F.element_at(cells, 1))))
+    rows = F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), line)
+    return F.when(F.size(cells) > 0, F.array_join(F.concat(F.array(line(F.element_at(cells, 1)), rule), rows), "\n"))
+
+
+PARTIAL = "[TABLE EXTRACTION PARTIAL — fallback text]"
+
+
 def normalise_items(items: DataFrame) -> DataFrame:
-    """Box corners to two places, and the type from the label."""
+    """Box corners to two places, the type from the label, and cleaned contents.
+
+    A table's content is its ``cells`` as a pipe table where that column is given; with an ``error``, or without cells beside one, its text under a
+    line that says so and before the error. A picture's content stays as it was put together.
+    """
     b = F.col("bbox")
     box = F.when(b.isNotNull(), F.struct(*[F.round(b[k], 2).alias(k) for k in ("l", "t", "r", "b")]))
     kind = F.when(F.col("label") == "table", "table").when(F.col("label").isin("picture", "image"), "image").otherwise("text")
-    return items.withColumns({"bbox": box, "type": kind})
+    content = F.col("content")
+    if "cells" in items.columns:
+        drawn = markdown_table(F.col("cells"))
+        if "error" in items.columns:
+            failed = F.concat(F.lit(PARTIAL + "\n"), F.coalesce(content, F.lit("")), F.lit("\n[Error: "), F.col("error"), F.lit("]"))
+            drawn = F.when(F.col("error").isNotNull(), failed).otherwise(drawn)
+        content = F.when(F.col("label") == "table", F.coalesce(drawn, content)).otherwise(content)
+    cleaned = F.when(kind == "image", content).otherwise(clean_ocr(content))
+    return items.withColumns({"bbox": box, "type": kind, "content": cleaned})
 
 
 def rendered(items: DataFrame, order: str = "reading_order") -> DataFrame:
@@ -235,6 +286,32 @@ def rendered_documents(items: DataFrame, order: str = "reading_order") -> DataFr
     return rows.groupBy("doc_id").agg(joined(md, "").alias("markdown"), joined(flat, "\n").alias("flat"))
 
 
+def structured_lines(items: DataFrame, order: str = "reading_order") -> DataFrame:
+    """``(doc_id, line_no, value)``: a document's structured items as JSON lines, a header with its counts first, then an item a line.
+
+    A line is a row, so a document may have any number of items.
+    """
+    head = items.groupBy("doc_id").agg(F.max("page").alias("total_pages"), F.count(F.lit(1)).alias("total_items"))
+    names = [c for c in items.columns if c != "doc_id"]
+    first = head.select("doc_id", F.lit(0).cast("long").alias("line_no"), F.to_json(F.struct(F.col("doc_id").alias("source"), "total_pages", "total_items")).alias("value"))
+    each = items.select("doc_id", F.col(order).cast("long").alias("line_no"), F.to_json(F.struct(*names)).alias("value"))
+    return first.unionByName(each)
+
+
+def item_summary(items: DataFrame) -> DataFrame:
+    """``(doc_id, total_pages, total_items, item_breakdown)``: a count for each label of a document; labels are few."""
+    by = items.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("page"))
+    breakdown = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("label", F.lit("unknown")), "n"))))
+    return by.groupBy("doc_id").agg(F.max("page").alias("total_pages"), F.sum("n").alias("total_items"), breakdown.alias("item_breakdown"))
+
+
+def with_preamble(documents: DataFrame, facts: list[tuple[str, str]]) -> DataFrame:
+    """``documents`` whose ``markdown`` starts with its name and ``facts``: (label, column) pairs, a line each."""
+    lines = [F.concat(F.lit(f"**{label}:** "), F.coalesce(F.col(c).cast("string"), F.lit("None")), F.lit("  ")) for label, c in facts]
+    head = F.concat(F.lit("# "), F.col("doc_id"), F.lit("\n\n"), F.concat_ws("\n", *lines), F.lit("\n\n---\n\n"))
+    return documents.withColumn("markdown", F.concat(head, F.col("markdown")))
+
+
 def label_histogram(items: DataFrame) -> DataFrame:
     return items.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -248,9 +325,12 @@ def cache_key(pdf: Column, page: Column, dpi: int = 220, version: str = "v1") ->
     return F.sha2(F.concat_ws("_", pdf, page.cast("string"), F.lit(str(dpi)), F.lit(version)), 256)
 
 
+FAILED = "[ERROR] All models failed for this page."
+
+
 def normalise_page(text: Column, page: Column) -> Column:
-    """Without a chatty first line, and with the page's marker in front if it has none."""
-    body = F.regexp_replace(strip(text), CHATTER, "")
+    """Without a chatty first line, and with the page's marker in front if it has none; a page without text, of which all models failed, says so."""
+    body = F.regexp_replace(strip(F.coalesce(text, F.lit(FAILED))), CHATTER, "")
     return F.when(F.startswith(body, F.lit("## PAGE")), body).otherwise(F.concat(F.lit("## PAGE "), page.cast("string"), F.lit("\n\n"), body))
 
 
@@ -267,6 +347,19 @@ def missing_pages(requested: DataFrame, cache: DataFrame) -> DataFrame:
     return requested.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def extracted_pages(requested: DataFrame, cache: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """All requested pages with their ``content``, and the new rows ``(cache_key, content)`` of the cache.
+
+    ``extract`` is the recognition, outside of the plan: the rows of ``requested`` that the cache lacks in, ``(cache_key, text)`` out; a page that it does
+    not give, or gives without text, is held as failed.
+    """
+    lacking = missing_pages(requested, cache)
+    given = extract(lacking).select("cache_key", "text")
+    new = lacking.select("cache_key", "page_num").distinct().join(given, "cache_key", "left").select("cache_key", normalise_page(F.col("text"), F.col("page_num")).alias("content"))
+    held = cache.select("cache_key", "content").unionByName(new)
+    return requested.join(held, "cache_key"), new
+
+
 def combined_document(pages: DataFrame) -> DataFrame:
     """``(pdf, content, with_marker)``: the cached pages of a document in order, joined by line ends."""
     ordered = F.sort_array(F.collect_list(F.struct("page_num", "content")))

@@ -184,6 +184,33 @@ LATEST = "latest AS (SELECT id, arg_max(title, updated_at) AS title, arg_max(cre
 MSGS = "msgs AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY text, role) = 1)"
 
 
+FLAT = """SELECT doc_id, string_agg(CASE WHEN np THEN chr(10) || repeat('=', 70) || chr(10) || '--- PAGE ' || page || ' ---' || chr(10) || repeat('=', 70) || chr(10) || chr(10) ELSE '' END || fl, chr(10) ORDER BY item_ord) AS flat,
+ string_agg(CASE WHEN np THEN chr(10) || '---' || chr(10) || chr(10) || '**PAGE ' || page || '**' || chr(10) || chr(10) ELSE '' END || md, '' ORDER BY item_ord) AS markdown FROM m GROUP BY doc_id"""
+DRAWN = f"""{ITEMS}, m AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY item_ord) IS DISTINCT FROM page AS np, CASE WHEN label IN ('section_header', 'title') THEN repeat('#', least(6, greatest(1, level + 1))) || ' ' || content || chr(10) || chr(10)
+ WHEN label = 'list_item' THEN repeat('  ', greatest(0, level - 1)) || CASE WHEN substr(ltrim(content), 1, 1) IN ({", ".join(map(_q, BULLETS))}) THEN '' ELSE '- ' END || content || chr(10)
+ WHEN label = 'picture' THEN '**[IMAGE]**' || chr(10) || chr(10) || content || chr(10) || chr(10) ELSE content || chr(10) || chr(10) END AS md,
+ '[' || upper(label) || ' | level=' || level || ']' || chr(10) || content || chr(10) AS fl FROM items), drawn AS ({FLAT})"""
+_TURN_SQL = f"""{LATEST}, ids AS (SELECT id AS conversation_id FROM latest UNION ALL SELECT 'no-such-id'), t AS (SELECT conversation_id, turn, ('0x' || substr(md5(conversation_id), 1, 6))::BIGINT AS h FROM ids, (VALUES (0), (1)) v(turn)),
+ turns AS (SELECT *, (h + turn) % 12 AS n, 'question ' || turn || ' of a rather long conversation' AS question FROM t)"""
+ANSWERED = f"""{LEXICAL}, av AS (SELECT avg(dl) AS a FROM dl), qa AS (SELECT qid, unnest({_tokens("text")}) AS term FROM questions), qt AS (SELECT qid, term, count(*) AS times FROM qa GROUP BY ALL),
+ sc AS (SELECT qid, chunk_id, round(sum(times * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT a FROM av))))), 9) AS score FROM qt JOIN terms USING (term) JOIN post USING (term) JOIN dl USING (chunk_id) GROUP BY ALL),
+ {EXACT[len(CHUNKS) + 2 :]}, {ASKED}, eh AS (SELECT DISTINCT a.qid, e.chunk_id FROM asked a JOIN exact e ON a.kind = e.kind AND a.key = e.key),
+ vh AS (SELECT qid, chunk_id, max(score) AS score FROM retrieved_chunks WHERE lower(trim(source)) = 'vector' AND score IS NOT NULL AND isfinite(score) GROUP BY ALL),
+ lists AS (SELECT qid, chunk_id, 0 AS place, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM eh
+ UNION ALL SELECT qid, chunk_id, 1, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) FROM vh
+ UNION ALL SELECT * FROM (SELECT qid, chunk_id, 2, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS r FROM sc WHERE score > 0 QUALIFY r <= 20)),
+ fused_all AS (SELECT qid, chunk_id, coalesce(sum(CASE WHEN place = 0 THEN 1.0::DOUBLE / (60 + rank) END), 0) + coalesce(sum(CASE WHEN place = 1 THEN 1.0::DOUBLE / (60 + rank) END), 0)
+ + coalesce(sum(CASE WHEN place = 2 THEN 1.0::DOUBLE / (60 + rank) END), 0) AS score, min(place * 1000000000 + rank) AS first FROM lists GROUP BY ALL),
+ fused AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, chunk_id) AS fused_rank FROM fused_all QUALIFY fused_rank <= 10),
+ found AS (SELECT f.qid, f.chunk_id, f.fused_rank, c.text, c.metadata, q.text AS question FROM fused f JOIN chunks c USING (chunk_id) JOIN questions q USING (qid)),
+ tok AS (SELECT *, list_distinct({_tokens("question")}) AS qt, list_distinct({_tokens(RERANK)}) AS ct FROM found),
+ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, ct)) / len(qt)::DOUBLE ELSE 0 END DESC, fused_rank) AS rank FROM tok QUALIFY rank <= 5),
+ shown AS (SELECT qid, length(string_agg('--- CHUNK [' || chunk_id || '] (Page ' || coalesce(metadata.page_start::VARCHAR, 'None') || ', Section: ' || coalesce(metadata.title, 'None') || ') ---' || chr(10)
+ || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY rank)) AS chars FROM final GROUP BY qid),
+ named AS (SELECT qid, list_sort(list(DISTINCT key) FILTER (kind = 'error_codes')) AS error_codes, list_sort(list(DISTINCT key) FILTER (kind = 'model_names')) AS model_names
+ FROM (SELECT qid, kind, upper(CASE WHEN kind = 'error_codes' THEN regexp_replace(k, '\\s+', '', 'g') ELSE trim(k) END) AS key FROM asked_raw) GROUP BY qid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     n = "try_cast(regexp_extract(qid, '([0-9]+)$', 1) AS INT)"
     roman = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '\\b[a-zA-Z]+\\b')), [{', '.join(map(_q, ROMAN_URDU))}])) >= 2"
@@ -270,6 +297,42 @@ def oracle_sql() -> dict[str, str]:
  '[' || upper(label) || ' | level=' || level || ']' || chr(10) || content || chr(10) AS fl FROM items)
  SELECT doc_id, string_agg(CASE WHEN np THEN chr(10) || '---' || chr(10) || chr(10) || '**PAGE ' || page || '**' || chr(10) || chr(10) ELSE '' END || md, '' ORDER BY item_ord) AS markdown,
  string_agg(CASE WHEN np THEN chr(10) || repeat('=', 70) || chr(10) || '--- PAGE ' || page || ' ---' || chr(10) || repeat('=', 70) || chr(10) || chr(10) ELSE '' END || fl, chr(10) ORDER BY item_ord) AS flat FROM m GROUP BY doc_id""",
+        "flat_text": f"WITH {DRAWN} SELECT doc_id, md5(flat) AS digest, length(flat)::INT AS chars FROM drawn",
+        "markdown_with_preamble": f"""WITH {DRAWN}, p AS (SELECT doc_id, max(page) AS pages FROM items GROUP BY doc_id)
+ SELECT doc_id, md5('# ' || doc_id || chr(10) || chr(10) || '**Source:** ' || doc_id || '  ' || chr(10) || '**Pages:** ' || pages || '  ' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || markdown) AS digest FROM drawn JOIN p USING (doc_id)""",
+        "structured_items": f"""WITH {ITEMS} SELECT doc_id, '{{"source":"' || doc_id || '","total_pages":' || max(page) || ',"total_items":' || count(*) || '}}' AS header, count(*) AS items FROM items GROUP BY doc_id""",
+        "item_summary": f"""WITH {ITEMS}, c AS (SELECT doc_id, label, count(*) AS n, max(page) AS page FROM items GROUP BY ALL)
+ SELECT doc_id, max(page) AS total_pages, sum(n)::BIGINT AS total_items, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' AS item_breakdown FROM c GROUP BY doc_id""",
+        "table_items": f"""WITH {ITEMS} SELECT doc_id, item_ord, {_ocr("CASE WHEN item_ord % 5 = 0 THEN '[TABLE EXTRACTION PARTIAL — fallback text]' || chr(10) || content || chr(10) || '[Error: no grid]' ELSE '| item | page | text |' || chr(10) || '|:---|:---|:---|' || chr(10) || '| ' || item_ord || ' | ' || page || ' | ' || content || ' |' END")} AS content FROM items WHERE label = 'table'""",
+        "nested_picture_text": f"""WITH {ITEMS}, t AS (SELECT doc_id, string_agg(content, chr(10) ORDER BY item_ord) AS text FROM items WHERE item_ord % 3 <> 0 GROUP BY doc_id)
+ SELECT doc_id AS picture_id, md5(text) AS digest, trim(substr(text, 1, 8)) AS caption FROM t""",
+        "picture_descriptions": """WITH b AS (SELECT p_partkey, p_brand || p_type AS image FROM part), held AS (SELECT DISTINCT image FROM b WHERE p_partkey % 2 = 0)
+ SELECT p_partkey, CASE WHEN held.image IS NOT NULL THEN 'held' WHEN strlen(b.image) % 7 <> 0 THEN strlen(b.image) || ' bytes' END AS description FROM b LEFT JOIN held ON held.image = b.image""",
+        "page_write_through": f"""WITH {cached}, lacking AS (SELECT cache_key, page_num, min(text) AS text FROM asked WHERE cache_key NOT IN (SELECT cache_key FROM asked WHERE page_num % 2 = 0) GROUP BY ALL),
+ body AS (SELECT cache_key, page_num, CASE WHEN page_num % 3 <> 0 THEN {_strip("text")} ELSE '[ERROR] All models failed for this page.' END AS b, page_num % 3 = 0 AS failed FROM lacking)
+ SELECT cache_key, md5(CASE WHEN starts_with(b, '## PAGE') THEN b ELSE '## PAGE ' || page_num || chr(10) || chr(10) || b END) AS digest, failed FROM body""",
+        "chunk_lookup": f"WITH {CHUNKS} SELECT chunk_id, length(text)::INT AS chars, metadata.section AS section FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM retrieved_chunks WHERE lower(trim(source)) = 'exact')",
+        "vector_index_recall": f"WITH {VECTORS}, k AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 20) SELECT count(*) AS neighbours, true AS enough FROM k",
+        "answer_batch": f"""WITH {ANSWERED}, u AS (SELECT q.qid, q.text, CASE WHEN {roman} AND lower(coalesce(language, '')) NOT IN ('roman urdu', 'urdu') THEN 'Roman Urdu' ELSE coalesce(language, 'Unknown') END AS language, {roman} AS is_roman_urdu,
+ list_filter(coalesce(error_codes, []), lambda x: x <> '') AS error_codes, list_filter(coalesce(model_names, []), lambda x: x <> '') AS model_names, coalesce(intent, 'general') AS intent, nullif(product_category, '') AS product_category, coalesce(confidence, 0.8) AS confidence
+ FROM questions q LEFT JOIN named USING (qid))
+ SELECT u.qid, u.language, coalesce(chars, 0)::INT AS context_chars, (length('Question (' || u.language || '):' || chr(10) || u.text || chr(10) || chr(10) || 'In English:' || chr(10) || u.text || chr(10) || chr(10) || 'Context:' || chr(10)
+ || chr(10) || chr(10) || 'Answer from the context only, in ' || u.language || ', naming the chunks used. If the context does not say, say so.' || chr(10)) + coalesce(chars, 0))::INT AS prompt_chars,
+ is_roman_urdu, array_to_string(error_codes, ',') AS error_codes, array_to_string(model_names, ',') AS model_names, intent, product_category, confidence FROM u LEFT JOIN shown USING (qid)""",
+        "conversation_newest": f"WITH {LATEST} SELECT id, strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_at FROM latest",
+        "conversation_point_read": f"""WITH {LATEST}, a AS (SELECT DISTINCT conversation_id AS id FROM messages WHERE conversation_id IS NOT NULL UNION SELECT 'no-such-id'),
+ f AS (SELECT a.id, regexp_full_match(a.id, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}') AND latest.id IS NOT NULL AS found, title FROM a LEFT JOIN latest ON latest.id = a.id)
+ SELECT id, found, CASE WHEN found THEN title END AS title FROM f""",
+        "conversation_create": "SELECT qid AS id, 'New conversation' AS title, '2025-01-02 03:04:05' AS created_at, '2025-01-02 03:04:05' AS updated_at FROM questions",
+        "conversation_rename": f"""WITH {LATEST}, {MSGS}, r AS (SELECT conversation_id AS id, substr(text, 1, 20) AS t, created_at AS ts FROM msgs WHERE conversation_id IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, substr(text, 1, 20) DESC) = 1)
+ SELECT latest.id, coalesce(t, title) AS title, strftime(coalesce(ts, updated_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_at FROM latest LEFT JOIN r ON r.id = latest.id""",
+        "chat_append_turns": f"""WITH {_TURN_SQL}, begun AS (SELECT DISTINCT conversation_id FROM messages WHERE conversation_id IS NOT NULL)
+ SELECT latest.id, CASE WHEN latest.id IN (SELECT conversation_id FROM begun) THEN title ELSE substr('question 0 of a rather long conversation', 1, 32) END AS title, '2027-01-15 08:00:01' AS updated_at, 4::BIGINT AS added,
+ (SELECT count(*) FROM turns WHERE conversation_id = latest.id AND n % 3 = 0) AS empty FROM latest""",
+        "chat_client_view": f"""WITH {_TURN_SQL}, sent AS (SELECT * FROM turns WHERE n % 4 <> 0), f AS (SELECT conversation_id, arg_min(n, turn) AS n, arg_min(question, turn) AS q FROM sent GROUP BY conversation_id)
+ SELECT s.conversation_id, 2 * count(*) AS messages, count(*) FILTER (s.n % 4 = 1) AS errors, count(*) FILTER (s.n % 4 <> 1 AND s.n % 3 = 0) AS empty, any_value(CASE WHEN f.n % 4 <> 1 THEN substr(q, 1, 32) END) AS title
+ FROM sent s JOIN f USING (conversation_id) GROUP BY s.conversation_id""",
+        "flag_migration": f"WITH {MSGS} SELECT id, coalesce(is_empty, false) AS is_empty FROM msgs WHERE id IS NOT NULL",
         "label_histogram": f"WITH {ITEMS} SELECT label, count(*) AS n FROM items GROUP BY label",
         "page_cache_miss": f"WITH {cached} SELECT pdf, page_num, cache_key FROM asked WHERE cache_key NOT IN (SELECT cache_key FROM asked WHERE page_num % 2 = 0)",
         "combined_document": f"""WITH {cached}, c AS (SELECT pdf, page_ord, regexp_replace(text, {_q(CHATTER)}, '') AS body, page_num FROM asked)

@@ -11,6 +11,7 @@ from lodestone.functions import text as T
 from lodestone.operators import chat, extract, fuse, index, layout, parse, retrieve, understand, vector_index
 from lodestone.plans import pipeline
 from lodestone.scale import table
+from lodestone.schemas import SOURCES
 from lodestone.sources.tables import exact_map
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +135,13 @@ def exact_index_export(spark: SparkSession, d: str) -> DataFrame:
     return exact_map(index.exact_index(chunks(spark, d))).select("kind", "key", "part", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
+@query
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that the exact retriever named; ids without a chunk are skipped."""
+    hits = table(spark, d, "retrieved_chunks").filter(F.lower(F.trim("source")) == "exact").select("chunk_id").distinct()
+    return retrieve.lookup(hits, chunks(spark, d)).select("chunk_id", F.length("text").alias("chars"), F.col("metadata.section").alias("section"))
+
+
 @query
 def exact_match_lookup(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieve.exact_hits(pipeline.question_keys(questions(spark, d)), index.exact_index(chunks(spark, d)))
@@ -177,6 +185,14 @@ def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "vec_id", rounded("score").alias("score"), "rank")
 
 
+@query
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the inverted file finds at least nine tenths of the exact neighbours."""
+    exact, found = vector_topk(spark, d).select("qid", "vec_id"), vector_index_topk(spark, d).select("qid", "vec_id", F.lit(1).alias("hit"))
+    share = F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1))
+    return exact.join(found, ["qid", "vec_id"], "left").agg(F.count(F.lit(1)).alias("neighbours"), (share >= 0.9).alias("enough"))
+
+
 # --- fusion ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +237,7 @@ def retrieval_stats(spark: SparkSession, d: str) -> DataFrame:
 def answer_batch(spark: SparkSession, d: str) -> DataFrame:
     parts = pipeline.build_indexes(table(spark, d, "phase1_chunks"))
     answers = pipeline.answer_batch(questions(spark, d), parts, fuse.ranked_lists(table(spark, d, "retrieved_chunks"), sources=("vector",)))
-    told = ("is_roman_urdu", "error_codes", "model_names", "intent", "product_category", "confidence")
+    told = ("is_roman_urdu", *[F.array_join(c, ",").alias(c) for c in ("error_codes", "model_names")], "intent", "product_category", "confidence")
     return answers.select("qid", "language", F.length("context").alias("context_chars"), F.length("prompt").alias("prompt_chars"), *told)
 
 
@@ -403,6 +419,66 @@ def render_markdown(spark: SparkSession, d: str) -> DataFrame:
     return layout.rendered_documents(layout.normalise_items(layout_items(spark, d)), order="item_ord")
 
 
+@query
+def flat_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = layout.rendered_documents(layout.normalise_items(layout_items(spark, d)), order="item_ord")
+    return docs.select("doc_id", F.md5("flat").alias("digest"), F.length("flat").alias("chars"))
+
+
+@query
+def markdown_with_preamble(spark: SparkSession, d: str) -> DataFrame:
+    items = layout.normalise_items(layout_items(spark, d))
+    docs = layout.rendered_documents(items, order="item_ord").join(layout.item_summary(items), "doc_id")
+    docs = layout.with_preamble(docs, [("Source", "doc_id"), ("Pages", "total_pages")])
+    return docs.select("doc_id", F.md5("markdown").alias("digest"))
+
+
+@query
+def structured_items(spark: SparkSession, d: str) -> DataFrame:
+    """The header line of each document, and how many lines follow it."""
+    lines = layout.structured_lines(layout.normalise_items(layout_items(spark, d)), order="item_ord")
+    head = F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("header")
+    return lines.groupBy("doc_id").agg(head, F.count_if(F.col("line_no") > 0).alias("items"))
+
+
+@query
+def item_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = layout.item_summary(layout_items(spark, d))
+    return rows.select("doc_id", "total_pages", "total_items", F.to_json("item_breakdown").alias("item_breakdown"))
+
+
+@query
+def table_items(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as tables of three cells; every fifth has an error in place of them."""
+    items = layout_items(spark, d).filter(F.col("label") == "table")
+    cell = F.col("item_ord").cast("string")
+    cells = F.array(F.array(F.lit("item"), F.lit("page"), F.lit("text")), F.array(cell, F.col("page").cast("string"), F.col("content")))
+    items = items.withColumns({"cells": cells, "error": F.when(F.col("item_ord") % 5 == 0, F.lit("no grid"))})
+    return layout.normalise_items(items).select("doc_id", "item_ord", "content")
+
+
+@query
+def nested_picture_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of an order's lines as what stands inside a picture, with a caption."""
+    items = layout_items(spark, d)
+    text = F.when(F.col("item_ord") % 3 != 0, F.concat(F.lit("  "), F.col("content"), F.lit(" "))).otherwise(F.lit(" "))
+    rows = layout.nested_text(items.select(F.col("doc_id").alias("picture_id"), F.col("item_ord").alias("child_ord"), text.alias("text")))
+    return rows.select("picture_id", F.md5("text").alias("digest"), layout.caption(F.left("text", F.lit(8))).alias("caption"))
+
+
+@query
+def picture_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as pictures: the cache holds those of even keys; the stand-in for the model describes a picture by its size, and every seventh not at all."""
+    p = table(spark, d, "part").select("p_partkey", F.encode(F.concat("p_brand", "p_type"), "utf-8").alias("image"))
+    known = p.filter(F.col("p_partkey") % 2 == 0).groupBy(F.sha2("image", 256).alias("digest")).agg(F.lit("held").alias("description"))
+
+    def describe(rows: DataFrame) -> DataFrame:
+        n = F.length("image")
+        return rows.select("digest", F.when(n % 7 != 0, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(F.lit(" ")).alias("description"))
+
+    return layout.with_descriptions(p, known, describe)[0].select("p_partkey", "description")
+
+
 @query
 def label_histogram(spark: SparkSession, d: str) -> DataFrame:
     return layout.label_histogram(layout_items(spark, d))
@@ -421,6 +497,19 @@ def page_cache_miss(spark: SparkSession, d: str) -> DataFrame:
     return layout.missing_pages(asked, cache).select("pdf", "page_num", "cache_key")
 
 
+@query
+def page_write_through(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that the cache lacked as they are written to it; the stand-in for the recognition fails on every third page number."""
+    asked, held = _page_tables(spark, d)
+    cache = held.select("cache_key", F.col("text").alias("content")).dropDuplicates(["cache_key"])
+
+    def extract(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cache_key").agg(F.min(F.when(F.col("page_num") % 3 != 0, F.concat(F.lit("Sure, here it is\n"), F.col("text")))).alias("text"))
+
+    new = layout.extracted_pages(asked, cache, extract)[1]
+    return new.select("cache_key", F.md5("content").alias("digest"), F.contains("content", F.lit(layout.FAILED)).alias("failed"))
+
+
 @query
 def combined_document(spark: SparkSession, d: str) -> DataFrame:
     asked, _ = _page_tables(spark, d)
@@ -476,6 +565,73 @@ def conversation_list(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "title", "page", F.size("messages").alias("messages"), F.array_join(F.transform("messages", lambda m: m["id"]), ",").alias("message_ids"))
 
 
+@query
+def conversation_newest(spark: SparkSession, d: str) -> DataFrame:
+    rows = chat.newest_first(chat.latest_conversations(table(spark, d, "conversations")))
+    return rows.select("id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query
+def conversation_point_read(spark: SparkSession, d: str) -> DataFrame:
+    """Asked for by the ids that messages name, and by one of another form."""
+    asked = table(spark, d, "messages").select(F.col("conversation_id").alias("id")).filter("id is not null").union(spark.sql("SELECT 'no-such-id'"))
+    return chat.point_read(table(spark, d, "conversations"), asked).select("id", "found", "title")
+
+
+def _new_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").select(F.col("qid").alias("id"))
+
+
+@query
+def conversation_create(spark: SparkSession, d: str) -> DataFrame:
+    rows = chat.created(_new_ids(spark, d), F.lit("2025-01-02 03:04:05").cast("timestamp"))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created_at", "updated_at")})
+
+
+@query
+def conversation_rename(spark: SparkSession, d: str) -> DataFrame:
+    """Renamed by their messages' texts, the last of which wins."""
+    m = chat.distinct_messages(table(spark, d, "messages")).filter("conversation_id is not null and text is not null and created_at is not null")
+    renames = m.select(F.col("conversation_id").alias("id"), F.left("text", F.lit(20)).alias("title"), F.col("created_at").alias("at"))
+    rows = chat.renamed(chat.latest_conversations(table(spark, d, "conversations")), renames)
+    return rows.select("id", "title", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Two turns for each conversation, and for one that does not exist; every third question has no source, and every fourth is blank or fails."""
+    ids = chat.latest_conversations(table(spark, d, "conversations")).select(F.col("id").alias("conversation_id")).union(spark.sql("SELECT 'no-such-id'"))
+    n = F.pmod(F.conv(F.left(F.md5("conversation_id"), F.lit(6)), 16, 10).cast("long") + F.col("turn"), F.lit(12))
+    rows = ids.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", n)
+    source = F.struct(F.lit("T").alias("title"), F.lit(1).alias("page"), F.lit("s").alias("section"), F.lit("d").alias("documentType"), F.lit("u").alias("url"))
+    sources = F.when(F.col("n") % 3 != 0, F.array(source)).otherwise(F.array().cast(SOURCES))
+    question = F.concat(F.lit("question "), F.col("turn").cast("string"), F.lit(" of a rather long conversation"))
+    at = F.timestamp_seconds(1_800_000_000 + F.col("turn"))
+    return rows.select("conversation_id", "turn", "n", question.alias("question"), F.lit("answer").alias("answer"), sources.alias("sources"), at.alias("at"))
+
+
+@query
+def chat_append_turns(spark: SparkSession, d: str) -> DataFrame:
+    conv, msgs = chat.latest_conversations(table(spark, d, "conversations")), table(spark, d, "messages")
+    after, added = chat.append_turns(conv, msgs, _turns(spark, d))
+    counts = added.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("added"), F.count_if("is_empty").alias("empty"))
+    return after.join(counts, "id", "left").select("id", "title", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "added", "empty")
+
+
+@query
+def chat_client_view(spark: SparkSession, d: str) -> DataFrame:
+    t = _turns(spark, d)
+    text = F.when(F.col("n") % 4 != 0, F.col("question")).otherwise(F.lit("  "))
+    events = t.select("conversation_id", F.col("turn").alias("seq"), text.alias("text"), "answer", "sources", (F.col("n") % 4 == 1).alias("failed"))
+    shown = chat.client_messages(events).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"), F.count_if("is_error").alias("errors"), F.count_if("is_empty").alias("empty"))
+    return shown.join(chat.client_titles(events), "conversation_id", "left")
+
+
+@query
+def flag_migration(spark: SparkSession, d: str) -> DataFrame:
+    old = chat.distinct_messages(table(spark, d, "messages")).select("id", F.initcap(F.col("is_empty").cast("string")).alias("is_empty"))
+    return chat.with_boolean_flag(old)
+
+
 @query
 def conversation_titles(spark: SparkSession, d: str) -> DataFrame:
     return chat.first_titles(table(spark, d, "messages"))

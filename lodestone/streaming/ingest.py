@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.text import newlines
 from lodestone.operators.parse import parse_manuals
+from lodestone.scale import query_tables
+from lodestone.sources.tables import merge_documents
 
 
 def stream_manuals(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,15 +21,15 @@ def stream_manuals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(manuals: DataFrame, target: str, state: str, once: bool = True, parse: Callable[[DataFrame], DataFrame] = parse_manuals) -> StreamingQuery:
-    """Parse each micro-batch and replace the chunks of its documents under ``target``, one folder for each document.
+    """Parse each micro-batch and replace the chunks of its documents under ``target``, which is divided by buckets of their ids.
 
-    A batch that is run again writes the same folders with the same rows, so a restart repeats nothing. Chunks never depend on another
+    A batch that is run again writes the same buckets with the same rows, so a restart repeats nothing. Chunks never depend on another
     document, hence no state and no watermark.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        chunks = parse(batch)
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(target)
+        with query_tables():
+            merge_documents(parse(batch), target)
 
     writer = manuals.writeStream.foreachBatch(write).option("checkpointLocation", state)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import index
+from lodestone import repl
+from lodestone.operators import index, layout
 from lodestone.operators.parse import parse_manuals
 from lodestone.plans import pipeline
 from lodestone import scale
 from lodestone.scale import cut_lineage, in_blocks, over_blocks, query_tables, running_totals, shared_folder, spread
+from lodestone.settings import Settings
 from lodestone.sources import tables
 from lodestone.streaming.ingest import ingest, stream_manuals
 
@@ -45,6 +47,53 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in rows) == ["a_0001", "b_0001"]
 
 
+def test_documents_are_merged_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    first = spark.createDataFrame([(f"d{i}", 1) for i in range(40)], "doc_id string, v int")
+    tables.merge_documents(first, path)
+    for _ in range(2):  # run again it writes the same
+        tables.merge_documents(spark.createDataFrame([("d3", 2), ("d3", 3), ("new", 4)], "doc_id string, v int"), path)
+    got = sorted((r["doc_id"], r["v"]) for r in tables.read_documents(spark, path).collect())
+    assert got == sorted([(f"d{i}", 1) for i in range(40) if i != 3] + [("d3", 2), ("d3", 3), ("new", 4)])
+    assert [r["v"] for r in tables.read_documents(spark, path, "new").collect()] == [4]
+    tables.write_documents(first, path)
+    assert tables.read_documents(spark, path).count() == 40 and tables.read_documents(spark, path, "d7").count() == 1
+
+
+def test_other_sinks_and_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "ü" if i % 2 else None) for i in range(5)], "n int, t string")
+    tables.write_arrays(rows, str(tmp_path / "arrays"), ["n"], part_size=2)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "arrays")).collect()]
+    assert sorted(lines) == ['[{"n":0},{"n":1,"t":"ü"}]', '[{"n":2},{"n":3,"t":"ü"}]', '[{"n":4}]']
+    index_rows = spark.createDataFrame([("error_codes", "E1", "b"), ("error_codes", "E1", "a"), ("model_names", "X", "a")], "kind string, key string, chunk_id string")
+    tables.write_exact_map(index_rows, str(tmp_path / "map"))
+    assert sorted(map(tuple, tables.read_exact_map(spark, str(tmp_path / "map")).collect())) == sorted(map(tuple, index_rows.collect()))
+    (tmp_path / "pdf").mkdir()
+    for name in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / "pdf" / name).write_bytes(b"x")
+    assert tables.first_pdf(spark, str(tmp_path / "pdf")).first()["path"].endswith("a.pdf") and tables.read_pdf_names(spark, str(tmp_path / "pdf")).count() == 2
+    (tmp_path / "rules.json").write_text('{"place": 2, "pattern": "b", "replacement": "c"}\n{"place": 1, "pattern": "a", "replacement": "b"}\n')
+    rules = tables.read_rules(spark, str(tmp_path / "rules.json"))
+    assert rules == (("a", "b"), ("b", "c")) and spark.sql("SELECT 'a  x' AS t").select(layout.clean_ocr(F.col("t"), rules)).first()[0] == "c x"
+    (tmp_path / "cat.json").write_text('{"place": 2, "category": "lamp", "needle": "Bulb"}\n{"place": 1, "category": "pump", "needle": "valve"}\n')
+    assert tables.read_categories(spark, str(tmp_path / "cat.json")) == (("pump", ("valve",)), ("lamp", ("bulb",)))
+    with pytest.raises(ValueError, match="more than"):
+        tables.read_rules(spark, str(tmp_path / "rules.json"), most=1)
+    tables.append_cache(rows, str(tmp_path / "cache"))
+    tables.append_cache(rows, str(tmp_path / "cache"))
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 10 and tables.healthy(spark).first()["ok"] == 1
+    tables.write_report(rows, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 5
+
+
+def test_settings_and_loop(spark):
+    spark.conf.set("spark.lodestone.index", "held")
+    told = Settings.read(spark, {"LODESTONE_INDEX": "other", "LODESTONE_ANSWER_MODELS": "a, b,", "LODESTONE_CHUNKS": " "})
+    assert (told.index, told.chunks, told.models("answer_models"), told.models("language_models")) == ("held", "phase1_chunks", ["a", "b"], [])
+    said = []
+    assert repl.loop(["", "  what ", "EXIT", "more"], lambda q: (q + "?", ["s"]), said.append) == 1 and said == ["what?", "  - s"]
+
+
 def test_answer_batch(spark):
     meta = "struct<title:string,page_start:int,page_end:int,source_pages:array<int>,product_category:string,section:string,content_type:string,model_names:array<string>,error_codes:array<string>,char_count:int>"
     rows = [(f"c{i}", f"pump {i} shows E{i}", ("T", 1, 1, [1], "general", "s", "text", [], [f"E{i}"], 9)) for i in range(8)]
@@ -64,7 +113,7 @@ def test_answer_batch_takes_vector_hits_and_the_understanding(spark, tmp_path):
     spark.createDataFrame(hits, "qid string, source string, rank int, chunk_id string, score double").write.parquet(str(tmp_path / "retrieved_chunks.parquet"))
     got = {r["qid"]: r for r in importlib.import_module("__spark_entry__").queries()["answer_batch"](spark, str(tmp_path)).collect()}
     assert got["q1"]["context_chars"] > 0 and got["q3"]["context_chars"] == 0 and got["q1"]["intent"] == "usage"
-    assert got["q2"]["language"] == "Roman Urdu" and got["q2"]["is_roman_urdu"] and got["q2"]["error_codes"] == ["E3"] and got["q2"]["context_chars"] > 0
+    assert got["q2"]["language"] == "Roman Urdu" and got["q2"]["is_roman_urdu"] and got["q2"]["error_codes"] == "E3" and got["q2"]["context_chars"] > 0
 
 
 def test_understood_questions_are_searched_in_translation(spark):
