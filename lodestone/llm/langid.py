@@ -8,6 +8,7 @@ and short scraps stay with what stands around them.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +46,8 @@ def label_language(label: Column) -> Column:
     return F.when(latin, "ur-Latn").otherwise(F.coalesce(F.try_element_at(known, name), F.try_element_at(known, base)))
 
 
-_SENTENCE = regex.compile(r"(?<=[.!?۔؟…][\"'”’»)]?)\s+|(?<=[。！？]['”’」』）]?)\s*|[\r\n\x0b\x0c\x85\u2028\u2029]+")
+#: What ends a sentence, with its mark, and what lies between it and the next one.
+_SENTENCE = regex.compile(r"([.!?۔؟…][\"'”’»)]?)\s+|([。！？]['”’」』）]?)\s*|[\r\n\x0b\x0c\x85\u2028\u2029]+")
 #: A Han character each; or letters with marks and inner apostrophes, not part of a code with digits.
 _TOKEN = regex.compile(r"\p{Han}|(?<![\p{N}\p{L}_])(?<!\p{N}[-.])(?<!\p{Lu}-)[\p{L}\p{M}&&[^\p{Han}]]+(?:['’][\p{L}\p{M}&&[^\p{Han}]]+)*(?![-_.]?\p{N})", regex.V1)
 
@@ -53,20 +55,27 @@ _TOKEN = regex.compile(r"\p{Han}|(?<![\p{N}\p{L}_])(?<!\p{N}[-.])(?<!\p{Lu}-)[\p
 def sentences(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for m in _SENTENCE.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
+        end = m.end(m.lastindex) if m.lastindex else m.start()
+        if end > at:
+            out.append((at, end))
         at = m.end()
     if at < len(text):
         out.append((at, len(text)))
     return out
 
 
+#: The same for texts in ASCII, which the plainer engine reads faster.
+_ASCII_TOKEN = re.compile(r"(?<![0-9A-Za-z_])(?<![0-9][-.])(?<![A-Z]-)[A-Za-z]+(?:'[A-Za-z]+)*(?![-_.]?[0-9])")
+#: Two capitals in a row, as every word in capitals has them.
+_CAPITALS = re.compile(r"[A-Z]['’]?[A-Z]")
+
+
 def tokens(sentence: str) -> list[str]:
     """The words in lower case; beside words that are not in capitals, those that are count as codes and are left out."""
-    words = _TOKEN.findall(sentence)
-    if not all(t.isupper() for t in words):
+    words = (_ASCII_TOKEN if sentence.isascii() else _TOKEN).findall(sentence)
+    if _CAPITALS.search(sentence) and not all(t.isupper() for t in words):
         words = [t for t in words if not (len(t) > 1 and t.isascii() and t.isupper())]
-    return [t.lower().replace("’", "'") for t in words]
+    return "\n".join(words).lower().replace("’", "'").split("\n") if words else []
 
 
 def _grams(word: str, longest: int) -> Iterator[str]:
@@ -157,15 +166,19 @@ class LanguageModel:
 
     def scores(self, parts: list[list[str]]) -> np.ndarray:
         """The summed log-scores of each sentence by language, relative to each word's best."""
-        ids, cuts = [], []
+        ids, cuts, known = [], [], self._ids.get
         for words in parts:
             cuts.append(len(ids))
+            found = [known(w) for w in words]
+            if None not in found:
+                ids += found
+                continue
             for w in words:
-                k = self._ids.get(w)
+                k = known(w)
                 if k is None:
                     k = len(self._ids)
                     if k >= 400_000:
-                        self._ids.clear()
+                        self._ids.clear()  # what was found before is lost with it
                         return self.scores(parts) if len(parts) < 400_000 else np.array([np.sum([self.word(x) for x in p], axis=0) if p else np.zeros(len(LANGUAGES)) for p in parts])
                     if k >= len(self._rows):
                         self._rows = np.vstack([self._rows, np.zeros_like(self._rows)])
@@ -180,7 +193,10 @@ class LanguageModel:
 
     @staticmethod
     def path(emit: np.ndarray, change: float = CHANGE) -> list[int]:
-        """The best languages of a chain of sentences (Viterbi)."""
+        """The best languages of a chain of sentences (Viterbi); where one language is best for all of them, it is that one throughout."""
+        whole = int(emit.sum(axis=0).argmax())
+        if (emit[:, whole] >= emit.max(axis=1)).all():
+            return [whole] * len(emit)
         score, back = emit[0].copy(), []
         for row in emit[1:]:
             best = int(score.argmax())
@@ -240,7 +256,8 @@ def training_sample(documents: DataFrame, per_language: int = 400, longest: int
     for language, n in counts.items():
         share = F.when(F.col("language") == language, F.lit(min(1.0, per_language / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    picked = rows.filter(place < share).select("text", "language").limit(2 * per_language * len(LANGUAGES))
+    # ordered, so that the model does not hang on which task was first
+    picked = rows.filter(place < share).orderBy(F.xxhash64("doc_id"), "text").select("text", "language").limit(2 * per_language * len(LANGUAGES))
     return [(r["text"], r["language"]) for r in picked.collect()]
 
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import random
 import textwrap
 
+import numpy as np
+
 from lodestone.llm import langid, leakage, line_model, markup, markup_pages, ocr_repair
 
 CLEAN = [
@@ -301,3 +304,25 @@ def test_labels_decide_what_a_block_is():
 def test_paths_are_no_commands():
     assert not markup.signs("Copy it to C:\\it\\emph now.") & {"latex"} or "latex" in markup.signs("\\emph{x}")
     assert "latex" not in markup.signs("Copy it to C:\\it now.") and "latex" in markup.signs("{\\it now}")
+
+
+def test_both_token_patterns_agree_in_ascii():
+    rng = random.Random(12)
+    pieces = ["ab", "A", "CD", "x", "1", "22", "-", ".", "_", "'", " ", "  ", "I'M", "E-", "e1", "\n", ",", "("]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        assert langid._ASCII_TOKEN.findall(text) == langid._TOKEN.findall(text), text
+
+
+def test_a_path_of_one_language_is_the_chain_s():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        emit = -rng.random((rng.integers(1, 6), 9)) * rng.choice([1, 10, 40])
+        if rng.random() < 0.5:
+            emit[:, 4] = 0
+        path = langid.LanguageModel.path(emit)
+        best = max(
+            (sum(e[k] for e, k in zip(emit, ks, strict=True)) - langid.CHANGE * sum(a != b for a, b in zip(ks, ks[1:], strict=False)) for ks in itertools.product(range(9), repeat=len(emit))), default=0
+        ) if len(emit) < 4 else None
+        got = sum(e[k] for e, k in zip(emit, path, strict=True)) - langid.CHANGE * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert best is None or abs(got - best) < 1e-9
