@@ -35,23 +35,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def split_pairs(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
-    """For each token of several bytes the two tokens that its merge joins: the two left when the lower merges are done."""
+    """For each token of several bytes the two tokens that its merge joins: the two left when the lower merges are done.
+
+    A token whose bytes no sequence of merges brings together is never reached and left out.
+    """
     out = {}
     for token, rank in ranks.items():
-        if len(token) > 1:
-            parts = [token[i : i + 1] for i in range(len(token))]
-            while len(parts) > 2:
-                best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if best == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
             out[rank] = (ranks[parts[0]], ranks[parts[1]])
     return out
 
 
 class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], pairs: dict[int, tuple[int, int]]) -> None:
-        self.ranks, self.pairs = ranks, pairs
+        self.pairs = pairs
+        self.ranks = {token: rank for token, rank in ranks.items() if len(token) == 1 or rank in pairs}
         self.merged = {pair: rank for rank, pair in pairs.items()}
-        self.longest = max(map(len, ranks), default=0)
+        self.longest = max(map(len, self.ranks), default=0)
         self.words = regex.compile(WORDS)
         self._apart: dict[tuple[int, int], bool] = {}
         self._memo: dict[str, list[int]] = {}
@@ -109,7 +115,7 @@ class PrefixEncoder:
             size: list[int] = []
             raw = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
-            if whole is not None and self._is_reached(raw, whole):
+            if whole is not None:
                 ids = [whole]
             else:
                 self.extend(raw, last, size)
@@ -118,9 +124,6 @@ class PrefixEncoder:
                 self._memo[word] = ids
         return ids
 
-    def _is_reached(self, raw: bytes, token: int) -> bool:
-        return len(raw) == 1 or token in self.pairs
-
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -130,13 +133,39 @@ class PrefixEncoder:
         return ids
 
 
+class Prefixes:
+    """A word with the last token of each of its byte prefixes; what it shares with a later form of it is not computed again."""
+
+    def __init__(self, encoder: PrefixEncoder) -> None:
+        self.encoder, self.raw, self.computed = encoder, b"", 0
+        self.last: list[int] = []
+        self.size: list[int] = []
+
+    def become(self, word: str) -> list[int]:
+        """The ids of ``word``; every prefix that it shares with the word before keeps its token."""
+        raw = word.encode("utf-8", "surrogatepass")
+        same = len(raw) if self.raw.startswith(raw) else len(self.raw) if raw.startswith(self.raw) else len(os.path.commonprefix((raw, self.raw)))
+        del self.last[same:], self.size[same:]
+        self.computed += len(raw) - same
+        self.encoder.extend(raw, self.last, self.size)
+        self.raw = raw
+        return self.encoder.walk(self.last, self.size)
+
+
 class EditableEncoding:
-    """The ids of a text that is appended to or edited, kept by word so that an edit re-encodes only what it can reach."""
+    """The ids of a text that is appended to or edited, kept by word so that an edit re-encodes only what it can reach.
+
+    The last word, and every word of more than ``LONG`` characters, keeps its prefixes: appending to it costs what is appended, and an edit inside it
+    what stands behind the edit.
+    """
+
+    LONG = 64
 
     def __init__(self, encoder: PrefixEncoder, text: str = "") -> None:
         self.encoder, self.text = encoder, ""
         self.starts: list[int] = []
         self.parts: list[list[int]] = []
+        self.prefixes: dict[int, Prefixes] = {}
         self.replace(0, 0, text)
 
     def append(self, more: str) -> None:
@@ -157,15 +186,21 @@ class EditableEncoding:
         text = self.text[:start] + new + self.text[end:]
         behind = {s + shift: i for i, s in enumerate(old_starts) if s >= end and s + shift >= start + len(new)}
         starts, parts, again = old_starts[:keep], old_parts[:keep], 0
+        held = {s: p for s, p in self.prefixes.items() if s < at}
         for m in self.encoder.words.finditer(text, at):
             if (i := behind.get(m.start())) is not None and m.start() > start + len(new):
                 starts += [s + shift for s in old_starts[i:]]
                 parts += old_parts[i:]
+                held |= {s + shift: p for s, p in self.prefixes.items() if s >= old_starts[i]}
                 break
             starts.append(m.start())
-            parts.append(self.encoder.word(m.group()))
+            if len(m.group()) > self.LONG or m.end() == len(text):
+                held[m.start()] = p = self.prefixes.get(m.start()) or Prefixes(self.encoder)
+                parts.append(p.become(m.group()))
+            else:
+                parts.append(self.encoder.word(m.group()))
             again += 1
-        self.text, self.starts, self.parts = text, starts, parts
+        self.text, self.starts, self.parts, self.prefixes = text, starts, parts, held
         return again
 
     @property

@@ -44,6 +44,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_ranking": f"WITH {_RANKED} SELECT qid, chunk_id, points, position FROM placed",
         "p3_found": f"WITH {_TURNS} SELECT conversation_id, reason FROM reasons WHERE reason IS NOT NULL",
         "p3_conversations": f"WITH {_TURNS} SELECT conversation_id, turn, id AS message_id, speaker, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at, text FROM seq WHERE conversation_id NOT IN (SELECT conversation_id FROM reasons WHERE reason IS NOT NULL)",
+        "p6_cover": "SELECT DISTINCT chunk_id, true AS whole, true AS fits, true AS overlaps FROM phase1_chunks WHERE length(text) > 4000",
         "p6_found": f"""WITH {_BIG}, a AS (SELECT chunk_id, max(length(p)) AS p FROM para GROUP BY chunk_id), b AS (SELECT chunk_id, max(length(s)) AS s FROM sent GROUP BY chunk_id), c AS (SELECT chunk_id, max(length(w)) AS w FROM word GROUP BY chunk_id)
  SELECT chunk_id, CASE WHEN p <= 4000 THEN 'paragraph' WHEN s <= 4000 THEN 'sentence' WHEN w <= 4000 THEN 'word' ELSE 'none' END AS boundary FROM a JOIN b USING (chunk_id) JOIN c USING (chunk_id)""",
     }

@@ -58,6 +58,10 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "phase1_chunks"))
 
 
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.cover_of(table(spark, sf_dir, "phase1_chunks"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p6_cover": p6_cover,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_passages": p8_passages,

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.scale import spread
@@ -130,3 +130,25 @@ def split_oversized(chunks: DataFrame, limit: int = 4000, overlap: int = 200) ->
 def split_boundaries(chunks: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
     """``(chunk_id, boundary)`` of each oversized chunk, from its pieces."""
     return split_oversized(chunks, limit, overlap).select("chunk_id", "boundary").distinct()
+
+
+def cover_of(chunks: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
+    """``(chunk_id, whole, fits, overlaps)`` of each oversized chunk: whether its pieces, without what they share, are its text again but for
+    whitespace at the cuts, none is over the limit, and each later one has the end of the piece before in front. A chunk's pieces are held together, as its text is.
+    """
+    big = chunks.select("chunk_id", "text").filter(F.length("text") > limit).distinct()
+    pieces = split_oversized(chunks, limit, overlap)
+    row = F.struct("piece_no", "piece", (F.col("end") - F.col("start")).alias("size"))
+    by = pieces.groupBy("chunk_id").agg(F.sort_array(F.collect_set(row)).alias("p"))
+    own = F.transform("p", lambda x: F.right(x["piece"], x["size"].cast("int")))
+    later = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    front = F.transform(later, lambda x: F.left(x["piece"], (F.length(x["piece"]) - x["size"]).cast("int")))
+    ends = F.transform(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.right(x["piece"], F.lit(overlap)))
+
+    def bare(c: Column) -> Column:
+        return F.regexp_replace(c, r"(?U)\s+", "")
+
+    checked = by.join(big, "chunk_id").select(
+        "chunk_id", (bare(F.array_join(own, "")) == bare(F.col("text"))).alias("whole"), F.forall("p", lambda x: x["size"] <= limit).alias("fits"), (front == ends).alias("overlaps")
+    )
+    return checked.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in ("whole", "fits", "overlaps")])

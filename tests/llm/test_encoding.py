@@ -55,6 +55,25 @@ def test_an_edit_touches_few_words(encoder):
     assert len(e.parts) >= before and e.ids == encoder.encode(e.text)
 
 
+def test_appending_to_a_word_computes_what_is_appended(encoder):
+    e = EditableEncoding(encoder, "see " + "ab" * 4000)
+    p = e.prefixes[3]
+    before = p.computed
+    for piece in ("c", "dé", "漢"):
+        e.append(piece)
+        assert e.ids == encoder.encode(e.text)
+    assert e.prefixes[3] is p and p.computed - before == len("cdé漢".encode())
+    e.replace(5000, 5001, "Q")
+    assert e.ids == encoder.encode(e.text) and p.computed - before < 3100 + 20
+
+
+def test_tokens_that_no_merge_reaches_are_not_used():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"xyz": 257}
+    pairs = split_pairs(ranks)
+    encoder = PrefixEncoder(ranks, pairs)
+    assert 257 not in pairs and encoder.word("ab") == [256] and encoder.word("xyz") == [120, 121, 122] and encoder.word("xyzab") == [120, 121, 122, 256]
+
+
 def test_operator(spark, encoder):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (3, "hello world"), (4, "x" * 100_000)], "doc_id long, text string")
     rows = encode_texts(df).collect()
