@@ -104,11 +104,12 @@ def picture_content(caption: Column, description: Column, text: Column) -> Colum
     """Caption, description and text of a picture as tagged lines, or a placeholder."""
     parts = F.concat_ws(
         "\n",
-        F.concat(F.lit("[CAPTION] "), blank_to_null(clean_ocr(strip(caption)))),
+        F.concat(F.lit("[CAPTION] "), F.nullif(clean_ocr(strip(caption)), F.lit(""))),
         F.concat(F.lit("[IMAGE DESCRIPTION] "), blank_to_null(description)),
         F.concat(F.lit("[TEXT IN IMAGE] "), blank_to_null(strip(text))),
     )
-    return F.coalesce(blank_to_null(parts), F.lit(NOTHING))
+    # each written once: the rules of cleaning make long code
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit(NOTHING))
 
 
 def gaps(intervals: DataFrame, keys: list[str], low: str = "lo", high: str = "hi") -> DataFrame:
