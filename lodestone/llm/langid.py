@@ -265,7 +265,11 @@ SEGMENTS = "doc_id bigint, segment_no bigint, language string, confidence double
 
 
 def language_segments(documents: DataFrame, per_language: int = 400) -> DataFrame:
-    """The segments of every document, with its given label's language as ``labelled``. Texts without words and rows without id have none."""
+    """The segments of every document, with its given label's language as ``labelled``. Texts without words and rows without id have none.
+
+    ``confidence`` is the language's share of the probability among all nine, tempered to three words of evidence so that it compares segments of unlike
+    length: it ranks segments by how clear they are, and is no frequency of being right.
+    """
     model = LanguageModel.fit(training_sample(documents, per_language))
     shared = documents.sparkSession.sparkContext.broadcast((model.words, model.grams))
     cache: dict[int, LanguageModel] = {}

@@ -31,7 +31,8 @@ RUN, ONE_IN, INSERTED, SEED = 20, 10, 6, 5
 #: Words of a case that a space may divide, beside all slips and the insertion, so that the screen (ItemIndex.candidates) lets it through.
 DIVIDED = 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+_NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}\s\x1c-\x1f\x85]+")
+_ASCII_NOT_WORD = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
 _BASES = np.array([pow(0x9E3779B97F4A7C15, SEED - 1 - k, 1 << 64) for k in range(SEED)], dtype=np.uint64)
 
 
@@ -39,9 +40,9 @@ def words_of(text: str | None) -> list[str]:
     """The words between whitespace, in lower case and compatible form, without any punctuation; what has no letter or digit is none."""
     if not text:
         return []
-    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
-    out = (w if w.isalnum() else _NOT_WORD.sub("", w) for w in plain.lower().split())
-    return [w for w in out if w]
+    if text.isascii():
+        return text.lower().encode().translate(None, _ASCII_NOT_WORD).decode().split()
+    return _NOT_WORD.sub("", unicodedata.normalize("NFKC", text).lower()).split()
 
 
 def misspelt(a: str, b: str) -> bool:
@@ -307,8 +308,11 @@ def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least:
                 if part >= least:
                     heapq.heappush(waiting, (-part, x, y))
             continue
+        plain = _grow(doc, item, d - 1, i - 1, -1, False)
         for early in (False, True):
-            back, start = _grow(doc, item, d - 1, i - 1, -1, early)
+            back, start = _grow(doc, item, d - 1, i - 1, -1, True) if early else plain
+            if early and len(back) == len(plain[0]):
+                break  # no insertion before the match: the last tile stays the longer one
             on, end = _grow(doc, item, d - length, i - length, 1, not early)
             marks = back[::-1] + [1] * -length + on
             leaked = leaked or enough(marks, len(item))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import textwrap
+import unicodedata
 
 import numpy as np
 
@@ -188,6 +189,16 @@ def test_leaks_match_planted_cases():
     assert leakage.leaks_of(None, index) == leakage.leaks_of("", index) == []
 
 
+def test_words_are_those_between_whitespace_without_punctuation():
+    rng = random.Random(9)
+    for marks in ("aB1 \t\n\x1c\x0b-'.,_$", "aBé漢٣ \u00a0\u2003\x85\u2028\u0301-’.,،\u200b½ﬁ"):
+        for _ in range(2000):
+            text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 14)))
+            plain = unicodedata.normalize("NFKC", text).lower()
+            want = [w for w in ("".join(c for c in x if unicodedata.category(c)[0] in "LNM") for x in plain.split()) if w]
+            assert leakage.words_of(text) == want, ascii(text)
+
+
 def word(i):
     """A word of letters that is like no other."""
     rng = random.Random(i)
@@ -326,3 +337,13 @@ def test_a_path_of_one_language_is_the_chain_s():
         ) if len(emit) < 4 else None
         got = sum(e[k] for e, k in zip(emit, path, strict=True)) - langid.CHANGE * sum(a != b for a, b in zip(path, path[1:], strict=False))
         assert best is None or abs(got - best) < 1e-9
+
+
+def test_confidence_ranks_errors():
+    """Texts in which every other word is of another language are given less confidence than pure ones."""
+    de = ["Die Lampe ist nicht hell und das Glas der Pumpe wurde heute gereinigt.", "Bitte schließen Sie den unteren Hahn und warten Sie auf das grüne Licht."]
+    model = langid.LanguageModel.fit([(t, "en") for t in CLEAN] * 4 + [(t, "de") for t in de] * 4)
+    mixed = [" ".join(w for pair in zip(a.split(), b.split(), strict=False) for w in pair) for a in CLEAN for b in de]
+    sure = [c for t in [*CLEAN, *de] for _, c, _, _ in model.segments(t)]
+    unsure = [c for t in mixed for _, c, _, _ in model.segments(t)]
+    assert min(sure) > max(unsure)
