@@ -36,10 +36,15 @@ NOTHING = "[No extractable content found in image]"
 
 
 def clean_ocr(text: Column, rules: tuple[tuple[str, str], ...] = OCR_RULES) -> Column:
-    """The rules in order, then runs of spaces made one. Further rules of a product line are passed by the caller."""
+    """The rules in order, then runs of spaces made one. Further rules of a product line are passed by the caller.
+
+    Most texts hold nothing that any rule changes: one search tells, and the rules are tried on the others only.
+    """
+    any_rule = "|".join(["(?i:" + pattern + ")" for pattern, _ in rules] + [" {2,}"])
+    cleaned = text
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, "(?i)" + pattern, replacement)
-    return F.regexp_replace(text, " {2,}", " ")
+        cleaned = F.regexp_replace(cleaned, "(?i)" + pattern, replacement)
+    return F.when(F.rlike(text, F.lit(any_rule)), F.regexp_replace(cleaned, " {2,}", " ")).otherwise(text)
 
 
 def is_garbage(text: Column) -> Column:

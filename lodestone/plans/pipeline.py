@@ -19,13 +19,13 @@ Embedder = Callable[[DataFrame], DataFrame]
 def build_indexes(chunks: DataFrame, embedder: Embedder | None = None) -> dict[str, DataFrame]:
     """The parts of the lexical and exact indexes over distinct chunks, and of the vector index where an ``embedder`` is given.
 
-    The lexical and the vector index are over the embedding text. Its terms are written once, since every part of the lexical index is made of them.
+    The lexical and the vector index are over the embedding text. Its terms and postings are written once, since every part of the lexical index is made of them.
     The vector index is an inverted file: ``vectors`` by cell, and ``centres`` with the number of cells to probe.
     """
     one = index.distinct_chunks(chunks)
     texts = one.select("chunk_id", index.embedding_text().alias("text"))
     terms = cut_lineage(index.tokenized(texts))
-    post, lengths = index.postings(terms), index.document_lengths(terms)
+    post, lengths = cut_lineage(index.postings(terms)), index.document_lengths(terms)
     parts = {"chunks": one, "postings": post, "doc_len": lengths, "terms": index.term_stats(post, lengths), "exact_index": index.exact_index(one)}
     if embedder is not None:
         vectors = cut_lineage(index.unit_vectors(embedder(texts), "chunk_id", "embedding"))
@@ -82,7 +82,7 @@ def answer_batch(questions: DataFrame, parts: dict[str, DataFrame], vector_hits:
     Understand, retrieve, fuse, rerank, assemble. ``vector_hits`` are the ranked lists ``(qid, chunk_id, score, rank)`` of the vector search, whose
     embedding model is outside of the plan; without them two ways are fused.
     """
-    told = understood(questions)
+    told = cut_lineage(understood(questions))  # every way of the search begins with it
     fused = fuse.rrf(hits_of(told, parts, vector_hits))
     found = fused.drop("score").join(parts["chunks"], "chunk_id").join(told.select("qid", F.col("translated_query").alias("question")), "qid")
     final = fuse.rerank(found, scorer)
