@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,15 @@ def _with_order(turns: DataFrame) -> DataFrame:
     return turns.withColumn("assistant_last", F.when(F.col("speaker") == "user", 0).otherwise(1))
 
 
-FRAGMENT = "conversation_id string, part int, first string, last string, missing boolean"
+FRAGMENT = "conversation_id string, part int, first string, last string, missing boolean, unclear boolean"
+FRAGMENT_COLUMNS = ["conversation_id", "part", "first", "last", "missing", "unclear"]
 
 
 def _automaton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The automaton over the sorted turns of one partition: a row for each conversation's stretch in it.
 
-    Its state is the last speaker; it fails on a user's turn that no assistant's turn follows. Only the open stretch is
-    held. Stretches of a conversation that goes on in the next partition are composed by :func:`conversation_faults`.
+    Its state is the last speaker; it fails on a user's turn that no assistant's turn follows, and notes turns without time or speaker. Only the open
+    stretch is held. Stretches of a conversation that goes on in the next partition are composed by :func:`conversation_faults`.
     """
     from pyspark import TaskContext
 
@@ -80,30 +82,28 @@ def _automaton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if pdf.empty:
             continue
-        conv, who = pdf["conversation_id"], pdf["speaker"]
-        starts = conv.ne(conv.shift())
-        bad = who.shift().eq("user") & who.ne("assistant") & ~starts
-        run = starts.cumsum()
-        agg = pd.DataFrame({"conversation_id": conv, "first": who, "last": who, "missing": bad}).groupby(run, sort=False)
-        agg = agg.agg({"conversation_id": "first", "first": lambda s: s.iloc[0], "last": lambda s: s.iloc[-1], "missing": "any"})
-        rows = agg.values.tolist()
+        conv, who = pdf["conversation_id"].to_numpy(), pdf["speaker"].to_numpy()
+        n = len(conv)
+        starts = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
+        bad = np.append(False, (who[:-1] == "user") & (who[1:] != "assistant"))
+        bad[starts] = False
+        unclear = pdf["undated"].to_numpy(dtype=bool) | (who == "?")
+        missing, doubtful = np.logical_or.reduceat(bad, starts), np.logical_or.reduceat(unclear, starts)
+        ends = np.append(starts[1:], n) - 1
         done = []
-        for c, first, last, missing in rows:
+        for c, first, last, m, u in zip(conv[starts], who[starts], who[ends], missing.tolist(), doubtful.tolist(), strict=True):
             if open_ and open_[0] == c:
-                open_[3] = bool(open_[3] or missing or (open_[2] == "user" and first != "assistant"))
-                open_[2] = last
+                open_[4] = open_[4] or m or (open_[3] == "user" and first != "assistant")
+                open_[5] = open_[5] or u
+                open_[3] = last
             else:
                 if open_:
                     done.append(open_)
-                open_ = [c, first, last, bool(missing)]
+                open_ = [c, part, first, last, m, u]
         if done:
-            yield pd.DataFrame([[c, part, f, l, m] for c, f, l, m in done], columns=FRAGMENT_COLUMNS)
+            yield pd.DataFrame(done, columns=FRAGMENT_COLUMNS)
     if open_:
-        c, f, l, m = open_
-        yield pd.DataFrame([[c, part, f, l, m]], columns=FRAGMENT_COLUMNS)
-
-
-FRAGMENT_COLUMNS = ["conversation_id", "part", "first", "last", "missing"]
+        yield pd.DataFrame([open_], columns=FRAGMENT_COLUMNS)
 
 
 def conversation_faults(messages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -113,16 +113,15 @@ def conversation_faults(messages: DataFrame, conversations: DataFrame) -> DataFr
     each partition, and these few rows are composed in order. Null ids are no conversations.
     """
     turns = kept_turns(messages).withColumn("speaker", F.coalesce("speaker", F.lit("?")))
-    flags = turns.groupBy("conversation_id").agg(
-        F.max(F.col("created_at").isNull() | (F.col("speaker") == "?")).alias("unclear")
-    )
     ordered = _with_order(turns).select("conversation_id", "created_at", "assistant_last", "id", "speaker")
     keys = [F.col("conversation_id"), *turn_order(F.col("assistant_last"))]
-    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conversation_id", "speaker")
-    parts = ordered.mapInPandas(_automaton, FRAGMENT)
-    whole = parts.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("part", "first", "last", "missing"))).alias("f"))
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    parts = ordered.select("conversation_id", "speaker", F.col("created_at").isNull().alias("undated")).mapInPandas(_automaton, FRAGMENT)
+    stretch = F.struct("part", "first", "last", "missing")
+    whole = parts.groupBy("conversation_id").agg(F.sort_array(F.collect_list(stretch)).alias("f"), F.max("unclear").alias("unclear"))
     whole = whole.select(
         "conversation_id",
+        "unclear",
         F.col("f")[0]["first"].alias("opens"),
         (
             F.exists("f", lambda x: x["missing"])
@@ -133,16 +132,16 @@ def conversation_faults(messages: DataFrame, conversations: DataFrame) -> DataFr
             )
         ).alias("missing"),
     )
-    known = conversations.filter(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).distinct()
+    known = conversations.filter(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id"))
     named = messages.filter(F.col("conversation_id").isNotNull()).select("conversation_id")
     ids = known.withColumn("known", F.lit(1)).unionByName(named.withColumn("known", F.lit(0)))
     ids = ids.groupBy("conversation_id").agg((F.max("known") == 1).alias("known"))
-    all_ = ids.join(flags, "conversation_id", "left").join(whole, "conversation_id", "left")
     reason = (
         F.when(F.col("opens").isNull(), "empty")
         .when(~F.col("known") | F.col("unclear") | (F.col("opens") != "user"), "broken")
         .when(F.col("missing"), "missing_reply")
     )
+    all_ = ids.join(whole, "conversation_id", "left")
     return all_.select("conversation_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from lodestone.llm.conversations import conversation_faults, rebuild_conversations
 
 M = "id string, conversation_id string, role string, text string, created_at timestamp"
@@ -56,3 +58,18 @@ def test_rebuilt_order(spark):
 
 def test_empty_tables(spark):
     assert faults(spark, [], []) == {} and faults(spark, [], ["a"]) == {"a": "empty"}
+
+
+def test_a_hot_conversation_is_spread_over_tasks(spark):
+    """One conversation holds a third of all rows; no partition of the sorted turns, or of the numbered ones, is much larger than the mean."""
+    from lodestone.llm import conversations as C
+    from lodestone.llm import pair_defects as P
+
+    rows = spark.range(6000).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 97)).alias("conversation_id"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some text").alias("text"), F.timestamp_seconds(F.col("id")).alias("created_at"),
+    )
+    sizes = [r["n"] for r in P.ordered_turns(rows).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 2 * 6000 / 8
+    numbered = {r["id"]: r["turn"] for r in C.numbered_turns(rows).filter("conversation_id = 'hot'").collect()}
+    assert [numbered[str(i)] for i in range(0, 6000, 3)] == list(range(1, 2001))
