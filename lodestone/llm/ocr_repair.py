@@ -41,18 +41,24 @@ _PAGES = ["chunk_id", "digest", "states", "furniture", "breaks", "words", "word"
 HELD = 500_000
 
 
+def may_be_cut(lines: list[str]) -> bool:
+    """Whether anything may have to be put together: some line stops inside a sentence before another one, and no line is block markup."""
+    full = [s for x in lines if (s := x.strip())]
+    return any(s[-1] not in ".!?:" for s in full[:-1]) and not any(s[0] in _MARKUP_FIRST and _BLOCK_MARKUP.match(s) for s in full)
+
+
 def label_lines(text: str) -> tuple[bool, list[tuple[str, str]]]:
-    """Whether a text is a scanned page, and its lines with their states; both are the best path of the model, with no bound on the width."""
+    """Whether a text is a scanned page, and then its lines with their states; both are the best path of the model, with no bound on the width.
+
+    A page of which no body line stops inside a sentence has nothing to repair and is none; where no line at all does, no path is looked for.
+    """
     lines = _LINES.split(text)
+    if not may_be_cut(lines):
+        return False, []
     kind, states = line_model().decode(lines)
     labelled = list(zip(lines, states, strict=True))
-    return kind == "scanned" and is_cut(labelled), labelled
-
-
-def is_cut(labelled: list[tuple[str, str]]) -> bool:
-    """Whether anything is to be put together: some body line stops inside a sentence before another one, and no line is block markup."""
-    body = [s for line, state in labelled if state == "body" and (s := line.strip())]
-    return any(a[-1] not in ".!?:" for a in body[:-1]) and not any(line[:1] in _MARKUP_FIRST and _BLOCK_MARKUP.match(line) for x, _ in labelled if (line := x.strip()))
+    scanned = kind == "scanned" and may_be_cut([line for line, state in labelled if state == "body"])
+    return scanned, labelled if scanned else []
 
 
 def furniture_of(line: str, state: str) -> str | None:
