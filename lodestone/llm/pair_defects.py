@@ -234,6 +234,10 @@ def tail_of(answer: str) -> list[int]:
     return [gram(w[-2:], 2) if len(w) > 1 else -1, gram(w[-1:], 1), gram(w[-1:], 0)]
 
 
+#: No word has more letters; what is longer, such as a text without spaces, has no beginnings that could be told from pieces.
+LONGEST = 60
+
+
 class GramCounts:
     """Places of words, word pairs and beginnings of words, and how many of them end a sentence, with its mark or without."""
 
@@ -282,7 +286,7 @@ class GramCounts:
                 continue
             w = names[code]
             out.append((gram([w], 1), n, stops, opens))
-            for k in range(1, len(w)):
+            for k in range(1, min(len(w), LONGEST)):
                 begins[w[:k]] += n
         self.words = {}
         return out + [(gram([w], 0), n, 0, 0) for w, n in begins.items()]
