@@ -30,6 +30,8 @@ from lodestone.scale import in_blocks, over_blocks, spread
 RUN, ONE_IN, INSERTED, SEED = 20, 10, 6, 5
 #: Words of a case that a space may divide, beside all slips and the insertion, so that the screen (ItemIndex.candidates) lets it through.
 DIVIDED = 2
+#: An item in which one seed stands more often is compared with a text row by row (repeated_runs) in place of by seeds, whose pairs would be too many.
+REPEATED = 64
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}\s\x1c-\x1f\x85]+")
 _ASCII_NOT_WORD = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
@@ -131,6 +133,7 @@ class ItemIndex:
         self.words = dict(items)
         self.short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
         held: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.repeated: dict[int, np.ndarray] = {}
         self.items, needs, pairs, places, of = [], [], [], [], []
         at_all = 0
         for item, words in items:
@@ -138,7 +141,11 @@ class ItemIndex:
                 self.short[words[0]].append((item, words))
             if len(words) > 1 and self.words[item] is words:
                 size, numbers = seed_size(len(words)), _numbers(words)
-                held[size] += [(int(h), item, at) for at, h in enumerate(_seeds(numbers, size))]
+                own = _seeds(numbers, size)
+                if len(own) > REPEATED and np.unique(own, return_counts=True)[1].max() > REPEATED:
+                    self.repeated[item] = numbers
+                else:
+                    held[size] += [(int(h), item, at) for at, h in enumerate(own)]
                 n = min(RUN, len(words))
                 of += [len(self.items)] * (len(words) - 1)
                 self.items.append(item)
@@ -187,6 +194,11 @@ class ItemIndex:
             near = np.where(np.bincount(items, minlength=len(self.items))[items] >= coverage / 2 * self.size[items], RUN, near)
         return self.always | {self.items[k] for k in np.unique(items[near >= self.need[items]]).tolist()}
 
+    def runs(self, words: list[str], numbers: np.ndarray, coverage: float | None = None) -> dict[int, list[tuple[int, int, int]]]:
+        """(length, places in the document and in the item) of every maximal match of an item that repeats itself."""
+        wanted = self.candidates(numbers, coverage) & self.repeated.keys() if self.repeated else ()
+        return {item: repeated_runs(numbers, self.repeated[item], seed_size(len(self.words[item]))) for item in wanted}
+
     def matches(self, words: list[str], numbers: np.ndarray, coverage: float | None = None) -> dict[int, list[tuple[int, int]]]:
         """(place in the document, place in the item) of every seed by item."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -269,20 +281,33 @@ def enough(marks: list[int], whole: int) -> bool:
     return False
 
 
+def repeated_runs(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, places) of all maximal runs of ``least`` words that two texts share, by one row of run lengths for each word of the document."""
+    out = []
+    before = np.zeros(len(item) + 1, dtype=np.int32)
+    for d in range(len(doc) + 1):
+        row = np.zeros(len(item) + 1, dtype=np.int32)
+        if d < len(doc):
+            row[1:] = np.where(item == doc[d], before[:-1] + 1, 0)
+        ended = before.copy()
+        ended[:-1][row[1:] > 0] = 0  # these go on
+        for i in np.nonzero(ended >= least)[0].tolist():
+            n = int(ended[i])
+            out.append((n, d - n, i - n))
+        before = row
+    return out
+
+
 def _unmarked(d: int, i: int, size: int, doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
     """(length, places) of the parts of a match that no mark covers."""
-    out, start = [], None
-    for k in range(size + 1):
-        free = k < size and not doc[d + k] and not item[i + k]
-        if free and start is None:
-            start = k
-        elif not free and start is not None:
-            out.append((k - start, d + start, i + start))
-            start = None
-    return out
+    free = np.concatenate([[False], ~(doc[d : d + size] | item[i : i + size]), [False]])
+    edges = np.flatnonzero(free[1:] != free[:-1])
+    return [(b - a, d + a, i + a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least: int = SEED) -> tuple[bool, int, int, int]:
+def tiles(
+    doc: list[str], item: list[str], seeds: list[tuple[int, int]], least: int = SEED, matches: list[tuple[int, int, int]] | None = None
+) -> tuple[bool, int, int, int]:
     """(leaked, words of the item covered by its tiles, start and end of the longest tile in the document).
 
     The longest match is always laid next. What the marks leave of a match is laid later if it still has ``least`` words, or the words of a seed.
@@ -297,6 +322,8 @@ def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least:
         else:
             on.append([d, d + size])
     waiting = [(a - b, a, a - diagonal) for diagonal, spans in runs.items() for a, b in spans]
+    if matches is not None:
+        waiting = [(-n, d, i) for n, d, i in matches]
     heapq.heapify(waiting)
     least = min(least, size)
     marked_doc, marked_item = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
@@ -337,11 +364,14 @@ def leaks_of(text: str | None, index: ItemIndex, coverage: float | None = None)
             if doc[at : at + len(words)] == words:
                 out.append((item, len(words), len(words), at, at + len(words), True))
     whole = {row[0] for row in out}
-    for item, seeds in index.matches(doc, _numbers(doc), coverage).items():
+    numbers = _numbers(doc)
+    found = [(item, seeds, None) for item, seeds in index.matches(doc, numbers, coverage).items()]
+    found += [(item, [], runs) for item, runs in index.runs(doc, numbers, coverage).items()]
+    for item, seeds, runs in found:
         words = index.words[item]
         if item in whole:
             continue
-        leaked, covered, start, end = tiles(doc, words, seeds)
+        leaked, covered, start, end = tiles(doc, words, seeds, matches=runs)
         if leaked or (coverage is not None and len(words) >= RUN and covered >= coverage * len(words)):
             out.append((item, covered, len(words), start, end, leaked))
     return out

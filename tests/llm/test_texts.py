@@ -238,6 +238,18 @@ def test_reordered_passages_by_coverage():
     assert leakage.leaks_of(half, index, 0.9) == [] and [r[1] for r in leakage.leaks_of(half, index, 0.5)] == [30]
 
 
+def test_items_that_repeat_themselves():
+    rng = random.Random(2)
+    for _ in range(30):
+        doc, item = [[rng.choice("ab") for _ in range(n)] for n in (40, 30)]
+        want = {(n, d, i) for d in range(40) for i in range(30) for n in [next((k for k in range(31) if d + k >= 40 or i + k >= 30 or doc[d + k] != item[i + k]), 31)] if n >= 3 and (d == 0 or i == 0 or doc[d - 1] != item[i - 1])}
+        assert set(leakage.repeated_runs(leakage._numbers(doc), leakage._numbers(item), 3)) == want
+    item = ["go", "on"] * 200
+    index = leakage.ItemIndex([(1, item)])
+    assert 1 in index.repeated and [r[0] for r in leakage.leaks_of("so " + "go on " * 12 + "end", index)] == [1]
+    assert leakage.leaks_of("so " + "go on " * 9 + "end", index) == []
+
+
 def test_what_a_mark_leaves_is_laid_later():
     """The document holds words 0-11 and, elsewhere, 8-19: the second match keeps its unmarked words 12-19."""
     item = [word(i) for i in range(24)]
