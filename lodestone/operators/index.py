@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,37 @@ def rerank_text(meta: str = "metadata", text: str = "text") -> Column:
     return F.concat_ws("\n", blank_to_null(m["title"]), _label(m["product_category"]), blank_to_null(F.col(text)))
 
 
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def bags(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``(key, dl, terms, tfs)`` of texts whose keys do not repeat: how many terms a text has, its distinct ones and the uses of each.
+
+    One row holds a text's postings, so none is moved to be counted. The terms are those of :func:`tokenize`, which signs only part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, terms, tfs, ends = [], [], [], [0]
+            for value in batch.column(1).to_pylist():
+                found = _TOKEN.findall(value.lower()) if value is not None else []
+                held = Counter(found)
+                sizes.append(None if value is None else len(found))
+                terms.extend(held)
+                tfs.extend(held.values())
+                ends.append(len(terms))
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((terms, pa.string()), (tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *lists], names=[key, "dl", "terms", "tfs"])
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, dl bigint, terms array<string>, tfs array<int>")
+
+
+def postings_of(held: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``(term, key, tf)`` of :func:`bags`."""
+    return held.select(key, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), key, F.col("p.tfs").cast("long").alias("tf"))
+
+
 def tokenized(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """``(key, terms)``, from which all parts of a lexical index can be made."""
     return texts.select(key, tokenize(F.col(text)).alias("terms"))
@@ -60,13 +96,18 @@ def document_lengths(texts: DataFrame, key: str = "chunk_id", text: str = "text"
     return texts.select(key, F.size(_terms(texts, text)).cast("long").alias("dl"))
 
 
+def term_counts(post: DataFrame) -> DataFrame:
+    """``(term, df)``: in how many texts a term stands."""
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_stats(post: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``(term, df, idf)``: idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a share of the mean over all terms.
+    """``(term, df, idf)`` of postings or of :func:`term_counts`: idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a share of the mean over all terms.
 
     The totals are one row each and joined as such; no document is gathered.
     """
     n = lengths.agg(F.count(F.lit(1)).alias("n"))
-    raw = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
+    raw = (post if "df" in post.columns else term_counts(post)).join(F.broadcast(n))
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import tokenize
 from lodestone.operators.index import B, K1
-from lodestone.scale import in_blocks, over_blocks, running_totals
+from lodestone.scale import cut_lineage, in_blocks, over_blocks, running_totals, spread
 
 #: Fixed values.
 VECTOR_TOP, LEXICAL_TOP, CATEGORY_LEAST = 20, 20, 3
@@ -66,97 +67,224 @@ def lexical_scores(questions: DataFrame, post: DataFrame, lengths: DataFrame, te
     return scored.filter(F.col("score") > 0)
 
 
+#: Postings that are scored at once.
+SLAB = 3_000_000
+#: Of so many documents one is scored first, for the floors of the others.
+FIRST = 8
+
+
+Bag = list[tuple[int, int]]
+
+
+def alike(bags: list[Bag]) -> list[tuple[Bag, list[tuple[int, int, int]]]]:
+    """Bags of terms in groups that share all but one term: ``(shared, [(number of the bag, its own term, times)])``.
+
+    A bag goes where most others would go, so that what is shared is scored for all of them at once; one that is like no other is a group of its own.
+    """
+    pairs: dict[tuple[int, int], int] = {}
+    flat = np.array([pairs.setdefault(p, len(pairs)) for bag in bags for p in bag], dtype=np.int64)
+    starts = np.cumsum([0] + [len(bag) for bag in bags])
+    drawn = np.random.default_rng(0).integers(0, 2**63, len(pairs), dtype=np.uint64)[flat]  # sums of them tell bags apart well enough to count
+    left = np.repeat(np.add.reduceat(drawn, starts[:-1]), np.diff(starts)) - drawn
+    _, same, counts = np.unique(left, return_inverse=True, return_counts=True)
+    counts = counts[same]
+    out: dict[tuple, list[tuple[int, int, int]]] = {}
+    for k, bag in enumerate(bags):
+        own = int(counts[starts[k] : starts[k + 1]].argmax())
+        out.setdefault((*bag[:own], *bag[own + 1 :]), []).append((k, *bag[own]))
+    return [(list(shared), members) for shared, members in out.items()]
+
+
 class _Slab:
-    """The postings of some whole documents, by term, with which many questions are scored."""
-
-    def __init__(self, keys: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int) -> None:
-        new = np.empty(len(keys), dtype=bool)
-        new[0], new[1:] = True, keys[1:] != keys[:-1]
-        self.keys = keys[new]
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.weights = (np.cumsum(new) - 1)[order], weights[order]
-        self.starts = np.searchsorted(terms[order], np.arange(terms_in_all + 1))
-
-    def best(self, terms: list[tuple[int, int]], top: int, floor: float) -> list[tuple[float, object]]:
-        """``(-score, key)`` of the ``top`` best documents whose score is positive and not below ``floor``, by score, then by key."""
-        spans = [(self.starts[t], self.starts[t + 1], n) for t, n in terms if self.starts[t] < self.starts[t + 1]]
-        if not spans:
-            return []
-        docs = np.concatenate([self.docs[a:b] for a, b, _ in spans])
-        scores = np.round(np.bincount(docs, np.concatenate([self.weights[a:b] * n for a, b, n in spans]), len(self.keys)), 9)
-        good = np.nonzero((scores > 0) & (scores >= floor))[0]
-        if len(good) > top:
-            good = good[scores[good] >= np.partition(scores[good], -top)[-top]]
-        good = good[np.argsort(-scores[good], kind="stable")][:top]  # keys ascend in a slab
-        return [(-scores[d], self.keys[d]) for d in good]
+    """The postings of some whole documents, by term, with which many questions are scored.
 
+    ``docs`` are numbered in the order of their keys.
+    """
 
-#: Postings that are scored at once.
-SLAB = 400_000
+    def __init__(self, size: int, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int) -> None:
+        order = np.argsort(terms * size + docs)
+        self.size, self.docs, self.weights = size, docs[order], weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(terms_in_all + 1)).tolist()
+        self.columns: dict[int, np.ndarray] = {}
+
+    def column(self, term: int) -> np.ndarray | None:
+        """The weights of a common term in all documents, spread out once."""
+        a, b = self.starts[term], self.starts[term + 1]
+        if 8 * (b - a) < self.size or a == b:
+            return None
+        if term not in self.columns:
+            self.columns[term] = np.zeros(self.size)
+            self.columns[term][self.docs[a:b]] = self.weights[a:b]
+        return self.columns[term]
+
+    def at(self, term: int, docs: np.ndarray) -> np.ndarray:
+        """The weights of a term in some documents, zero in those without it."""
+        column = self.column(term)
+        if column is not None:
+            return column[docs]
+        a, b = self.starts[term], self.starts[term + 1]
+        if a == b:
+            return np.zeros(len(docs))
+        held = self.docs[a:b]
+        places = np.minimum(np.searchsorted(held, docs), b - a - 1)
+        return np.where(held[places] == docs, self.weights[a:b][places], 0.0)
+
+    def shared(self, bag: Bag) -> np.ndarray:
+        """The score of every document by a bag of terms."""
+        spans, total = [], None
+        for t, n in bag:
+            column = self.column(t)
+            if column is None:
+                spans.append((self.starts[t], self.starts[t + 1], n))
+            elif total is None:
+                total = column * n
+            else:
+                total += column if n == 1 else column * n
+        spans = [x for x in spans if x[0] < x[1]]
+        if not spans:
+            return np.zeros(self.size) if total is None else total
+        rare = np.bincount(np.concatenate([self.docs[a:b] for a, b, _ in spans]), np.concatenate([self.weights[a:b] * n for a, b, n in spans]), self.size)
+        return rare if total is None else total + rare
+
+    def best(self, group: tuple[Bag, list[tuple[int, int, int]]], top: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(bag, documents, scores)`` of a group of :func:`alike`: each bag's ``top`` best documents whose score is positive and not below the bag's floor,
+        by score, then by key. Without any, the bag is left out.
+
+        A document comes into question by what is shared alone, or by holding the bag's own term.
+        """
+        base = self.shared(group[0])
+        needed = {k: max(floors[k] - 1e-8, 1e-300) for k, _, _ in group[1]}  # scores are rounded at nine places
+        high = np.nonzero(base >= min(needed.values()))[0]
+        reached = base[high]
+        for k, t, n in group[1]:
+            a, b = self.starts[t], self.starts[t + 1]
+            docs = high[reached >= needed[k]]
+            if a < b:
+                held = self.docs[a:b]
+                held = held[base[held] + self.weights[a:b] * n >= needed[k]]
+                docs = np.union1d(docs, held) if len(docs) and len(held) else held if len(held) else docs
+            if not len(docs):
+                continue
+            scores = np.round(base[docs] + self.at(t, docs) * n, 9)
+            good = np.nonzero((scores > 0) & (scores >= floors[k]))[0]
+            if len(good) > top:
+                good = good[scores[good] >= np.partition(scores[good], -top)[-top]]
+            good = good[np.argsort(-scores[good], kind="stable")][:top]
+            if len(good):
+                yield k, docs[good], scores[good]
+
+
+def _slabs(batches: Iterator[pa.RecordBatch], words: list[str], idf: np.ndarray, mean: float, first: int) -> Iterator[tuple[pa.Array, _Slab]]:
+    """Keys in their order, and the asked postings of their documents: of the first ``first`` postings or so, then of :data:`SLAB` at a time."""
+    values, held, size, most = pa.array(words, pa.string()), [], 0, first
+
+    def slab() -> tuple[pa.Array, _Slab]:
+        keys = pa.concat_arrays([k for k, *_ in held])
+        order = pc.sort_indices(keys)
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(keys))
+        before = np.cumsum([0] + [len(k) for k, *_ in held])
+        docs = place[np.concatenate([d + n for (_, d, _, _), n in zip(held, before, strict=False)])]
+        return keys.take(order), _Slab(len(keys), docs, np.concatenate([t for *_, t, _ in held]), np.concatenate([w for *_, w in held]), len(words))
+
+    for batch in batches:
+        keys, lists = batch.column(0), batch.column(2)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        terms = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        docs, asked = np.repeat(np.arange(len(keys)), lengths), terms >= 0
+        docs, terms, tf = docs[asked], terms[asked], batch.column(3).flatten().to_numpy(zero_copy_only=False)[asked]
+        dl = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[docs]
+        weights = idf[terms] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)))
+        ends = np.cumsum(np.bincount(docs, minlength=len(keys)))
+        at = 0
+        while at < len(keys):
+            done = ends[at - 1] if at else 0
+            end = min(len(keys), int(np.searchsorted(ends, done + most - size)) + 1)  # whole documents, one at least
+            held.append((keys.slice(at, end - at), docs[done : ends[end - 1]] - at, terms[done : ends[end - 1]], weights[done : ends[end - 1]]))
+            size += int(ends[end - 1] - done)
+            at = end
+            if size >= most:
+                yield slab()
+                held, size, most = [], 0, SLAB
+    if held:
+        yield slab()
 
 
 def lexical_topk(
-    questions: DataFrame, post: DataFrame, lengths: DataFrame, terms: DataFrame, text: str = "text", key: str = "chunk_id", top: int = LEXICAL_TOP, block: int = 2000, block_bytes: int = 16 << 20
+    questions: DataFrame, post: DataFrame, lengths: DataFrame, terms: DataFrame, text: str = "text", key: str = "chunk_id", top: int = LEXICAL_TOP, block: int = 50_000, block_bytes: int = 64 << 20
 ) -> DataFrame:
     """``(qid, key, score, rank)`` of the ``top`` best documents of each question by :func:`lexical_scores`, exact.
 
-    Postings are clustered by document once; of theirs, only terms that are asked stay. Questions are held in blocks of at most ``block`` questions
-    and ``block_bytes`` bytes of terms, or one question, each of which is broadcast. A task scores its documents for all questions of a block and
-    keeps each question's best, which the final rank merges: no match of a question and a document leaves a task, so what is moved grows with
-    the postings, and with partitions times questions times ``top``.
+    ``post`` are postings, which are gathered by document, or ``index.bags``. Questions of the same terms are asked once. They are held in blocks of at most ``block``
+    and ``block_bytes`` bytes of terms, or one, each of which is broadcast. A task scores its documents for all questions of a block, those that share all but
+    one term together (:func:`alike`), and hands on the best ``top`` of each. One document of :data:`FIRST` is scored first: what ``top`` of these reach is the
+    floor of a question, and no document below it leaves a task.
     """
     spark = questions.sparkSession
-    asked = asked_terms(questions, text)
-    weights = posting_weights(post, lengths, terms, key).join(asked.select("term").distinct(), "term", "left_semi")
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    weights = weights.repartition(n, key).sortWithinPartitions(key)
-    types = {"qid": questions.schema["qid"].dataType.simpleString(), key: post.schema[key].dataType.simpleString()}
-    schema = f"qid {types['qid']}, {key} {types[key]}, score double"
-    by = asked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "times"))).alias("terms")).select("qid", "terms")  # one text's words
+    types = {"qid": questions.schema["qid"].dataType, key: post.schema[key].dataType}
+    schema = f"qid {types['qid'].simpleString()}, {key} {types[key].simpleString()}, score double"
+    if "tfs" in post.columns:
+        docs = post.select(key, "dl", "terms", "tfs")
+    else:
+        rows = post.groupBy(key).agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("p")).join(lengths, key)
+        docs = cut_lineage(rows.select(key, "dl", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")))
+    mean = lengths.agg(F.avg("dl").alias("avgdl")).first()["avgdl"]
+    asked = asked_terms(questions, text).join(terms.select("term", "idf"), "term")
+    by = cut_lineage(asked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "times", "idf"))).alias("terms")))  # one text's words
+    one = cut_lineage(by.groupBy("terms").agg(F.min("qid").alias("asker")))
+    order = F.pmod(F.xxhash64(key), F.lit(FIRST)) == 0
+    docs = spread(docs)
+    parts = docs.rdd.getNumPartitions()
+
+    def scored(shared: Broadcast, rows: DataFrame, floors: np.ndarray | None) -> DataFrame:
+        asker_type = to_arrow_type(types["qid"])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            askers, words, idf, groups = shared.value
+            names = pa.array(askers, asker_type)
+            least = np.zeros(len(askers)) if floors is None else floors.copy()
+
+            def batch(keys: pa.Array, found: list) -> pa.RecordBatch:
+                who = np.repeat([k for k, *_ in found], [len(d) for _, d, _ in found])
+                columns = [names.take(pa.array(who)), keys.take(pa.array(np.concatenate([d for _, d, _ in found]))), pa.array(np.concatenate([s for *_, s in found]))]
+                return pa.RecordBatch.from_arrays(columns, names=["qid", key, "score"])
+
+            for keys, slab in _slabs(batches, words, idf, mean, SLAB // 32 if floors is None else SLAB):
+                found = []
+                for group in groups:
+                    for k, best, scores in slab.best(group, top, least):
+                        found.append((k, best, scores))
+                        if len(scores) == top:
+                            least[k] = max(least[k], scores[-1])
+                    if len(found) >= 5000:
+                        yield batch(keys, found)
+                        found = []
+                if found:
+                    yield batch(keys, found)
+
+        return rows.mapInArrow(score, schema)
 
     def run(shared: Broadcast) -> DataFrame:
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = docs.filter(order).coalesce(max(spark.sparkContext.defaultParallelism, parts // FIRST))
+        first = cut_lineage(ranked(scored(shared, begun, None), key=key, top=top))
+        numbers = {q: k for k, q in enumerate(shared.value[0])}
+        floors = np.zeros(len(numbers))
+        for r in first.filter(F.col("rank") == top).select("qid", "score").toLocalIterator():
+            floors[numbers[r["qid"]]] = r["score"]
+        return first.drop("rank").unionByName(scored(shared, docs.filter(~order), floors))
+
+    def blocks() -> Iterator[tuple]:
+        told = ((r["asker"], r["terms"]) for r in one.toLocalIterator())
+        for held in in_blocks(told, block, block_bytes, lambda x: sum(64 + len(t["term"]) for t in x[1])):
             numbers: dict[str, int] = {}
-            wanted = [(q, [(numbers.setdefault(t, len(numbers)), n) for t, n in told]) for q, told in shared.value]
-            held: list[list] = [[] for _ in wanted]
-
-            def take(parts: list[pd.DataFrame]) -> None:
-                rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-                places = rows["term"].map(numbers)
-                rows, places = rows[places.notna()], places[places.notna()]
-                if rows.empty:
-                    return
-                slab = _Slab(rows[key].to_numpy(), places.to_numpy(dtype=np.int64), rows["weight"].to_numpy(), len(numbers))
-                for k, (_, told) in enumerate(wanted):
-                    found = slab.best(told, top, -held[k][-1][0] if len(held[k]) == top else 0.0)
-                    if found:
-                        held[k] = sorted(held[k] + found)[:top]
-
-            waiting: list[pd.DataFrame] = []
-            size = 0
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                if size >= SLAB:  # the last document may go on in this batch
-                    last = waiting[-1][key].iloc[-1]
-                    same = int((pdf[key] == last).to_numpy().argmin()) if (pdf[key] != last).any() else len(pdf)
-                    waiting.append(pdf.iloc[:same])
-                    if same == len(pdf):
-                        continue
-                    take(waiting)
-                    waiting, size, pdf = [], 0, pdf.iloc[same:]
-                waiting.append(pdf)
-                size += len(pdf)
-            if waiting:
-                take(waiting)
-            rows = [(q, name, -s) for (q, _), best in zip(wanted, held, strict=True) for s, name in best]
-            yield pd.DataFrame(rows, columns=["qid", key, "score"])
-
-        return weights.mapInPandas(score, schema)
-
-    told = ((r["qid"], [(t["term"], t["times"]) for t in r["terms"]]) for r in by.toLocalIterator())
-    found = over_blocks(spark, in_blocks(told, block, block_bytes, lambda x: sum(64 + len(t) for t, _ in x[1])), run)
-    return ranked(spark.createDataFrame([], schema) if found is None else found, key=key, top=top)
+            idf = {t["term"]: t["idf"] for _, bag in held for t in bag}
+            bags = [[(numbers.setdefault(t["term"], len(numbers)), t["times"]) for t in bag] for _, bag in held]
+            yield [q for q, _ in held], list(numbers), np.array([idf[w] for w in numbers]), alike(bags)
+
+    found = over_blocks(spark, blocks(), run)
+    best = ranked(spark.createDataFrame([], schema) if found is None else found, key=key, top=top).withColumnRenamed("qid", "asker")
+    same = by.join(one.withColumnRenamed("asker", "_asker"), "terms").select("qid", "_asker")
+    return best.join(same, F.col("asker").eqNullSafe(F.col("_asker"))).select("qid", key, "score", "rank")
 
 
 def similarity(cosine: Column) -> Column:

@@ -19,14 +19,16 @@ Embedder = Callable[[DataFrame], DataFrame]
 def build_indexes(chunks: DataFrame, embedder: Embedder | None = None) -> dict[str, DataFrame]:
     """The parts of the lexical and exact indexes over distinct chunks, and of the vector index where an ``embedder`` is given.
 
-    The lexical and the vector index are over the embedding text. Its terms and postings are written once, since every part of the lexical index is made of them.
+    The lexical and the vector index are over the embedding text. Its terms are written once, a row a chunk (``bags``), since every part of the lexical index is made of them.
     The vector index is an inverted file: ``vectors`` by cell, and ``centres`` with the number of cells to probe.
     """
     one = index.distinct_chunks(chunks)
     texts = one.select("chunk_id", index.embedding_text().alias("text"))
-    terms = cut_lineage(index.tokenized(texts))
-    post, lengths = cut_lineage(index.postings(terms)), index.document_lengths(terms)
-    parts = {"chunks": one, "postings": post, "doc_len": lengths, "terms": index.term_stats(post, lengths), "exact_index": index.exact_index(one)}
+    held = cut_lineage(index.bags(texts))
+    lengths, counts = held.select("chunk_id", "dl"), cut_lineage(index.term_counts(held.select(F.explode("terms").alias("term"))))
+    parts = {
+        "chunks": one, "bags": held, "postings": index.postings_of(held), "doc_len": lengths, "terms": index.term_stats(counts, lengths), "exact_index": index.exact_index(one),
+    }
     if embedder is not None:
         vectors = cut_lineage(index.unit_vectors(embedder(texts), "chunk_id", "embedding"))
         centres = vector_index.fit(vectors, key="chunk_id")
@@ -69,7 +71,7 @@ def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: Data
     kinds = ("error_codes", "model_names")
     keys = [questions.select("qid", F.lit(kind).alias("kind"), F.explode(kind).alias("key")) for kind in kinds]
     exact = retrieve.ranked(retrieve.exact_hits(keys[0].unionByName(keys[1]), parts["exact_index"]))
-    lexical = retrieve.lexical_topk(questions, parts["postings"], parts["doc_len"], parts["terms"], text="translated_query")
+    lexical = retrieve.lexical_topk(questions, parts.get("bags", parts["postings"]), parts["doc_len"], parts["terms"], text="translated_query")
     lists = exact.withColumn("source", F.lit("exact")).unionByName(lexical.withColumn("source", F.lit("bm25")))
     if vector_hits is not None:
         lists = lists.unionByName(vector_hits.select("qid", "chunk_id", "score", "rank").withColumn("source", F.lit("vector")))

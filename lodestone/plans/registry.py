@@ -104,7 +104,7 @@ def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     p = pipeline.build_indexes(table(spark, d, "phase1_chunks"))
-    return retrieve.lexical_topk(questions(spark, d), p["postings"], p["doc_len"], p["terms"]).select("qid", "chunk_id", rounded("score").alias("score"), "rank")
+    return retrieve.lexical_topk(questions(spark, d), p["bags"], p["doc_len"], p["terms"]).select("qid", "chunk_id", rounded("score").alias("score"), "rank")
 
 
 @query

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone import scale
 from lodestone.operators import fuse, index, retrieve, vector_index
 
 
@@ -58,6 +59,33 @@ def test_best_by_lexical_score_are_those_of_all_scores(spark, monkeypatch):
     assert retrieve.lexical_topk(q.filter("false"), post, lengths, terms).count() == 0
 
 
+def test_questions_of_the_same_terms_are_asked_once_and_like_ones_together(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(f"c{i:03}", " ".join(rng.choice(["pump", "fan", "belt", "code", "e1", "e2", "e3"]) for _ in range(rng.randint(1, 9)))) for i in range(90)]
+    df = spark.createDataFrame(docs, "chunk_id string, text string")
+    post, lengths = index.postings(df), index.document_lengths(df)
+    terms = index.term_stats(post, lengths)
+    texts = ["pump code E1", "Code e1, pump", "pump code e2", "pump code e3", "fan fan belt", "zz", "zz pump"]
+    q = spark.createDataFrame([(f"q{i:04}", texts[i % 7]) for i in range(2800)], "qid string, text string")
+    blocks = []
+    monkeypatch.setattr(retrieve, "over_blocks", lambda spark, given, run: scale.over_blocks(spark, (blocks.append(b) or b for b in given), run), raising=False)
+    held = index.bags(df)
+    assert sorted(map(tuple, index.postings_of(held).collect())) == sorted((r["term"], r["chunk_id"], r["tf"]) for r in post.collect())
+    got = retrieve.lexical_topk(q, held, lengths, terms, top=4).collect()
+    assert len(blocks) == 1 and len(blocks[0][0]) == 5 and sorted(len(m) for _, m in blocks[0][3]) == [1, 1, 3]
+    few = q.filter("qid < 'q0007'")
+    want = retrieve.ranked(retrieve.lexical_scores(few, post, lengths, terms), top=4).collect()
+    by = {(r["qid"], r["rank"]): (r["chunk_id"], round(r["score"], 7)) for r in got}
+    assert len(got) == 400 * len(want) and all(by[r["qid"], r["rank"]] == (r["chunk_id"], round(r["score"], 7)) for r in want)
+
+
+def test_like_bags_lose_no_term():
+    bags = [[(1, 1), (2, 1), (3, 2)], [(1, 1), (2, 1), (4, 1)], [(5, 1)], [(1, 1), (2, 2), (3, 2)], [(6, 1)]]
+    groups = retrieve.alike(bags)
+    assert {k: sorted([*shared, own]) for shared, members in groups for k, *own in members for own in [tuple(own)]} == {k: sorted(b) for k, b in enumerate(bags)}
+    assert len(groups) < len(bags)
+
+
 def vectors(spark, n=200, dims=8):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=dims)], str(i % 7)) for i in range(n)]
