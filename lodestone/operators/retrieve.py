@@ -39,11 +39,55 @@ def exact_hits(keys: DataFrame, index: DataFrame, mode: str = "strict") -> DataF
     In ``strict`` mode the asked key loses all inner spaces while the index keeps them, so keys of several words never meet;
     ``normalized`` drops them on both sides. There is no limit on the hits.
     """
-    asked = keys.select("qid", "kind", F.upper(F.regexp_replace("key", r"(?U)\s+", "")).alias("key")).filter(F.col("key") != "").distinct()
+    asked = asked_keys(keys)
     held = index.withColumn("key", F.regexp_replace("key", r"(?U)\s+", "")) if mode == "normalized" else index
     return asked.join(held, ["kind", "key"]).groupBy("qid", "chunk_id").agg(F.lit(1.0).alias("score"))
 
 
+def asked_keys(keys: DataFrame) -> DataFrame:
+    """``(qid, kind, key)`` as they are looked up, each once."""
+    return keys.select("qid", "kind", F.upper(F.regexp_replace("key", r"(?U)\s+", "")).alias("key")).filter(F.col("key") != "").distinct()
+
+
+def exact_ranks(keys: DataFrame, index: DataFrame, others: DataFrame, top: int) -> DataFrame:
+    """``(qid, chunk_id, score, rank)`` of :func:`exact_hits` in strict mode, ranked among all of a question, but only those that are its first ``top`` or stand
+    in ``others``, ``(qid, chunk_id)``, for it or another question of the same keys. Of an index that does not repeat.
+
+    The hits all have one score, so a rank is the number of hits up to an id: those under each key of the question, less those that were counted before
+    under another of its keys. Questions of the same keys are one, and no list of all hits of a question is made.
+    """
+    asked = cut_lineage(asked_keys(keys))
+    held = cut_lineage(index.select("kind", "key", "chunk_id").join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi"))
+    by = cut_lineage(asked.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct("kind", "key"))).alias("keys")))  # one text's keys
+    sets = cut_lineage(by.groupBy("keys").agg(F.min("qid").alias("set")))
+    member = sets.select("set", F.explode("keys").alias("k")).select("set", "k.kind", "k.key")
+    same = by.join(sets, "keys").select("qid", "set")
+
+    def first(rows: DataFrame, *group: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("chunk_id"))).filter(F.col("rank") <= top)
+
+    begun = cut_lineage(first(first(held, "kind", "key").join(member, ["kind", "key"]).select("set", "chunk_id").distinct(), "set"))
+    wanted = others.select("qid", "chunk_id").join(same, "qid").select("set", "chunk_id").distinct().join(begun, ["set", "chunk_id"], "left_anti")
+    wanted = cut_lineage(wanted.join(member, "set").join(held, ["kind", "key", "chunk_id"], "left_semi").select("set", "chunk_id").distinct())
+
+    def pairs(rows: DataFrame, by: str) -> DataFrame:
+        k = F.struct("kind", "key")
+        return rows.select(by, k.alias("k1")).join(rows.select(by, k.alias("k2")), by).filter(F.col("k1") < F.col("k2"))
+
+    # of m keys of a set that a chunk holds there are m * (m - 1) / 2 pairs, and m - 1 are too many
+    twice = pairs(held, "chunk_id").join(pairs(member, "set"), ["k1", "k2"]).groupBy("set", "chunk_id").agg(F.count(F.lit(1)).alias("p"))
+    extra = F.round((F.sqrt(1 + 8 * F.col("p")) - 1) / 2).cast("long")
+    no_key, no_set = [F.lit(None).cast("string").alias(c) for c in ("kind", "key")], F.lit(None).cast(keys.schema["qid"].dataType)
+    rows = held.select("kind", "key", no_set.alias("set"), "chunk_id", F.lit(1).cast("long").alias("n"), no_set.alias("by"))
+    rows = rows.unionByName(twice.select(*no_key, "set", "chunk_id", (-extra).alias("n"), no_set.alias("by")))
+    rows = rows.unionByName(wanted.join(member, "set").select("kind", "key", no_set.alias("set"), "chunk_id", F.lit(0).cast("long").alias("n"), F.col("set").alias("by")))
+    rows = rows.unionByName(wanted.select(*no_key, "set", "chunk_id", F.lit(0).cast("long").alias("n"), F.col("set").alias("by")))
+    # null comes first: what is counted before what asks
+    placed = running_totals(rows, ["kind", "key", "set"], [F.col("chunk_id").asc(), F.col("by").asc_nulls_first()], {"_before": F.col("n")})
+    later = placed.filter(F.col("by").isNotNull()).groupBy(F.col("by").alias("set"), "chunk_id").agg(F.sum("_before").cast("int").alias("rank"))
+    return begun.unionByName(later).join(same, "set").select("qid", "chunk_id", F.lit(1.0).alias("score"), "rank")
+
+
 def posting_weights(post: DataFrame, lengths: DataFrame, terms: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``(term, key, weight)``: what a posting adds to a document's score, whatever the question."""
     mean = lengths.agg(F.avg("dl").alias("avgdl"))

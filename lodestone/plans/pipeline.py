@@ -16,13 +16,15 @@ from lodestone.scale import cut_lineage
 Embedder = Callable[[DataFrame], DataFrame]
 
 
-def build_indexes(chunks: DataFrame, embedder: Embedder | None = None) -> dict[str, DataFrame]:
+def build_indexes(chunks: DataFrame, embedder: Embedder | None = None, kept: bool = False) -> dict[str, DataFrame]:
     """The parts of the lexical and exact indexes over distinct chunks, and of the vector index where an ``embedder`` is given.
 
     The lexical and the vector index are over the embedding text. Its terms are written once, a row a chunk (``bags``), since every part of the lexical index is made of them.
+    With ``kept``, the distinct chunks are written first, for one who reads them again with the indexes.
     The vector index is an inverted file: ``vectors`` by cell, and ``centres`` with the number of cells to probe.
     """
     one = index.distinct_chunks(chunks)
+    one = cut_lineage(one) if kept else one
     texts = one.select("chunk_id", index.embedding_text().alias("text"))
     held = cut_lineage(index.bags(texts))
     lengths, counts = held.select("chunk_id", "dl"), cut_lineage(index.term_counts(held.select(F.explode("terms").alias("term"))))
@@ -66,16 +68,20 @@ def understood(questions: DataFrame) -> DataFrame:
     return one.select("qid", "text", understanding(F.col("text"), reply).alias("u")).select("qid", "text", "u.*").drop("original_query")
 
 
-def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: DataFrame | None = None) -> DataFrame:
-    """``(qid, source, rank, chunk_id, score)`` of the exact, vector and lexical ways as one table of ranked lists, for understood questions."""
+def hits_of(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: DataFrame | None = None, top: int = fuse.FUSED_TOP) -> DataFrame:
+    """``(qid, source, rank, chunk_id, score)`` of the exact, vector and lexical ways as one table of ranked lists, for understood questions.
+
+    Of the exact way, whose hits have no limit, those that the other ways have too, and the first ``top``: any later one is behind these when they are fused.
+    """
     kinds = ("error_codes", "model_names")
     keys = [questions.select("qid", F.lit(kind).alias("kind"), F.explode(kind).alias("key")) for kind in kinds]
-    exact = retrieve.ranked(retrieve.exact_hits(keys[0].unionByName(keys[1]), parts["exact_index"]))
     lexical = retrieve.lexical_topk(questions, parts.get("bags", parts["postings"]), parts["doc_len"], parts["terms"], text="translated_query")
-    lists = exact.withColumn("source", F.lit("exact")).unionByName(lexical.withColumn("source", F.lit("bm25")))
+    lists = lexical.withColumn("source", F.lit("bm25"))
     if vector_hits is not None:
         lists = lists.unionByName(vector_hits.select("qid", "chunk_id", "score", "rank").withColumn("source", F.lit("vector")))
-    return lists
+    lists = cut_lineage(lists)
+    exact = retrieve.exact_ranks(keys[0].unionByName(keys[1]), parts["exact_index"], lists, top)
+    return lists.unionByName(exact.withColumn("source", F.lit("exact")))
 
 
 def answer_batch(questions: DataFrame, parts: dict[str, DataFrame], vector_hits: DataFrame | None = None, scorer=fuse.overlap_score) -> DataFrame:  # noqa: ANN001
@@ -85,9 +91,9 @@ def answer_batch(questions: DataFrame, parts: dict[str, DataFrame], vector_hits:
     embedding model is outside of the plan; without them two ways are fused.
     """
     told = cut_lineage(understood(questions))  # every way of the search begins with it
-    fused = fuse.rrf(hits_of(told, parts, vector_hits))
-    found = fused.drop("score").join(parts["chunks"], "chunk_id").join(told.select("qid", F.col("translated_query").alias("question")), "qid")
-    final = fuse.rerank(found, scorer)
+    fused = fuse.rrf(hits_of(told, parts, vector_hits)).drop("score")
+    found = fused.join(told.select("qid", F.col("translated_query").alias("question")), "qid").join(parts["chunks"], "chunk_id")
+    final = fuse.rerank(found, scorer).select("qid", "chunk_id", "rank").join(parts["chunks"], "chunk_id")  # so that only the final texts are moved to their question
     shown = F.coalesce("context", F.lit(""))
     asked = fuse.prompt(F.col("text"), F.col("translated_query"), F.col("language"), shown)
     out = told.join(fuse.context(final), "qid", "left")

@@ -235,7 +235,7 @@ def retrieval_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def answer_batch(spark: SparkSession, d: str) -> DataFrame:
-    parts = pipeline.build_indexes(table(spark, d, "phase1_chunks"))
+    parts = pipeline.build_indexes(table(spark, d, "phase1_chunks"), kept=True)
     answers = pipeline.answer_batch(questions(spark, d), parts, fuse.ranked_lists(table(spark, d, "retrieved_chunks"), sources=("vector",)))
     told = ("is_roman_urdu", *[F.array_join(c, ",").alias(c) for c in ("error_codes", "model_names")], "intent", "product_category", "confidence")
     return answers.select("qid", "language", F.length("context").alias("context_chars"), F.length("prompt").alias("prompt_chars"), *told)

@@ -86,6 +86,20 @@ def test_like_bags_lose_no_term():
     assert len(groups) < len(bags)
 
 
+def test_exact_ranks_are_those_among_all_hits(spark):
+    rng = random.Random(6)
+    names = [("error_codes", "E1"), ("error_codes", "E2"), ("error_codes", "E3"), ("model_names", "PA1"), ("model_names", "E1")]
+    held = spark.createDataFrame(sorted({(*rng.choice(names), f"c{rng.randint(0, 60):02}") for _ in range(150)}), "kind string, key string, chunk_id string")
+    keys = [(f"q{i}", k, f" {v[0]} {v[1:].lower()}") for i in range(14) for k, v in rng.sample(names, i % 5)] + [("qx", "error_codes", " "), ("qy", "error_codes", "none")]
+    keys = spark.createDataFrame(keys, "qid string, kind string, key string")
+    others = spark.createDataFrame([(f"q{i}", f"c{rng.randint(0, 70):02}") for i in range(16) for _ in range(9)], "qid string, chunk_id string")
+    full = {(r["qid"], r["chunk_id"]): r["rank"] for r in retrieve.ranked(retrieve.exact_hits(keys, held)).collect()}
+    asked = {tuple(r) for r in others.collect()}
+    got = [((r["qid"], r["chunk_id"]), r["rank"]) for r in retrieve.exact_ranks(keys, held, others, top=3).collect()]
+    want = {k for k, v in full.items() if v <= 3 or k in asked}
+    assert len(dict(got)) == len(got) < len(full) and want <= set(dict(got)) and all(full[k] == v for k, v in got)
+
+
 def vectors(spark, n=200, dims=8):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=dims)], str(i % 7)) for i in range(n)]
