@@ -56,7 +56,7 @@ def bags(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             sizes, terms, tfs, ends = [], [], [], [0]
             for value in batch.column(1).to_pylist():
                 found = _TOKEN.findall(value.lower()) if value is not None else []

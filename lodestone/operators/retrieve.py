@@ -112,7 +112,7 @@ def lexical_scores(questions: DataFrame, post: DataFrame, lengths: DataFrame, te
 
 
 #: Postings that are scored at once.
-SLAB = 3_000_000
+SLAB = 1_000_000
 #: Of so many documents one is scored first, for the floors of the others.
 FIRST = 8
 
@@ -231,7 +231,7 @@ def _slabs(batches: Iterator[pa.RecordBatch], words: list[str], idf: np.ndarray,
         docs = place[np.concatenate([d + n for (_, d, _, _), n in zip(held, before, strict=False)])]
         return keys.take(order), _Slab(len(keys), docs, np.concatenate([t for *_, t, _ in held]), np.concatenate([w for *_, w in held]), len(words))
 
-    for batch in batches:
+    for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
         keys, lists = batch.column(0), batch.column(2)
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         terms = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
